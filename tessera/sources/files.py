@@ -48,7 +48,7 @@ def write_raw(rows: DataFrame, path: str) -> None:
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1, blank lines counted) and line of review files; each file is read whole, they are written by hand."""
-    whole = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     split = whole.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("at", "line"))
     return split.select("file", (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
