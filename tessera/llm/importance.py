@@ -76,7 +76,7 @@ def _weights(ratio: np.ndarray):
 
 def _labelled(labels: DataFrame, most: int) -> tuple[np.ndarray, float]:
     """Ids of good documents among at most ``most`` labelled ones, and their share."""
-    one = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
+    one = labels.select(F.col("doc_id").cast("bigint"), "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
     rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()  # the documented bound
     ids = np.array(sorted(r["doc_id"] for r in rows if r["good"]), np.int64)
     return ids, len(ids) / len(rows) if len(ids) else 1.0
@@ -85,7 +85,7 @@ def _labelled(labels: DataFrame, most: int) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, float]:
     """doc_id, n_words > 0, log_weight, gumbel of every document; the share of good labels."""
     ids, share = _labelled(labels, max_labelled)
-    sums = docs.select("doc_id", "text").mapInArrow(counted(ids), "bucket bigint, n bigint, good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    sums = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(counted(ids), "bucket bigint, n bigint, good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     every, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums.toLocalIterator():  # a row per bucket
         every[r["bucket"]], good[r["bucket"]] = r["n"], r["good"]

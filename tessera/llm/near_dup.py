@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, tolerance: f
     n_links is the number of other documents whose similarity reaches the threshold,
     copies included. key names equal word sequences (null: no words).
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     prints = staged(docs.mapInArrow(fingerprints, "doc_id bigint, key binary, bands array<bigint>"), "prints")
     classes = prints.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")

@@ -127,7 +127,8 @@ def feistel(numbers: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarra
 
 def _slots(firsts: dict[int, int], n: int, key: int):
     first = np.zeros(max(firsts, default=0) + 1, np.int64)
-    first[list(firsts)] = list(firsts.values())
+    for part, number in firsts.items():
+        first[part] = number
 
     def run(part: pa.Array, seq: pa.Array) -> pa.Array:
         return pa.array(feistel(first[part.to_numpy()] + seq.to_numpy(), n, key))
@@ -137,7 +138,7 @@ def _slots(firsts: dict[int, int], n: int, key: int):
 
 def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """slot, shard, row (in the shard), doc_ids, n_tokens, tokens of every sequence, in ranges of slots."""
-    made = docs.select("doc_id", "text").mapInArrow(sequences(vocabulary, length), "part int, seq bigint, doc_ids array<bigint>, n_tokens int, tokens binary")
+    made = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sequences(vocabulary, length), "part int, seq bigint, doc_ids array<bigint>, n_tokens int, tokens binary")
     made = staged(made, "sequences")
     counts = made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row per task
     n = sum(r["n"] for r in counts)
