@@ -7,7 +7,8 @@ one, or if most of it is links or it claims copyright; it is good if it is long
 and dense in function words. Second pass: what is left, short or poor in function
 words, takes the label of the nearest decided block. Inside a main or article only
 blocks of the same one are asked, and without any there the block is good; elsewhere the page's
-ends count as bad, a tie is bad, and a heading asks the block after it first. If a
+ends count as bad; of two at one distance a heading follows the later, others that of
+their own element, else the bad one. If a
 page has no good block, its undecided ones are good.
 
 Character references are decoded, white space in a block becomes one space, blocks are
@@ -71,11 +72,15 @@ def _hinted(attributes: str) -> tuple[bool, bool]:
     return bad, header
 
 
+#: text, characters in links, in boilerplate, number of its content root, heading, element
+Block = tuple[str, int, bool, int, bool, str]
+
+
 class _Page:
-    """Blocks of one page: text, characters in links, in boilerplate, number of its content root, heading."""
+    """Blocks of one page."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, int, bool, int, bool]] = []
+        self.blocks: list[Block] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, in a header, content root
         self.pieces: list[str] = []
         self.linked = self.in_link = self.breaks = self.roots = 0
@@ -114,7 +119,8 @@ class _Page:
         text = " ".join("".join(self.pieces).split())
         if text:
             _, bad, in_header, root = self.open[-1] if self.open else ("", False, False, 0)
-            self.blocks.append((text, self.linked, bad or in_header and not (root and self.heading), root, self.heading))
+            boilerplate = bad or in_header and not (root and self.heading)
+            self.blocks.append((text, self.linked, boilerplate, root, self.heading, self.open[-1][0] if self.open else ""))
         self.pieces.clear()
         self.linked = self.breaks = 0
 
@@ -168,11 +174,11 @@ class _Page:
         self.heading = bool(self.open) and self.open[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def _first_pass(blocks: list[tuple[str, int, bool, int, bool]]) -> list[int]:
+def _first_pass(blocks: list[Block]) -> list[int]:
     """1 good, -1 bad, 0 undecided."""
-    rooted = any(root for _, _, bad, root, _ in blocks if not bad)
+    rooted = any(root for _, _, bad, root, _, _ in blocks if not bad)
     out = []
-    for text, linked, bad, root, _ in blocks:
+    for text, linked, bad, root, _, _ in blocks:
         chars = len(text) - text.count(" ")
         if bad or rooted and not root or linked > LINKED * chars or not root and "©" in text[:80]:
             out.append(-1)
@@ -183,28 +189,32 @@ def _first_pass(blocks: list[tuple[str, int, bool, int, bool]]) -> list[int]:
     return out
 
 
-def _second_pass(blocks: list[tuple[str, int, bool, int, bool]], first: list[int]) -> list[bool]:
+def _second_pass(blocks: list[Block], first: list[int]) -> list[bool]:
     n, far = len(blocks), len(blocks) + 2
-    nearest: list[list[tuple[int, int]]] = [[], []]
+    nearest: list[list[tuple[int, int, str]]] = [[], []]  # distance, label, element
     for side, order in enumerate((range(n), range(n - 1, -1, -1))):
         seen: dict[int, tuple[int, int]] = {}
         for i in order:
             root = blocks[i][3]
-            edge = (far, 1) if root else ((i if side == 0 else n - 1 - i) + 1, -1)
+            edge = (far, 1, "") if root else ((i if side == 0 else n - 1 - i) + 1, -1, "")
             at = seen.get(root)
-            nearest[side].append((abs(i - at[0]), at[1]) if at else edge)
+            nearest[side].append((abs(i - at[0]), at[1], blocks[at[0]][5]) if at else edge)
             if first[i] and not (root and blocks[i][2]):  # boilerplate inside a root says nothing of its neighbours
                 seen[root] = (i, first[i])
     nearest[1].reverse()
     out = []
-    for i, (_, _, _, root, heading) in enumerate(blocks):
-        (before, left), (after, right) = nearest[0][i], nearest[1][i]
+    for i, (_, _, _, root, heading, element) in enumerate(blocks):
+        (before, left, of_left), (after, right, of_right) = nearest[0][i], nearest[1][i]
         if first[i]:
             out.append(first[i] > 0)
-        elif before == after:
-            out.append((right if heading else max(left, right) if root else min(left, right)) > 0)
-        else:
+        elif before != after:
             out.append((left if before < after else right) > 0)
+        elif heading:
+            out.append(right > 0)
+        elif (of_left == element) != (of_right == element):
+            out.append((left if of_left == element else right) > 0)
+        else:
+            out.append((max(left, right) if root else min(left, right)) > 0)
     return out if any(out) else [x == 0 for x in first]
 
 

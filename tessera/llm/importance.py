@@ -34,7 +34,7 @@ from tessera.llm.words import U64, Texts, mix, texts, words_of
 
 BUCKETS = 1 << 17
 MAX_LABELLED = 20_000
-PSEUDO, SHRINK = 0.5, 4.0
+PSEUDO, SHRINK, SIGMAS = 0.5, 1.0, 3.0
 
 
 def _ngrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +90,11 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     for r in sums.toLocalIterator():  # a row per bucket
         every[r["bucket"]], good[r["bucket"]] = r["n"], r["good"]
     raw = (every + PSEUDO) / (every.sum() + PSEUDO * BUCKETS)
-    # target over raw per bucket is a gamma variable of mean 1: buckets with few expected counts stay near 1
-    rate = (good + SHRINK) / (good.sum() * raw + SHRINK)
+    # target over raw per bucket is a gamma variable of mean 1: buckets with few expected counts stay near 1,
+    # and a ratio that sampling error explains is 1, else the errors of a long text's n-grams drown the rest
+    expected = good.sum() * raw
+    rate = (good + SHRINK) / (expected + SHRINK)
+    rate[np.abs(good - expected) < SIGMAS * np.sqrt(expected + SHRINK)] = 1.0
     ratio = np.log(rate / (raw @ rate))
     weight = F.arrow_udf(_weights(ratio), T.DoubleType())("text")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)

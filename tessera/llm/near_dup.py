@@ -270,11 +270,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, key, class_id, n_links of every document.
+    """doc_id, key, root, class_id, n_links of every document.
 
     class_id is the least doc_id of the documents that chains of links connect;
     n_links is the number of other documents whose similarity reaches the threshold,
-    copies included. key names equal word sequences (null: no words).
+    copies included. key names equal word sequences (null: no words), root the least key of
+    the class, which tells classes apart even where doc_ids repeat.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     prints = staged(docs.mapInArrow(fingerprints, "doc_id bigint, key binary, bands array<bigint>"), "prints")
@@ -286,11 +287,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, tolerance: f
     known = classes.select("key", "copies", "rep").join(linked, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     known = known.withColumn("root", F.coalesce("root", "key"))
     ids = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(ids, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = known.join(ids, "root").select("key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (
         prints.select("doc_id", "key")
         .join(known, "key", "left")
-        .select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("doc_id", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
@@ -301,7 +302,7 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     words are classes of their own and stay.
     """
     known = near_duplicates(docs, threshold)
-    best = known.where("key is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    best = known.where("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
     best = best.select(F.col("best.doc_id").alias("_tessera_id"), F.col("best.key").alias("_tessera_key"))
     own = F.arrow_udf(_keys_of, T.BinaryType())("text")
     keyed = docs.withColumn("_tessera_own", own)
