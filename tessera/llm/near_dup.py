@@ -257,9 +257,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(most_rounds):
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        # the least neighbours are tables too: between plain exchanges a hub's edges can be split over tasks
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "low")
         large = both.join(low, both["a"] == low["n"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        large = staged(large, "large")
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "low")
         small = large.join(low, large["a"] == low["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(small.union(low.select("n", "m")).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
