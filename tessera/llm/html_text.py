@@ -3,7 +3,8 @@
 Markup is cut into blocks of text. First pass: a block is bad if it lies in
 boilerplate (navigation, header, footer, aside, form and the like, by tag, role or the
 words of its class and id), outside the page's ``main`` or ``article`` where there is
-one, or if most of it is links or it claims copyright; it is good if it is long enough
+one (an article whose class names a comment, a related piece and the like counts only
+where there is no other), or if most of it is links or it claims copyright; it is good if it is long enough
 and dense in function words. Second pass: what is left, short or poor in function
 words, takes the label of the nearest decided block. Inside a main or article only
 blocks of the same one are asked, and without any there the block is good; elsewhere the page's
@@ -51,28 +52,36 @@ HINTS = set(
     "replies respond social share sharing related recommended newsletter subscribe signup login search form pagination pager toolbar copyright "
     "disclaimer skip".split()
 )
+QUALIFIERS = frozenset("has have no not with without free".split())
 _FUNCTION = frozenset(FUNCTION_WORDS)
 
 
-def _hinted(attributes: str) -> tuple[bool, bool]:
-    """Does a start tag's class, id, role or visibility mark boilerplate; does it say header."""
-    bad = header = False
+def _hinted(attributes: str) -> tuple[bool, bool, bool]:
+    """Does a start tag's class, id, role or visibility mark boilerplate; does a class or id begin so; does it say header.
+
+    A name that says with or without something (``has-sidebar``, ``no-comments``) says
+    nothing of the element itself.
+    """
+    bad = leads = header = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)}
-            bad |= bool(words & HINTS)
-            header |= "header" in words
+            for i, part in enumerate(value.split()):
+                words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part)]
+                if QUALIFIERS.isdisjoint(words):
+                    bad |= not HINTS.isdisjoint(words)
+                    leads |= not i and bool(words) and words[0] in HINTS
+                    header |= "header" in words
         elif name == "role":
             bad |= value.lower() in ROLES
         elif name == "style":
             bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             bad |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
-    return bad, header
+    return bad, leads, header
 
 
-#: text, characters in links, in boilerplate, number of its content root, heading, element
+#: text, characters in links, in boilerplate, number of its content root (negative: an article named as boilerplate), heading, element
 Block = tuple[str, int, bool, int, bool, str]
 
 
@@ -133,7 +142,7 @@ class _Page:
             return
         if name in ("td", "th"):
             self.pieces.append(" ")
-        hinted, says_header = _hinted(attributes) if attributes and not attributes.isspace() else (False, False)
+        hinted, leads, says_header = _hinted(attributes) if attributes and not attributes.isspace() else (False, False, False)
         if name == "a":
             self.in_link = 1
         if name in INLINE and not hinted:
@@ -145,9 +154,11 @@ class _Page:
         if name not in INLINE:
             self.close_implied(name)
         _, bad, in_header, root = self.open[-1] if self.open else ("", False, False, 0)
+        aside = name == "article" and leads  # a comment, a related piece and the like
+        bad = bad or aside and root != 0
         if name in ("main", "article") and not bad and not root:
             self.roots += 1
-            root = self.roots
+            root = -self.roots if aside else self.roots
         self.heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         # the body's own class describes the page
         bad = bad or name in BOILERPLATE or hinted and name not in ("html", "body", "main", "article")
@@ -177,10 +188,11 @@ class _Page:
 def _first_pass(blocks: list[Block]) -> list[int]:
     """1 good, -1 bad, 0 undecided."""
     rooted = any(root for _, _, bad, root, _, _ in blocks if not bad)
+    plain = any(root > 0 for _, _, bad, root, _, _ in blocks if not bad)
     out = []
     for text, linked, bad, root, _, _ in blocks:
         chars = len(text) - text.count(" ")
-        if bad or rooted and not root or linked > LINKED * chars or not root and "©" in text[:80]:
+        if bad or rooted and not root or plain and root < 0 or linked > LINKED * chars or not root and "©" in text[:80]:
             out.append(-1)
             continue
         words = _WORD.findall(text.lower())
