@@ -23,7 +23,7 @@ their number.
 
 Defined cases: a null text is an empty one. Offsets are code points, ends exclusive.
 Repeated rows are searched each. A null doc_id stays null. An empty table gives no
-rows. Extra columns are not read, ``redact`` carries them.
+rows. Extra columns are not read; ``redact`` carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,13 +65,13 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by the patterns alone, leftmost and non-overlapping per kind; ordered by kind and start."""
     out, last, at = [], 0, text.find("@")
-    while at >= 0:  # an address's local part is the run before the sign, from the previous address on
-        start = last + len(text[last:at].rstrip(_LOCAL)) if at > last else at
+    while at >= 0:  # an address's local part is the run before the sign, from the previous sign or address on
+        start = last + len(text[last:at].rstrip(_LOCAL))
         domain = _DOMAIN.match(text, at + 1) if start < at else None
         if domain:
             out.append((0, start, domain.end()))
-            last = domain.end()
-        at = text.find("@", max(at + 1, last))
+        last = domain.end() if domain else at + 1
+        at = text.find("@", last)
     if not _DIGIT.search(text):
         return out
     out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
@@ -221,14 +221,15 @@ def _labels(field: Field):
     return run
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (arrays of kind number, start, end, by kind and start) of every document."""
-    seen = staged(docs.select("doc_id", F.arrow_udf(_candidates, T.ArrayType(_CANDIDATE))("text").alias("found")), "candidates")
+def find(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, base and spans (arrays of kind number, start, end, by kind and start) of every document."""
+    kept = [F.col(c).alias(f"_tessera_{i}") for i, c in enumerate(carried)]
+    seen = staged(docs.select(*kept, F.arrow_udf(_candidates, T.ArrayType(_CANDIDATE))("text").alias("found")), "candidates")
     labels = F.arrow_udf(_labels(fit(seen)), T.ArrayType(T.IntegerType()))("found")
     span = lambda kind, c: F.struct(kind.alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     real = lambda x: x["kind"] < NONE
     both = seen.withColumn("kinds", labels).select(
-        "doc_id",
+        *[F.col(f"_tessera_{i}").alias(c) for i, c in enumerate(carried)],
         F.array_sort(F.filter(F.transform("found", lambda c: span(c["kind"], c)), real)).alias("base"),
         F.array_sort(F.filter(F.zip_with("found", "kinds", lambda c, k: span(k, c)), real)).alias("spans"),
     )
@@ -244,3 +245,27 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans of every document."""
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return find(docs).select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for t, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+        parts, at = [], 0
+        for s in sorted(found or [], key=lambda s: (s["start"], s["end"], s["kind"])):
+            if s["start"] >= at:
+                parts += [t[at : s["start"]], f"[{KINDS[s['kind']]}]"]
+            at = max(at, s["end"])
+        out.append("".join([*parts, t[at:]]) if parts else t)
+    return pa.array(out, pa.string())
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with the columns they came with; in ``text`` each span is its kind in brackets.
+
+    Where spans overlap, the one that starts first is named and the rest of the other goes
+    with it. A null text stays null.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns])
+    seen = find(docs.select("text", row.alias("row")), ("row",))
+    text = F.arrow_udf(_redacted, T.StringType())(F.col("row")["text"], F.col("spans"))
+    return seen.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -245,6 +245,17 @@ def test_html():
     assert html_text.main_text("<p>only") == "only" and html_text.main_text("a &lt;b&gt;<script>x") == "a <b>"
 
 
+def test_html_class_names():
+    said = "It is one of the texts that are in the page and it is of some length for this."
+    body = f"<p>{said}</p>"
+    for open_, close in (("<div class='page has-sidebar'><article class='post category-social'>", "</article></div>"), ("<main class='no-comments'><article class='post ad-free'>", "</article></main>"), ("<div class='content without-menu'>", "</div>")):
+        assert html_text.main_text(f"{open_}{body}{close}") == said
+    reader = "It is what I, the reader, have to say of this and that and it is long enough."
+    assert html_text.main_text(f"<main>{body}<article class='comment even'><p>{reader}</p></article></main>") == said
+    assert html_text.main_text(f"<article id=story>{body}</article><article class='comment'><p>{reader}</p></article>") == said
+    assert html_text.main_text(f"<article class='promo-card'>{body}</article>") == said
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     pages = pages.unionByName(spark.createDataFrame([(None, None, None), (-1, "u", "")], pages.schema))
@@ -298,6 +309,22 @@ def test_pii_field_adds_repeated_entities(spark, awkward, empty):
     assert pii.report(awkward).count() == awkward.count() and pii.report(empty).count() == 0
 
 
+def test_pii_redaction(spark, awkward, empty):
+    clash = "doc_id bigint, text string, base string, spans string, row string, kinds string, _tessera_0 string"
+    docs = spark.createDataFrame([(1, "\U0001d518 a@b.cz, 1.2.3.4 a@1.2.3.4 end") + ("x",) * 5, (2, None) + ("y",) * 5, (None, "none") + (None,) * 5], clash)
+    made = pii.redact(docs)
+    assert made.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in made.collect()} == {1: "\U0001d518 [email], [ip] [email] end", 2: None, None: "none"}
+    assert {r["doc_id"]: r["base"] for r in made.collect()} == {1: "x", 2: "y", None: None}
+    assert pii.redact(awkward).schema == awkward.schema and pii.redact(empty).count() == 0
+    assert sorted(map(repr, pii.redact(awkward).where("text is null").collect())) == sorted(map(repr, awkward.where("text is null").collect()))
+
+
+def test_many_signs_take_linear_time():
+    text = "@" * 2_000_000 + " a@b.cz"
+    assert pii.base_spans(text) == [(0, 2_000_001, len(text))]
+
+
 def test_importance(spark, awkward, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = labels.where("doc_id % 2 = 0")
