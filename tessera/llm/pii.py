@@ -49,7 +49,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![\w+.(-])\(?[0-9]{2,4}\)?(?:[ .-]?\(?[0-9]{2,5}\)?){1,5}(?![\w-])")
-_LOOSE_EMAIL = re.compile(r"(?<![\w.@-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+){0,4} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)[A-Za-z0-9-]+){1,4}", re.I)
+_LOOSE_EMAIL = re.compile(r"(?<![\w.@%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+){0,4} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)[A-Za-z0-9-]+){1,4}", re.I)
 _DIGIT = re.compile(r"[0-9]")
 _CANDIDATE = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shape", T.IntegerType()), ("same", T.StringType()))])
 
