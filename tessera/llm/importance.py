@@ -1,7 +1,8 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams: the target, from documents labelled as good
-and not toxic, and the raw text, from all documents. A document's log weight is the
+Two generative models of hashed n-grams (words and their beginnings, word pairs, tokens as
+written): the target, from documents labelled as good and not toxic, and the raw text, from
+all documents. A document's log weight is the
 sum of the log ratios of its n-grams; Gumbel noise, a hash of the document, is added
 to it, and the k documents with the largest sums are kept, which samples k documents
 without replacement in proportion to their weights.
@@ -30,19 +31,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.staging import staged
-from tessera.llm.words import U64, Texts, mix, texts, words_of
+from tessera.llm.words import ALNUM, POINT, U64, Texts, mix, texts, words_of
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
+#: Lengths of word beginnings, in code points
+BEGINNINGS = (3, 4, 5, 6)
 MAX_LABELLED = 20_000
 PSEUDO, SHRINK, SIGMAS = 0.5, 1.0, 3.0
 
 
 def _ngrams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of every word and word pair, and of every token between white space as it is written."""
+    """Bucket and text of every word, its beginnings, every word pair, and every token between white space as it is written."""
     w, raw = words_of(t), words_of(t, lower=False)
     at, pairs = w.shingles(2)
-    hashes = np.concatenate([w.hashes, pairs, mix(raw.hashes)])
-    return (hashes % U64(BUCKETS)).astype(np.int64), np.concatenate([w.owner, w.owner[at], raw.owner])
+    word, begin = _beginnings(t)
+    hashes = np.concatenate([w.hashes, begin, pairs, mix(raw.hashes)])
+    return (hashes % U64(BUCKETS)).astype(np.int64), np.concatenate([w.owner, w.owner[word], w.owner[at], raw.owner])
+
+
+def _beginnings(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Word number and hash of each proper beginning; they meet inflected and compound words that are rare themselves."""
+    starts, ends = t.segments(ALNUM[t.data])
+    points = np.append(np.flatnonzero(POINT[t.data]), len(t.data))
+    first = np.searchsorted(points, starts)
+    word, until, salt = [], [], []
+    for n in BEGINNINGS:
+        stop = points[np.minimum(first + n, len(points) - 1)]
+        longer = np.flatnonzero(stop < ends)
+        word.append(longer)
+        until.append(stop[longer])
+        salt.append(np.full(len(longer), n, U64))
+    word = np.concatenate(word)
+    return word, mix(t.hashes(starts[word], np.concatenate(until), lower=True) + np.concatenate(salt))
 
 
 def counted(targets: np.ndarray):

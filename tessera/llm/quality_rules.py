@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.staging import staged
-from tessera.llm.words import SPACE, Texts, _table, mix, texts, word_hash, words_of
+from tessera.llm.words import POINT, SPACE, Texts, _table, mix, texts, word_hash, words_of
 
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = (
@@ -37,7 +37,6 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["length", "word_length", "symbols", "duplicate_lines", "repeats", "letters", "capitals", "function_words"]
 _TYPE = T.StructType([*[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("pattern", T.IntegerType())])
 _SYMBOL = _table(lambda b: b in b"#*$%&|<>")
-_POINT = _table(lambda b: b & 0xC0 != 0x80)
 _UPPER = _table(lambda b: 0x41 <= b <= 0x5A)
 _LETTER = _table(lambda b: b >= 0x80 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 _FUNCTION = np.array(sorted({word_hash(w) for w in FUNCTION_WORDS}), np.uint64)
@@ -73,12 +72,12 @@ def _measure(t: Texts) -> tuple[list[np.ndarray], np.ndarray]:
     line_of = t.owner(starts)
     _, later = _repeated(t.hashes(starts, ends), line_of)
     n_words, n_lines = total(w.owner), total(line_of)
-    word_chars = t.totals(~SPACE[data] & _POINT[data])
+    word_chars = t.totals(~SPACE[data] & POINT[data])
     symbols, dup = t.totals(_SYMBOL[data]), total(line_of[later])
     repeat = total(w.owner[covered])
     plain = words_of(t)
     function = total(plain.owner[np.isin(plain.hashes, _FUNCTION)])
-    letters, upper = t.totals(_LETTER[data] & _POINT[data]), t.totals(_UPPER[data])
+    letters, upper = t.totals(_LETTER[data] & POINT[data]), t.totals(_UPPER[data])
     some = np.maximum(n_words, 1)
     mean, lines = word_chars / some, np.maximum(n_lines, 1)
     cased = np.maximum(letters, 1)

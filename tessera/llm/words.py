@@ -40,6 +40,8 @@ def _table(keep) -> np.ndarray:
 SPACE = _table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-case
 ALNUM = _table(lambda b: b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A)
+#: first bytes of code points
+POINT = _table(lambda b: b & 0xC0 != 0x80)
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)])
 
 
