@@ -1,4 +1,8 @@
-"""The reviewed-corpus tables, derived from the driver's tables by SQL that Spark and DuckDB both run."""
+"""The reviewed-corpus tables, derived from the driver's tables by SQL that Spark and DuckDB both run.
+
+Whole tables and whole texts. Blank pages, scans (every tenth conversation) and documents
+without a record of their type (every tenth) come from column values, never from dropped rows.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +22,12 @@ SELECT doc_id AS id, text AS raw_text, source AS source_name, 'title ' || CAST(d
 FROM {documents}"""
 RECORDS = """
 SELECT doc_id * 2 + n AS id, doc_id AS document_id,
-  CASE doc_id % 3 WHEN 0 THEN 'regulation' WHEN 1 THEN 'penalty' ELSE 'product_document' END AS data_type,
+  CASE WHEN doc_id % 10 = 9 THEN 'other' WHEN doc_id % 3 = 0 THEN 'regulation' WHEN doc_id % 3 = 1 THEN 'penalty' ELSE 'product_document' END AS data_type,
   CASE WHEN doc_id % 4 <> 0 THEN substring(text, 1, 60) WHEN doc_id % 8 = 0 THEN '' ELSE substring(text, 1, 30) || '~' END AS source_quote,
   CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS disclosed,
   CASE WHEN doc_id % 9 IN (0, 1) THEN 'said' ELSE '' END AS wording, 'article ' || CAST(doc_id % 17 AS STRING) AS article
 FROM {documents} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two
-WHERE doc_id % 10 <> 9 AND (n = 0 OR doc_id % 6 = 0)"""
+WHERE n = 0 OR doc_id % 6 = 0"""
 CRAWL = """
 SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'ftp://x/a.pdf' WHEN 1 THEN url || '/a.PDF' WHEN 2 THEN url || '/a.pdf?x=1' WHEN 3 THEN NULL ELSE url END AS url, html,
   CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN NULL WHEN 2 THEN 204 ELSE 200 END AS http_status,
@@ -44,15 +48,15 @@ SELECT doc_id + 1 AS line_no, CASE
 TRANSITIONS = """
 SELECT user_id AS record_id, ts, event_id, CASE event_type WHEN 'view' THEN 'parsed' WHEN 'click' THEN 'pending_review' WHEN 'signup' THEN 'approved' WHEN 'purchase' THEN 'indexed' ELSE 'rejected' END AS to_status
 FROM {events}"""
-PAGES = "SELECT conv_id AS doc, turn + 1 AS page_number, CASE WHEN turn % 3 = 1 THEN '  ' ELSE text END AS text, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS image_count FROM {conversations} WHERE conv_id % 5 <> 0 OR turn = 1"
+PAGES = "SELECT conv_id AS doc, turn + 1 AS page_number, CASE WHEN turn % 3 = 1 OR conv_id % 10 = 0 THEN '  ' ELSE text END AS text, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS image_count FROM {conversations}"
 PARAGRAPHS = """SELECT conv_id AS doc, turn AS idx, CASE WHEN role = 'system' THEN 'Title' WHEN turn % 4 = 1 THEN 'Heading 1' WHEN turn % 4 = 2 THEN '标题 2' END AS style,
-  CASE WHEN turn % 5 = 3 THEN '' ELSE substring(text, 1, 40) END AS text, 'stem ' || CAST(conv_id AS STRING) AS stem FROM {conversations}"""
+  CASE WHEN turn % 5 = 3 THEN '' ELSE text END AS text, 'stem ' || CAST(conv_id AS STRING) AS stem FROM {conversations}"""
 SOURCES = """
 SELECT row_number() OVER (ORDER BY source) AS id, source AS name, CASE WHEN length(source) % 2 = 0 THEN 'https://' || source ELSE 'http://' END AS base_url,
   CAST(NULL AS STRING) AS publisher, CASE WHEN source LIKE '%9' THEN 'blog' ELSE 'regulation' END AS source_type, CAST(NULL AS BOOLEAN) AS enabled,
   CAST(length(source) * 1000 - 3900 AS DOUBLE) AS rate_limit_seconds FROM (SELECT DISTINCT source FROM {documents}) AS s"""
 SAMPLES = """
-SELECT doc_id AS id, coalesce(substring(text, 1, 900), '') AS sample_text, CASE doc_id % 2 WHEN 0 THEN 'risky' ELSE 'compliant' END AS sample_category, 'built' AS construction_basis,
+SELECT doc_id AS id, coalesce(text, '') AS sample_text, CASE doc_id % 2 WHEN 0 THEN 'risky' ELSE 'compliant' END AS sample_category, 'built' AS construction_basis,
   'constructed_for_evaluation' AS authenticity_type, 'train' AS split, CASE WHEN doc_id % 3 = 0 THEN 'pending_review' ELSE 'approved' END AS final_review_status FROM {documents}"""
 
 _TABLES = ("documents", "pages", "labels", "events", "conversations", "benchmark")

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tessera.plans import queries as core
+from tessera.plans import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = core.QUERIES["q_list"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in plan.splitlines() if "ReadSchema" in line][0].split("ReadSchema")[1]
     assert "lang" not in scan and "n_chars" not in scan
+
+
+def test_views_keep_all_rows_and_whole_texts(spark):
+    view = lambda sql: views.view(spark, SF, sql)
+    turns, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("conversations", "documents"))
+    said = {(r["conv_id"], r["turn"]): r["text"] for r in turns.collect()}
+    paragraphs = {(r["doc"], r["idx"]): r["text"] for r in view(views.PARAGRAPHS).collect()}
+    assert paragraphs == {k: "" if k[1] % 5 == 3 else t for k, t in said.items()} and max(map(len, paragraphs.values())) > 40
+    pages = {(r["doc"], r["page_number"] - 1): r["text"] for r in view(views.PAGES).collect()}
+    assert pages.keys() == said.keys() and all(t in ("  ", said[k]) for k, t in pages.items())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert {r["id"]: r["sample_text"] for r in view(views.SAMPLES).collect()} == texts
+    assert {r["document_id"] for r in view(views.RECORDS).collect()} == texts.keys()
+    assert {r["requires_ocr"] for r in core.QUERIES["q_ocr_flag"](spark, SF).collect()} == {True, False}
+    assert view(views.RECORDS).where("data_type = 'other'").count() > 0
