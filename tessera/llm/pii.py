@@ -3,15 +3,16 @@ r"""Personal data by a skip-chain conditional random field.
 Candidates are spans of a text. Base candidates fit a kind's pattern and check: email,
 ip (parts at most 255), card (16 to 19 digits that pass Luhn), phone (+ and 8 to 15
 digits); they are what they are. Loose candidates look like one: digits in groups
-without the plus, addresses with the at or the dots spelt out. The field labels loose
-candidates with a kind or none:
+without the plus, addresses with the at or the dots spelt out, ip parts apart by other
+signs, card digits in groups of other signs. The field labels loose candidates with a
+kind or none:
 
 - node potentials are log probabilities of a multinomial logistic model of a candidate's
   shape, fitted to how often each shape is base or loose in all documents;
 - chain edges join candidates that follow each other, with the log odds of the kinds
   of such neighbours in all documents;
-- skip edges join a repeated or similar candidate (same digits from the end on, same
-  address) with the one before it and with the first base one, however far apart, with
+- skip edges join a repeated or similar candidate (same last nine digits, or all of the
+  seven or eight of the shorter number; same address) with the one before it and with the first base one, however far apart, with
   an agreement potential.
 
 Loopy message passing over all graphs of a batch at once gives the marginals; a loose
@@ -48,8 +49,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOOSE_PHONE = re.compile(r"(?<![\w+.(-])\(?[0-9]{2,4}\)?(?:[ .-]?\(?[0-9]{2,5}\)?){1,5}(?![\w-])")
+_LOOSE_PHONE = re.compile(r"(?<![\w+.(-])(?:[0-9](?:[.-]\(?|\()[0-9]{2,5}\)?|\(?[0-9]{2,4}\)?)(?:[ .-]?\(?[0-9]{2,5}\)?){1,5}(?![\w-])")
 _LOOSE_EMAIL = re.compile(r"(?<![\w.@%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+){0,4} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)[A-Za-z0-9-]+){1,4}", re.I)
+_LOOSE_IP = re.compile(r"(?<![\w.-])(?=([0-9]{1,3}(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\(\.\)|\[\.\]|\{\.\}) ?| dot | ?\. ?|[ -])[0-9]{1,3}){3}(?![\w-]|\.[0-9])))", re.I)  # at every start, as a number may stand before
+_LOOSE_CARD = re.compile(r"(?<![\w./,-])[0-9]{2,7}( {2,3}| ?[./_,-] ?)[0-9]{2,7}(?:\1[0-9]{2,7}){1,7}(?!\w)")
 _DIGIT = re.compile(r"[0-9]")
 _CANDIDATE = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shape", T.IntegerType()), ("same", T.StringType()))])
 
@@ -91,12 +94,18 @@ def _shape(span: str) -> int:
 
 
 def _same(kind: int, span: str) -> str:
-    """What similar candidates have in common: the last seven digits and more, or the address."""
+    """What similar candidates have in common: the last nine digits, or the address."""
     if kind == 0:
         plain = re.sub(r" ?[(\[{]at[)\]}] ?| at ", "@", span.lower())
         return "@" + re.sub(r" ?[(\[{]dot[)\]}] ?| dot ", ".", plain).replace(" ", "")
-    digits = "".join(_DIGIT.findall(span))
-    return digits if kind == 1 else digits[-9:]
+    if kind == 1:
+        return ".".join(p.lstrip("0") or "0" for p in re.findall("[0-9]+", span))
+    return "".join(_DIGIT.findall(span))[-9:]
+
+
+def _tails(same: str) -> list[str]:
+    """Under which names others may mean the same: a number's last seven digits and more."""
+    return [same[-n:] for n in range(7, len(same) + 1)] if same.isdigit() else [same]
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
@@ -104,13 +113,24 @@ def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
     base = base_spans(text)
     out = [(kind, s, e, _shape(text[s:e]), _same(kind, text[s:e])) for kind, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
+    if not taken:  # a loose candidate is added by its consistency with a base one only
+        return out
     loose = []
     if _DIGIT.search(text):
         loose += [(3, *m.span()) for m in _LOOSE_PHONE.finditer(text) if 7 <= len(_DIGIT.findall(m[0])) <= 15]
+        kinds = {kind for kind, _, _ in base}
+        for m in _LOOSE_IP.finditer(text) if 1 in kinds else ():
+            spelt = "." in m[1] or "dot" in m[1].lower()
+            if all(int(p) <= 255 for p in re.findall("[0-9]+", m[1])) and (spelt or len(_DIGIT.findall(m[1])) >= 7):
+                loose.append((1, *m.span(1)))
+        for m in _LOOSE_CARD.finditer(text) if 2 in kinds else ():
+            digits = "".join(_DIGIT.findall(m[0]))
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                loose.append((2, *m.span()))
     low = text.lower()
-    if "at)" in low or "at]" in low or "at}" in low or " dot " in low:
+    if any(sign in low for sign in (" at ", "(at)", "[at]", "{at}")):  # all that _LOOSE_EMAIL takes for the at
         loose += [(0, *m.span()) for m in _LOOSE_EMAIL.finditer(text)]
-    if loose and taken:
+    if loose:
         starts, ends = np.array(taken).T
         furthest = np.maximum.accumulate(ends)
         for kind, s, e in loose:
@@ -159,18 +179,32 @@ class Field:
         fixed = np.flatnonzero(kinds != NONE)
         node[fixed, kinds[fixed]] = 0.0
         chain = np.flatnonzero(docs[1:] == docs[:-1])
-        last: dict[tuple[int, str], int] = {}
-        sure: dict[tuple[int, str], int] = {}
-        keys = list(zip(docs.tolist(), same, strict=True))
+        names = [(doc, key, _tails(key)) for doc, key in zip(docs.tolist(), same, strict=True)]
+        # by whole key and by any tail: the first base candidate, the last one so far
+        sure: tuple[dict, dict] = ({}, {})
+        last: tuple[dict, dict] = ({}, {})
+
+        def enter(known: tuple[dict, dict], i: int) -> None:
+            doc, key, tails = names[i]
+            known[0][doc, key] = i
+            known[1].update(((doc, t), i) for t in tails)
+
+        def similar(known: tuple[dict, dict], i: int) -> list[int]:
+            doc, key, tails = names[i]
+            at = [known[1].get((doc, key)), *[known[0].get((doc, t)) for t in tails]]
+            return [x for x in at if x is not None]
+
         for i in fixed[::-1].tolist():
-            sure[keys[i]] = i
+            enter(sure, i)
         skips = []
-        for i, key in enumerate(keys):
-            if key in last:
-                skips.append((last[key], i))
-            if kinds[i] == NONE and sure.get(key, i) not in (i, last.get(key)):
-                skips.append((sure[key], i))
-            last[key] = i
+        for i in range(n):
+            before = max(similar(last, i), default=None)
+            if before is not None:
+                skips.append((before, i))
+            base = min(similar(sure, i), default=i) if kinds[i] == NONE else i
+            if base not in (i, before):
+                skips.append((base, i))
+            enter(last, i)
         a, b = np.array(skips, np.int64).reshape(-1, 2).T
         source = np.concatenate([chain, chain + 1, a, b])
         target = np.concatenate([chain + 1, chain, b, a])

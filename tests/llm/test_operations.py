@@ -322,6 +322,32 @@ def test_pii_redaction(spark, awkward, empty):
     assert sorted(map(repr, pii.redact(awkward).where("text is null").collect())) == sorted(map(repr, awkward.where("text is null").collect()))
 
 
+LOOSE = [
+    ("mail john@example.com or john at example.com", ["john at example.com"]),
+    ("mail john@example.com or call jane at example.com", []),
+    ("call +1 743 555 3824 or 555-3824 or 1-743-555-3824", ["555-3824", "1-743-555-3824"]),
+    ("call +47 22 12 34 56 or 22 12 34 56 or 22 12 34 57", ["22 12 34 56"]),
+    ("call 555-3824, abroad +1 743 555 3824", ["555-3824"]),
+    ("call +49 30 1234567, here 030 1234567", ["030 1234567"]),
+    ("host 192.168.10.12, that is 7 192 168 10 12 or 192[.]168[.]10[.]12 or 192 dot 168 dot 10 dot 13", ["192 168 10 12", "192[.]168[.]10[.]12"]),
+    ("card 4111 1111 1111 1111, again 22 4111.1111.1111.1111 or 4111/1111/1111/1112", ["4111.1111.1111.1111"]),
+]
+
+
+def test_loose_spans_do_not_hang_on_other_text(spark):
+    """Each loose form of a base span is added, with or without a stray sign elsewhere."""
+    texts = [t + more for more in ("", " a dot b") for t, _ in LOOSE] + ["plain text with 12 34 56 78"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pii.report(docs).collect():
+        text = texts[r["doc_id"]]
+        base = {f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in pii.base_spans(text)}
+        added = sorted(set(filter(None, r["spans"].split(","))) - base, key=lambda x: int(x.split(":")[1]))
+        want = LOOSE[r["doc_id"] % len(LOOSE)][1] if r["doc_id"] < 2 * len(LOOSE) else []
+        assert [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in added] == want, text
+    for long in ("a" * 300_000 + "a@b.c", "a@b.c " + "a." * 150_000 + " at ", "1.2.3.4 " + "1 " * 150_000, "+47 22 12 34 56 " + "12-" * 100_000):
+        pii.candidates(long)
+
+
 def test_many_signs_take_linear_time():
     text = "@" * 2_000_000 + " a@b.cz"
     assert pii.base_spans(text) == [(0, 2_000_001, len(text))]
