@@ -12,6 +12,11 @@ ends count as bad; of two at one distance a heading follows the later, others th
 their own element, else the bad one. If a
 page has no good block, its undecided ones are good.
 
+A class, an id or a form around most of a page may be its layout. It does not condemn a
+main inside, nor an article with more long dense text than all good blocks outside such
+wrappers have; and if nothing of a page would stay, such wrappers are undecided and the
+block rules decide, where they find a good block. Tags, roles and hidden parts condemn always.
+
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed in page order. Two ``br`` in a row end a block, one is a space;
 a table row is a block.
@@ -56,13 +61,13 @@ QUALIFIERS = frozenset("has have no not with without free".split())
 _FUNCTION = frozenset(FUNCTION_WORDS)
 
 
-def _hinted(attributes: str) -> tuple[bool, bool, bool]:
-    """Does a start tag's class, id, role or visibility mark boilerplate; does a class or id begin so; does it say header.
+def _hinted(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Does a start tag's class or id mark boilerplate; does one begin so; does it say header; does role or visibility mark boilerplate.
 
     A name that says with or without something (``has-sidebar``, ``no-comments``) says
     nothing of the element itself.
     """
-    bad = leads = header = False
+    bad = leads = header = sure = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
@@ -73,24 +78,36 @@ def _hinted(attributes: str) -> tuple[bool, bool, bool]:
                     leads |= not i and bool(words) and words[0] in HINTS
                     header |= "header" in words
         elif name == "role":
-            bad |= value.lower() in ROLES
+            sure |= value.lower() in ROLES
         elif name == "style":
-            bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            sure |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
-            bad |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
-    return bad, leads, header
+            sure |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
+    return bad, leads, header, sure
 
 
 #: text, characters in links, in boilerplate, number of its content root (negative: an article named as boilerplate), heading, element
 Block = tuple[str, int, bool, int, bool, str]
+_OUTSIDE = ("", False, False, 0, False, 0)
+
+
+def _long_and_dense(text: str) -> bool:
+    words = _WORD.findall(text.lower())
+    return len(text) >= LONG and sum(w in _FUNCTION for w in words) >= DENSE * max(1, len(words))
 
 
 class _Page:
-    """Blocks of one page."""
+    """Blocks of one page.
+
+    spared are the numbers of articles that a wrapper's name does not condemn; lenient, no
+    element is condemned by its name or as a form.
+    """
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, spared: frozenset[int] = frozenset(), lenient: bool = False):
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, in a header, content root
+        self.spared, self.lenient = spared, lenient
+        self.open: list[tuple[str, bool, bool, int, bool, int]] = []  # name, boilerplate, in a header, content root, surely boilerplate, article in a wrapper
+        self.wrapped: dict[int, int] = {}  # long dense text of articles in wrappers
         self.pieces: list[str] = []
         self.linked = self.in_link = self.breaks = self.roots = 0
         self.heading = False
@@ -127,7 +144,9 @@ class _Page:
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, bad, in_header, root = self.open[-1] if self.open else ("", False, False, 0)
+            _, bad, in_header, root, sure, article = self.open[-1] if self.open else _OUTSIDE
+            if article and not sure and self.linked <= LINKED * (len(text) - text.count(" ")) and _long_and_dense(text):
+                self.wrapped[article] += len(text)
             boilerplate = bad or in_header and not (root and self.heading)
             self.blocks.append((text, self.linked, boilerplate, root, self.heading, self.open[-1][0] if self.open else ""))
         self.pieces.clear()
@@ -142,7 +161,8 @@ class _Page:
             return
         if name in ("td", "th"):
             self.pieces.append(" ")
-        hinted, leads, says_header = _hinted(attributes) if attributes and not attributes.isspace() else (False, False, False)
+        named, leads, says_header, surely = _hinted(attributes) if attributes and not attributes.isspace() else (False, False, False, False)
+        hinted = named or surely
         if name == "a":
             self.in_link = 1
         if name in INLINE and not hinted:
@@ -153,16 +173,26 @@ class _Page:
             return
         if name not in INLINE:
             self.close_implied(name)
-        _, bad, in_header, root = self.open[-1] if self.open else ("", False, False, 0)
+        _, bad, in_header, root, sure, article = self.open[-1] if self.open else _OUTSIDE
         aside = name == "article" and leads  # a comment, a related piece and the like
+        if (bad or in_header) and not sure and (name == "main" or name == "article" and not aside):
+            if name == "article" and not article:
+                article = len(self.wrapped) + 1
+                self.wrapped[article] = 0
+            if name == "main" or article in self.spared:
+                bad = in_header = False
         bad = bad or aside and root != 0
         if name in ("main", "article") and not bad and not root:
             self.roots += 1
             root = -self.roots if aside else self.roots
         self.heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
         # the body's own class describes the page
-        bad = bad or name in BOILERPLATE or hinted and name not in ("html", "body", "main", "article")
-        self.open.append((name, bad, in_header or name == "header" or says_header and not root, root))
+        own = name not in ("html", "body", "main", "article")
+        sure = sure or name == "header" or name in BOILERPLATE and name != "form" or surely and own or aside and root != 0
+        if self.lenient:
+            named = says_header = False
+        bad = bad or name in BOILERPLATE and not (self.lenient and name == "form") or (named or surely) and own
+        self.open.append((name, bad, in_header or name == "header" or says_header and not root, root, sure, article))
 
     def close_implied(self, name: str) -> None:
         """A new block ends an open paragraph; a list item, cell or row ends the one before."""
@@ -195,9 +225,7 @@ def _first_pass(blocks: list[Block]) -> list[int]:
         if bad or rooted and not root or plain and root < 0 or linked > LINKED * chars or not root and "©" in text[:80]:
             out.append(-1)
             continue
-        words = _WORD.findall(text.lower())
-        dense = sum(w in _FUNCTION for w in words) >= DENSE * max(1, len(words))
-        out.append(1 if len(text) >= LONG and dense else 0)
+        out.append(1 if _long_and_dense(text) else 0)
     return out
 
 
@@ -231,9 +259,22 @@ def _second_pass(blocks: list[Block], first: list[int]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    blocks = _Page(page).blocks if page else []
-    keep = _second_pass(blocks, _first_pass(blocks))
-    return "\n".join(b[0] for b, good in zip(blocks, keep, strict=True) if good)
+    if not page:
+        return ""
+    made = _Page(page)
+    first = _first_pass(made.blocks)
+    good = sum(len(b[0]) for b, label in zip(made.blocks, first, strict=True) if label > 0)
+    spared = frozenset(k for k, n in made.wrapped.items() if n > good)
+    if spared:
+        made = _Page(page, spared)
+        first = _first_pass(made.blocks)
+    keep = _second_pass(made.blocks, first)
+    if made.blocks and not any(keep):
+        lenient = _Page(page, lenient=True)
+        first = _first_pass(lenient.blocks)
+        if any(label > 0 for label in first):
+            made, keep = lenient, _second_pass(lenient.blocks, first)
+    return "\n".join(b[0] for b, stays in zip(made.blocks, keep, strict=True) if stays)
 
 
 def _texts(column: pa.Array) -> pa.Array:

@@ -271,6 +271,28 @@ def test_html_on_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_a_wrapper_does_not_condemn_the_page():
+    """A layout's name or a page-wide form is no boilerplate; what is named so beside an article stays out."""
+    prose = "This is the long story of a town that was built by the sea and of the people who lived in it for years."
+    other = "And this is what the readers of the paper had to say about it when they were asked for their views on it."
+    article, side = f"<article><h1>Town</h1><p>{prose}</p><p>{prose}</p></article>", f"<p>{other}</p>"
+    want = f"Town\n{prose}\n{prose}"
+    for wrapped in (
+        f"<div class='content-sidebar-wrap'><main><h1>Town</h1><p>{prose}</p><p>{prose}</p></main></div>",
+        f"<div class='content-sidebar-wrap'><nav><p>{other}</p></nav>{article}</div>",
+        f"<div class='layout-sidebar-right'>{article}</div>{side}",
+        f"<form id='aspnetForm'>{article}<footer>{side}</footer></form>",
+        f"<form id='aspnetForm'><h1>Town</h1><p>{prose}</p><p>{prose}</p></form>",
+        f"<div id='page-header-wrap'><main><h1>Town</h1><p>{prose}</p><p>{prose}</p></main></div>",
+        f"<main><div class='layout-sidebar-right'>{article}</div></main>",
+        f"{article}<div class='related'><article>{side}</article><article>{side}</article></div>",
+        f"{article}<div class='comments'>{side * 9}</div>",
+    ):
+        assert html_text.main_text(f"<html><body>{wrapped}</body></html>") == want, wrapped
+    assert html_text.main_text(f"<body><form id='login'><label>Name</label><input> Password</form><nav>{side}</nav></body>") == ""
+    assert html_text.main_text(f"<body><div hidden class='sidebar'><main>{side}</main></div></body>") == ""
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
