@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The characters that count as white space, and the line ends.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-#: Named character references decoded besides the numeric ones, & last.
+#: The named character references that the queries' SQL decodes, & last; the operators decode all.
 REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
@@ -29,13 +29,3 @@ def or_missing(text: Column) -> Column:
 def suffix(path: Column) -> Column:
     """Lower-case ``.ext`` of a path's last part, else an empty string; a leading dot is no suffix."""
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))
-
-
-def decode_references(text: Column) -> Column:
-    """Decimal references below 128 and the named ones in REFERENCES."""
-    for name, character in REFERENCES:
-        if name == "&amp;":
-            text = F.regexp_replace(text, r"&#0*39;|&#x0*27;", "'")
-            text = F.regexp_replace(text, r"&#0*160;|&#x0*[aA]0;", " ")
-        text = F.replace(text, F.lit(name), F.lit(character))
-    return text

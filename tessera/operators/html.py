@@ -1,45 +1,116 @@
-"""Title and text of HTML pages as column expressions.
+"""Title and text of HTML pages, by Python's own HTML parser.
 
-Regular expressions, not a tree: a boilerplate element nested in another of the same
-name ends at the first closing tag.
+The open elements are a stack: an end tag closes the last element of its name and all
+that is open in it, one without such an element is ignored, and what is never closed goes
+to its parent's end. Every character reference of HTML is decoded.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from tessera.functions.text import decode_references, lines, strip
+from pyspark.sql import types as T
 
 #: Elements whose whole content is dropped.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript")
+#: Elements without content.
+VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
+ROOTS = ("main", "article", "body")
+
+
+class _Page(HTMLParser):
+    """The text nodes outside dropped elements, and where the first elements of some names begin and end in them."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.nodes: list[str] = []
+        self.spans: dict[str, list[int]] = {}
+        self.open: list[tuple[str, bool, bool]] = []  # name, dropped, the first of its name
+        self.count: Counter[str] = Counter()  # of the open elements' names
+        self.pieces: list[str] = []
+        self.feed(page)
+        self.close()
+        self.flush()
+        while self.open:
+            self.pop()
+
+    def flush(self) -> None:
+        text = "".join(self.pieces).strip()
+        if text and not (self.open and self.open[-1][1]):
+            self.nodes.append(text)
+        self.pieces.clear()
+
+    def pop(self) -> str:
+        name, _, first = self.open.pop()
+        self.count[name] -= 1
+        if first:
+            self.spans[name][1] = len(self.nodes)
+        return name
+
+    def handle_data(self, data: str) -> None:
+        self.pieces.append(data)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.flush()
+        if tag in VOID:
+            return
+        dropped = bool(self.open) and self.open[-1][1] or tag in DROPPED
+        first = not dropped and tag not in self.spans and (tag in ROOTS or tag == "title")
+        if first:
+            self.spans[tag] = [len(self.nodes), len(self.nodes)]
+        self.open.append((tag, dropped, first))
+        self.count[tag] += 1
+
+    def handle_endtag(self, tag: str) -> None:
+        self.flush()
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+    def handle_comment(self, data: str) -> None:
+        self.flush()
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown section is a comment
+            return self.parse_bogus_comment(i)
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def page_text(page: str) -> str:
+    """Every text node a line, stripped, blank ones dropped; of the first main, else the first article, else the body, else all, even an empty one."""
+    made = _Page(page)
+    start, end = next((made.spans[r] for r in ROOTS if r in made.spans), (0, len(made.nodes)))
+    return "\n".join(x for node in made.nodes[start:end] for line in node.splitlines() if (x := line.strip()))
+
+
+def page_title(page: str) -> str | None:
+    made = _Page(page)
+    return " ".join(made.nodes[slice(*made.spans["title"])]) if "title" in made.spans else None
 
 
-def without_boilerplate(page: Column) -> Column:
-    page = F.regexp_replace(page, r"(?s)<!--.*?-->", "\n")
-    for tag in DROPPED:
-        page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
-    return page
+def _texts(pages: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else page_text(p) for p in pages.to_pylist()], pa.string())
 
 
-def content_root(page: Column) -> Column:
-    """The first main, else the first article, else the body, else all; an empty one is chosen too."""
-    out = F.when(page.rlike(r"(?is)<main\b"), F.regexp_extract(page, r"(?is)<main\b[^>]*>(.*?)(?:</main\s*>|\z)", 1))
-    for tag in ("article", "body"):
-        out = out.when(page.rlike(rf"(?is)<{tag}\b"), F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*?)(?:</{tag}\s*>|\z)", 1))
-    return out.otherwise(page)
+def _titles(pages: pa.Array) -> pa.Array:
+    return pa.array([None if p is None else page_title(p) for p in pages.to_pylist()], pa.string())
 
 
 def html_text(page: Column) -> Column:
     """Every text node a line, stripped, blank ones dropped."""
-    root = content_root(without_boilerplate(page))
-    return F.array_join(lines(decode_references(F.regexp_replace(root, r"(?s)<[^>]*>", "\n"))), "\n")
+    return F.arrow_udf(_texts, T.StringType())(page)
 
 
 def html_title(page: Column, stem: Column) -> Column:
     """The title's text; a page without the element has the file's stem."""
-    inner = F.regexp_extract(without_boilerplate(page), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return F.when(page.rlike(r"(?is)<title\b"), strip(decode_references(inner))).otherwise(stem)
+    return F.coalesce(F.arrow_udf(_titles, T.StringType())(page), stem)
 
 
 def decoded_text(content: Column) -> Column:

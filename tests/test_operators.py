@@ -46,6 +46,25 @@ def test_html(spark):
     assert got[:4] == [(t, x) for _, t, x in HTML[:4]] and got[4][1] is None
 
 
+WHOLE = [
+    ("<title>It&#8217;s &eacute;t&#xe9; &#x2014; &hellip;</title><p>caf&#233; &#8364;5 &amp;amp; &#39;x&#39; &euro;</p>", "It’s été — …", "It’s été — …\ncafé €5 &amp; 'x' €"),
+    ("<body><article>a<article>b</article>c</article>d</body>", "stem", "a\nb\nc"),
+    ("<main>a<main>b</main><p>c</p></main>d", "stem", "a\nb\nc"),
+    ("<body>a<nav>x<nav>y</nav>z</nav>b</body>", "stem", "a\nb"),
+    ("<body><p>a</p><div><nav>x<p>y</p></div>b</body>", "stem", "a\nb"),
+    ("<body>a<nav>x", "stem", "a"),
+    ("<body>a<script>if (1 < 2) x", "stem", "a"),
+    ("<nav><title>t</title><main>m</main></nav><article>a</article>", "stem", "a"),
+    ("<p title='a > b'>1 < 2</p>", "stem", "1 < 2"),
+    ("<body>a<![foo[x]]>b", "stem", "a\nb"),
+]
+
+
+def test_html_nested_unclosed_and_references(spark):
+    df = spark.createDataFrame([(h,) for h, _, _ in WHOLE], "h string")
+    assert values(df, html.html_title(F.col("h"), F.lit("stem")), html.html_text(F.col("h"))) == [(t, x) for _, t, x in WHOLE]
+
+
 def test_pages_and_paragraphs(spark):
     pages = spark.createDataFrame([(1, 2, " b ", 0), (1, 1, "a", 0), (1, 3, "", 0), (2, 1, " ", 1), (3, 1, None, 0)], "doc int, page_number int, text string, image_count int")
     out = {r["doc"]: r for r in assemble.from_pages(pages).collect()}
