@@ -175,7 +175,7 @@ def pruned(least: dict[int, int]):
             keys = table["key"].combine_chunks()
             offsets = np.concatenate([np.searchsorted(left, rows), [len(left)]]).astype(np.int32)
             partners = pa.ListArray.from_arrays(pa.array(offsets), keys.take(pa.array(right)))
-            out = table.select(["task", "key", "rep", "copies"]).take(pa.array(rows)).append_column("partners", partners)
+            out = table.select(["task", "key", "copies"]).take(pa.array(rows)).append_column("partners", partners)
             yield from out.to_batches(max_chunksize=20_000)
 
     return run
@@ -220,7 +220,6 @@ def verified(threshold: float):
             partners = table["partners"].to_pylist()
             out: tuple[list, list, list] = ([], [], [])
             for start, end in zip(borders, borders[1:], strict=False):
-                # a doc_id may repeat with another text, or the same text
                 rows = {keys[r]: r for r in range(start, end) if found[r] == keys[r]}
                 at = {k: n for n, k in enumerate(rows)}
                 pairs = np.array(sorted({(at[keys[r]], at[p]) for r in rows.values() for p in partners[r] if p in at}), np.int64).reshape(-1, 2)
@@ -325,9 +324,10 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, tolerance: flo
     spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     spots = spots.select("key", F.col("band").cast("int"), F.xxhash64("bucket", low, high).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    members = spots.join(classes, "key").select("task", "band", "side", "key", "rep", "copies", "bands")
+    members = spots.join(classes, "key").select("task", "band", "side", "key", "copies", "bands")
     left = members.repartition("task").sortWithinPartitions("task")
-    kept = left.mapInArrow(pruned(least_matches(threshold, tolerance)), "task bigint, key binary, rep bigint, copies bigint, partners array<binary>")
-    told = docs.withColumnRenamed("doc_id", "rep")
-    kept = kept.join(told, kept["rep"].eqNullSafe(told["rep"])).select("task", "key", "copies", "partners", "text")
+    kept = left.mapInArrow(pruned(least_matches(threshold, tolerance)), "task bigint, key binary, copies bigint, partners array<binary>")
+    # one text per key, as doc_ids may be null or repeat; copies are merged before the exchange
+    told = docs.select(F.arrow_udf(_keys_of, T.BinaryType())("text").alias("key"), "text").where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
+    kept = kept.join(told, "key").select("task", "key", "copies", "partners", "text")
     return kept.repartition("task").sortWithinPartitions("task").mapInArrow(verified(threshold), "key binary, links bigint, root binary")

@@ -132,6 +132,29 @@ def test_large_groups_of_near_copies(spark):
     assert {c for i, (_, c) in got.items() if want[i]} == {0}
 
 
+def test_null_and_repeated_ids_do_not_multiply_texts(spark, monkeypatch):
+    """A candidate meets its own text, not that of every row under its doc_id."""
+    rnd = random.Random(6)
+    texts = [" ".join(f"u{rnd.randrange(5000)}" for _ in range(60)) for _ in range(60)]
+    texts += [t + " end" for t in texts]
+    right = near_dup.verified
+    for same in (None, 7):
+        df = spark.createDataFrame([(same, t) for t in texts + texts[:5]], "doc_id bigint, text string")
+        rows = near_dup.near_duplicates(df).collect()
+        assert sorted(r["n_links"] for r in rows) == [1] * 110 + [2] * 15 and {r["class_id"] for r in rows} == {same}
+
+        def counted(threshold):
+            def run(batches):
+                for b in batches:
+                    yield pa.RecordBatch.from_arrays([b["key"], pa.array([1] * len(b), pa.int64()), b["key"]], ["key", "links", "root"])
+
+            return run
+
+        monkeypatch.setattr(near_dup, "verified", counted)
+        assert max(r["n_links"] for r in near_dup.near_duplicates(df).collect()) <= near_dup.BANDS + 1
+        monkeypatch.setattr(near_dup, "verified", right)
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = near_dup.least_matches(0.8, 1e-6)
     assert list(least) == [20, 40, 60, 80] and all(m < 0.8 * n for n, m in least.items())
