@@ -15,7 +15,8 @@ page has no good block, its undecided ones are good.
 A class, an id or a form around most of a page may be its layout. It does not condemn a
 main inside, nor an article with more long dense text than all good blocks outside such
 wrappers have; and if nothing of a page would stay, such wrappers are undecided and the
-block rules decide, where they find a good block. Tags, roles and hidden parts condemn always.
+block rules decide, where they find a good block. Inside a main or article a name with a subject of its own
+(``search-algorithms``) condemns only blocks that are not long and dense. Tags, roles and hidden parts condemn always.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed in page order. Two ``br`` in a row end a block, one is a space;
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,8 @@ from pyspark.sql import types as T
 from tessera.llm.quality_rules import FUNCTION_WORDS
 
 LONG, DENSE, LINKED = 70, 0.1, 0.5
-_TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
+# outside quotes a tag stops at the next <, else many tags that nothing closes would each be read to the end
+_TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 #: HTML elements by what they do to blocks.
@@ -57,24 +60,32 @@ HINTS = set(
     "replies respond social share sharing related recommended newsletter subscribe signup login search form pagination pager toolbar copyright "
     "disclaimer skip".split()
 )
+#: Words beside those that say nothing of an element's subject.
+STRUCTURE = frozenset(
+    "area author bar block body bottom box btn button buttons buttonset col column container content entry field fixed global group head header holder icon icons id "
+    "inline inner input item items js layout left link links list main media message meta mobile module name news outer page panel policy post posts primary row right "
+    "secondary section site slot small sticky tabs text thread title toggle top ui unit view wp wrap wrapper zone".split()
+)
 QUALIFIERS = frozenset("has have no not with without free".split())
 _FUNCTION = frozenset(FUNCTION_WORDS)
 
 
-def _hinted(attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Does a start tag's class or id mark boilerplate; does one begin so; does it say header; does role or visibility mark boilerplate.
+def _hinted(attributes: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Does a start tag's class or id mark boilerplate; only by a name with a subject of its own (``search-algorithms``); does one begin so; does it say header; does role or visibility mark boilerplate.
 
     A name that says with or without something (``has-sidebar``, ``no-comments``) says
     nothing of the element itself.
     """
-    bad = leads = header = sure = False
+    bad = plain = leads = header = sure = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
             for i, part in enumerate(value.split()):
                 words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", part)]
                 if QUALIFIERS.isdisjoint(words):
-                    bad |= not HINTS.isdisjoint(words)
+                    hints = not HINTS.isdisjoint(words)
+                    bad |= hints
+                    plain |= hints and (HINTS | STRUCTURE).issuperset(words)
                     leads |= not i and bool(words) and words[0] in HINTS
                     header |= "header" in words
         elif name == "role":
@@ -83,12 +94,12 @@ def _hinted(attributes: str) -> tuple[bool, bool, bool, bool]:
             sure |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             sure |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
-    return bad, leads, header, sure
+    return bad, bad and not plain, leads, header, sure
 
 
 #: text, characters in links, in boilerplate, number of its content root (negative: an article named as boilerplate), heading, element
 Block = tuple[str, int, bool, int, bool, str]
-_OUTSIDE = ("", False, False, 0, False, 0)
+_OUTSIDE = ("", False, False, 0, False, 0, False)
 
 
 def _long_and_dense(text: str) -> bool:
@@ -106,15 +117,23 @@ class _Page:
     def __init__(self, page: str, spared: frozenset[int] = frozenset(), lenient: bool = False):
         self.blocks: list[Block] = []
         self.spared, self.lenient = spared, lenient
-        self.open: list[tuple[str, bool, bool, int, bool, int]] = []  # name, boilerplate, in a header, content root, surely boilerplate, article in a wrapper
+        # name, boilerplate, in a header, content root, surely boilerplate, article in a wrapper, perhaps boilerplate
+        self.open: list[tuple[str, bool, bool, int, bool, int, bool]] = []
+        self.names: Counter[str] = Counter()  # of the open elements
+        self.unseen = 0  # how many of them are not shown
         self.wrapped: dict[int, int] = {}  # long dense text of articles in wrappers
         self.pieces: list[str] = []
         self.linked = self.in_link = self.breaks = self.roots = 0
         self.heading = False
-        at, low = 0, None
-        while m := _TAG.search(page, at):
+        at, low, last = 0, None, page.rfind(">") + 1  # every tag ends there at the latest
+        while m := _TAG.search(page, at, last):
             self.text(page[at : m.start()])
             at = m.end()
+            if m[0] == "<!--":
+                at = page.find("-->", at - 2) + 3
+                if at < 3:
+                    at = len(page)
+                continue
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
@@ -129,11 +148,12 @@ class _Page:
                 self.end(name)
             else:
                 self.start(name, attributes)
-        self.text(page[at:])
+        comment = page.find("<!--", at)
+        self.text(page[at : comment if comment >= 0 else len(page)])
         self.flush()
 
     def text(self, raw: str) -> None:
-        if raw and not (self.open and any(x[0] in UNSEEN for x in self.open)):
+        if raw and not self.unseen:
             if not raw.isspace():
                 self.breaks = 0
             piece = html.unescape(raw) if "&" in raw else raw
@@ -144,10 +164,10 @@ class _Page:
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, bad, in_header, root, sure, article = self.open[-1] if self.open else _OUTSIDE
+            _, bad, in_header, root, sure, article, weak = self.open[-1] if self.open else _OUTSIDE
             if article and not sure and self.linked <= LINKED * (len(text) - text.count(" ")) and _long_and_dense(text):
                 self.wrapped[article] += len(text)
-            boilerplate = bad or in_header and not (root and self.heading)
+            boilerplate = bad or in_header and not (root and self.heading) or weak and not _long_and_dense(text)
             self.blocks.append((text, self.linked, boilerplate, root, self.heading, self.open[-1][0] if self.open else ""))
         self.pieces.clear()
         self.linked = self.breaks = 0
@@ -161,7 +181,7 @@ class _Page:
             return
         if name in ("td", "th"):
             self.pieces.append(" ")
-        named, leads, says_header, surely = _hinted(attributes) if attributes and not attributes.isspace() else (False, False, False, False)
+        named, subject, leads, says_header, surely = _hinted(attributes) if attributes and not attributes.isspace() else (False,) * 5
         hinted = named or surely
         if name == "a":
             self.in_link = 1
@@ -173,7 +193,7 @@ class _Page:
             return
         if name not in INLINE:
             self.close_implied(name)
-        _, bad, in_header, root, sure, article = self.open[-1] if self.open else _OUTSIDE
+        _, bad, in_header, root, sure, article, weak = self.open[-1] if self.open else _OUTSIDE
         aside = name == "article" and leads  # a comment, a related piece and the like
         if (bad or in_header) and not sure and (name == "main" or name == "article" and not aside):
             if name == "article" and not article:
@@ -191,26 +211,36 @@ class _Page:
         sure = sure or name == "header" or name in BOILERPLATE and name != "form" or surely and own or aside and root != 0
         if self.lenient:
             named = says_header = False
+        if named and subject and root:  # a section of the text may be about what the word says
+            named, weak = False, True
         bad = bad or name in BOILERPLATE and not (self.lenient and name == "form") or (named or surely) and own
-        self.open.append((name, bad, in_header or name == "header" or says_header and not root, root, sure, article))
+        self.open.append((name, bad, in_header or name == "header" or says_header and not root, root, sure, article, weak))
+        self.names[name] += 1
+        self.unseen += name in UNSEEN
 
     def close_implied(self, name: str) -> None:
         """A new block ends an open paragraph; a list item, cell or row ends the one before."""
         same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
         while self.open and (self.open[-1][0] == "p" or self.open[-1][0] in same or self.open[-1][0] in INLINE):
-            self.open.pop()
+            self.pop()
+
+    def pop(self) -> str:
+        name = self.open.pop()[0]
+        self.names[name] -= 1
+        self.unseen -= name in UNSEEN
+        return name
 
     def end(self, name: str) -> None:
         if name == "a":
             self.in_link = 0
-        if name in INLINE and not any(x[0] == name for x in self.open):
+        if name in INLINE and not self.names[name]:
             return
         if name in ("td", "th"):
             self.pieces.append(" ")
         else:
             self.flush()
-        if any(x[0] == name for x in self.open):
-            while self.open.pop()[0] != name:
+        if self.names[name]:
+            while self.pop() != name:
                 pass
         self.heading = bool(self.open) and self.open[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
 
