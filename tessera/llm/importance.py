@@ -13,7 +13,7 @@ k is ``keep_share`` of all documents, by default the share of good ones among th
 labels. The k-th largest sum is found exactly by counting, 16 bits at a time, so that
 nothing is sorted or gathered.
 
-Defined cases: a null or empty text has no n-grams and log weight 0, and is never
+Defined cases: a null or empty text, or one of white space, has no n-grams and log weight 0, and is never
 kept. Documents with equal ids and texts have equal sums; all that tie with the k-th
 are kept. Labels with nulls in any column are left out; conflicting labels of a
 doc_id make it no target. Without any good label the target is the raw model, and
@@ -88,8 +88,10 @@ def _weights(ratio: np.ndarray):
         out = [np.zeros(0)]
         for t in texts(text):
             buckets, owner = _ngrams(t)
-            out.append(np.bincount(owner, ratio[buckets], len(t)))
-        return pa.array(np.concatenate(out))
+            weight = np.bincount(owner, ratio[buckets], len(t))
+            weight[np.bincount(owner, minlength=len(t)) == 0] = np.nan
+            out.append(weight)
+        return pa.array(np.concatenate(out), from_pandas=True)  # null without n-grams
 
     return run
 
@@ -103,11 +105,11 @@ def _labelled(labels: DataFrame, most: int) -> tuple[np.ndarray, float]:
 
 
 def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, float]:
-    """doc_id, n_words > 0, log_weight, gumbel of every document; the share of good labels."""
+    """doc_id, some (has it n-grams), log_weight, gumbel of every document; the share of good labels."""
     ids, share = _labelled(labels, max_labelled)
     sums = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(counted(ids), "bucket bigint, n bigint, good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     every, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in sums.toLocalIterator():  # a row per bucket
+    for r in sums.collect():  # a row per bucket
         every[r["bucket"]], good[r["bucket"]] = r["n"], r["good"]
     raw = (every + PSEUDO) / (every.sum() + PSEUDO * BUCKETS)
     # target over raw per bucket is a gamma variable of mean 1: buckets with few expected counts stay near 1,
@@ -118,7 +120,8 @@ def score(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     ratio = np.log(rate / (raw @ rate))
     weight = F.arrow_udf(_weights(ratio), T.DoubleType())("text")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
-    return docs.select("doc_id", (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("some"), weight.alias("log_weight"), (-F.log(-F.log(uniform))).alias("gumbel")), share
+    scored = docs.select("doc_id", weight.alias("w"), (-F.log(-F.log(uniform))).alias("gumbel"))
+    return scored.select("doc_id", F.col("w").isNotNull().alias("some"), F.coalesce("w", F.lit(0.0)).alias("log_weight"), "gumbel"), share
 
 
 def kth_largest(values: DataFrame, k: int) -> int | None:
