@@ -174,6 +174,13 @@ class Field:
 
     def label(self, kinds: np.ndarray, shapes: np.ndarray, docs: np.ndarray, same: list[str]) -> np.ndarray:
         """The kind of each candidate of some documents (candidates in order of document and start)."""
+        if not len(kinds):
+            return kinds
+        p = self.marginals(kinds, shapes, docs, same)
+        return np.where(kinds != NONE, kinds, np.where(p.max(1) > 0.5, p.argmax(1), NONE))
+
+    def marginals(self, kinds: np.ndarray, shapes: np.ndarray, docs: np.ndarray, same: list[str]) -> np.ndarray:
+        """By message passing, exact where a document's edges form no loop."""
         n = len(kinds)
         node = np.where((kinds == NONE)[:, None], self.node[np.searchsorted(self.codes, shapes)], -20.0)
         fixed = np.flatnonzero(kinds != NONE)
@@ -222,9 +229,7 @@ class Field:
             message = DAMPING * message + (1 - DAMPING) * new
         belief = node.copy()
         np.add.at(belief, target, message)
-        p = self._softmax(belief)
-        best = p.argmax(1)
-        return np.where(kinds != NONE, kinds, np.where(p.max(1) > 0.5, best, NONE)) if n else kinds
+        return self._softmax(belief)
 
 
 def fit(found: DataFrame) -> Field:
