@@ -1,10 +1,11 @@
 r"""Chat formatting into budgeted windows, in DataFrame functions only.
 
 A conversation is cut into windows. Prefix sums of its turns' tokens choose turn-
-aligned spans of new turns: a turn belongs to the span in whose stretch its first token
-falls, and the stretch is what the budget leaves beside the system turn, the history
-and the longest turn, so that a window exceeds the budget only if one turn with the
-system turn and the history does. Each window repeats the system turn (a first turn of
+aligned spans of new turns. What the budget leaves beside the system turn and the history is a
+span's room. A turn of more than half the room is a span of its own; between such turns, a
+turn belongs to the span in whose stretch its first token falls, and the stretch is the room less the longest
+of the other turns. So every span is at least about half full but before a long turn or the end, and a window
+exceeds the budget only if one turn with the system turn and the history does. Each window repeats the system turn (a first turn of
 role ``system``) and, before its new turns, up to ``history`` tokens of the turns before
 them. Only new assistant texts are under the loss mask; what is repeated is masked.
 
@@ -42,9 +43,10 @@ def unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"(?s)\\(.)", "$1")).otherwise(text)
 
 
-def tokens(text: Column) -> Column:
-    """An estimate, at least 4 a turn: one token for four characters."""
-    return (F.ceil(F.length(text) / 4) + 4).cast("bigint")
+def tokens(named: Column, said: Column) -> Column:
+    """An estimate of a formatted turn: 4 for the template, one for four ASCII characters, one for a letter of two bytes, 1.75 and 2.5 for characters of three and four."""
+    chars, octets = F.length(named) + F.length(said), F.octet_length(named) + F.octet_length(said)
+    return (F.ceil((3 * octets - 2 * chars) / 4) + 4).cast("bigint")
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -53,20 +55,33 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     whole = Window.partitionBy("conv_id")
-    t = t.select("conv_id", "role", F.row_number().over(order).alias("n"), tokens(t["text"]).alias("tokens"), escape(t["role"]).alias("named"), escape(t["text"]).alias("said"))
-    t = t.withColumn("lead", (F.col("n") == 1) & (F.col("role") == "system"))
+    t = t.select("conv_id", "role", F.row_number().over(order).alias("n"), escape(t["role"]).alias("named"), escape(t["text"]).alias("said"))
+    t = t.withColumns({"tokens": tokens(t["named"], t["said"]), "lead": (F.col("n") == 1) & (F.col("role") == "system")})
     by_n = Window.partitionBy("conv_id").orderBy("n")
+    earlier = by_n.rowsBetween(Window.unboundedPreceding, -1)
     cost = F.when(F.col("lead"), 0).otherwise(F.col("tokens"))
     t = t.withColumns(
         {
-            "at": F.coalesce(F.sum(cost).over(by_n.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "at": F.coalesce(F.sum(cost).over(earlier), F.lit(0)),
             "fixed": F.max(F.when(F.col("lead"), F.col("tokens")).otherwise(0)).over(whole),
-            "longest": F.max(cost).over(whole),
             "system": F.max(F.when(F.col("lead"), F.struct("named", "said"))).over(whole),
         }
     )
-    stretch = F.greatest(F.lit(1), F.lit(budget - history) - F.col("fixed") - F.col("longest"))
-    t = t.withColumn("span", F.floor(F.col("at") / stretch))
+    t = t.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.col("fixed")))
+    long = 2 * cost > F.col("room")
+    t = t.withColumns(
+        {
+            "long": long,
+            "others": F.max(F.when(~long, cost).otherwise(0)).over(whole),
+            "run": F.count_if(long).over(earlier),
+            "since": F.coalesce(F.max(F.when(long, F.col("at") + cost)).over(earlier), F.lit(0)),  # where the run of other turns begins
+        }
+    )
+    stretch = F.greatest(F.lit(1), F.col("room") - F.col("others"))
+    place = F.when(F.col("long"), F.lit(1 << 62)).otherwise(F.floor((F.col("at") - F.col("since")) / stretch))
+    t = t.withColumn("place", place)
+    place = F.when(F.col("lead"), F.coalesce(F.lead("place").over(by_n), "place")).otherwise(F.col("place"))  # the system turn goes with the turn after it
+    t = t.withColumn("span", F.struct("run", place.alias("place")))
     # the system turn has the place of the first turn after it, at 0, and is no history
     back = Window.partitionBy("conv_id").orderBy("at").rangeBetween(-history, -1)
     told = F.when(~F.col("lead"), F.struct("n", "named", "said"))

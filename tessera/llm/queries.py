@@ -78,17 +78,38 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-_CHAT_SQL = r"""
+#: How many signs the escapes of a text add
+_ADDED = lambda x: f"(length({x}) - length(replace({x}, chr(92), '')))" + "".join(
+    f" + (length({x}) - length(replace({x}, '{s}', ''))) // {len(s)}" for s in ("<|", "<s>", "</s>", "[INST]", "[/INST]")
+)
+_BUDGET, _HISTORY = chat.BUDGET, chat.HISTORY
+_SHOWN = sum(map(len, (chat.TURN, chat.TEXT, chat.END)))
+_CHAT_SQL = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, {_ADDED("role")} + {_ADDED("text")} AS more, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM t),
+c AS (SELECT *, length(role) + length(text) + more AS chars, strlen(role) + strlen(text) + more AS octets, n = 1 AND role = 'system' AS lead FROM e),
+k AS (SELECT *, CAST(ceil((3 * octets - 2 * chars) / 4) AS BIGINT) + 4 AS tokens FROM c),
+k2 AS (SELECT *, CASE WHEN lead THEN 0 ELSE tokens END AS cost FROM k),
+p AS (SELECT *, coalesce(sum(cost) OVER b, 0) AS pos, greatest(1, {_BUDGET - _HISTORY} - max(CASE WHEN lead THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id)) AS room,
+        coalesce(max(CASE WHEN lead THEN chars + {_SHOWN} END) OVER (PARTITION BY conv_id), 0) AS again
+      FROM k2 WINDOW b AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, max(CASE WHEN 2 * cost > room THEN 0 ELSE cost END) OVER (PARTITION BY conv_id) AS others, count(*) FILTER (2 * cost > room) OVER b AS run,
+        coalesce(max(CASE WHEN 2 * cost > room THEN pos + cost END) OVER b, 0) AS since
+      FROM p WINDOW b AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CASE WHEN 2 * cost > room THEN 4611686018427387904 ELSE CAST((pos - since) // greatest(1, room - others) AS BIGINT) END AS place,
+        coalesce(sum(CASE WHEN lead THEN 0 ELSE chars + {_SHOWN} END) OVER (PARTITION BY conv_id ORDER BY pos RANGE BETWEEN {_HISTORY} PRECEDING AND 1 PRECEDING), 0) AS told FROM r),
+s2 AS (SELECT *, CASE WHEN lead THEN coalesce(lead(place) OVER (PARTITION BY conv_id ORDER BY n), place) ELSE place END AS spot FROM s),
+w AS (SELECT conv_id, run, spot, sum(chars + {_SHOWN}) + min_by(told, n) + CASE WHEN min(n) > 1 THEN max(again) ELSE 0 END AS formatted FROM s2 GROUP BY conv_id, run, spot),
+f AS (SELECT conv_id, CAST(sum(formatted) AS BIGINT) AS formatted_chars FROM w GROUP BY conv_id),
 g AS (
-  SELECT conv_id, count(*) AS n,
-         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
-         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt
-  FROM t GROUP BY conv_id)
-SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256 FROM g"""
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS said,
+         coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS learnt
+  FROM e GROUP BY conv_id)
+SELECT g.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM g JOIN f ON g.conv_id IS NOT DISTINCT FROM f.conv_id"""
 
 _DECONTAMINATION_SQL = f"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
@@ -119,6 +140,7 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l
 SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS n_links FROM reach GROUP BY a"""
 
 SQL: dict[str, str] = {
+    "op4_chat_formatting": _CHAT_SQL,
     "op5_decontamination": _DECONTAMINATION_SQL,
     "op7_mixing": mixing.SQL,
     "op8_ngram_jaccard": _NEAR_DUP_SQL,
