@@ -5,11 +5,14 @@ the largest wins, so that doc_id and the number of shards decide, and a further
 shard only takes rows into itself (law ``key``).
 
 First pass: every record is scattered by a seeded hash of its record number into one
-of the shard's buckets, of about ``bucket_bytes`` each, and written to the shared
-folder; the record number makes buckets even whatever the texts or keys repeat.
-Second pass: each bucket is read as one array, put into record order and shuffled by
-Spark's ``shuffle`` (Fisher-Yates); the sizes of the buckets before it give its first
-slot. Only a bucket is ever held at once.
+of its shard's buckets and written to the shared folder. A shard has as many buckets of
+about ``bucket_bytes`` as its measured bytes need, so a shard with a third of all rows has buckets like any
+other; the record number makes them even whatever the texts or keys repeat.
+Second pass: each bucket is a partition of its own, read as one array, put into record order
+and shuffled by Spark's ``shuffle`` (Fisher-Yates), whose generator is seeded with the seed and the
+partition's number, that is the bucket's. So the slots of a scattered table do not depend on the plan
+or on repeated tasks. The sizes of the buckets before it, sent to the same partition as one more row,
+give its first slot. There are at most ``most_buckets`` partitions; beyond that buckets grow.
 
 Defined cases: a null text has size 8 and CRC 0 and stays null. Null doc_ids share a
 shard. Repeated rows are records of their own, in the same shard. Empty tables give
@@ -27,7 +30,7 @@ from pyspark.sql.window import Window
 from tessera.llm.staging import staged
 
 SHARDS, SEED = 24, 20240229
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 100_000
 LAW = "key"
 
 
@@ -46,26 +49,27 @@ def stored_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint")
 
 
-def shards(docs: DataFrame, n: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shards(docs: DataFrame, n: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, most_buckets: int = MOST_BUCKETS) -> DataFrame:
     """The documents, whole, as one struct column ``record``, with shard and slot (from 0, without gaps)."""
-    total = docs.agg(F.sum(stored_size(docs["text"])).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-total // (n * bucket_bytes)))
+    shard = shard_of(docs["doc_id"], n, seed)
+    sizes = docs.select(shard.alias("shard"), stored_size(docs["text"]).alias("size")).groupBy("shard").agg(F.sum("size").alias("size")).collect()  # a row per shard
+    size = {r["shard"]: r["size"] for r in sizes}
+    bucket_bytes = max(bucket_bytes, -(-sum(size.values()) // max(1, most_buckets - n)))
+    each = [max(1, -(-size.get(k, 0) // bucket_bytes)) for k in range(n)]
+    begins = [sum(each[:k]) for k in range(n)]
     number = F.monotonically_increasing_id()
-    scattered = docs.select(
-        shard_of(docs["doc_id"], n, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed), number), F.lit(buckets)).cast("bigint").alias("bucket"),
-        number.alias("number"),
-        F.struct(*[docs[c] for c in docs.columns]).alias("record"),
-    )
-    scattered = staged(scattered, "scattered")
+    of_shard = lambda values: F.get(F.array(*map(F.lit, values)), F.col("shard"))
+    scattered = docs.select(shard.alias("shard"), number.alias("number"), F.struct(*[docs[c] for c in docs.columns]).alias("record"))
+    bucket = of_shard(begins) + F.pmod(F.xxhash64(F.lit(seed), "number"), of_shard(each))
+    scattered = staged(scattered.select("shard", bucket.cast("int").alias("bucket"), "number", "record"), "scattered")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    first = first.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    held = scattered.repartition(n * buckets, "shard", "bucket").groupBy("shard", "bucket").agg(F.collect_list(F.struct("number", "record")).alias("held"))
-    placed = held.join(first, ["shard", "bucket"]).select(
-        "shard", "first", F.posexplode(F.shuffle(F.array_sort("held", lambda a, b: F.signum(a["number"] - b["number"]).cast("int")), seed)).alias("place", "held")
-    )
-    return placed.select("shard", (F.col("first") + F.col("place")).alias("slot"), F.col("held.record").alias("record"))
+    first = first.select("bucket", F.struct("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("slot")).alias("first"))
+    told = scattered.select("bucket", F.struct("number", "record").alias("held")).unionByName(first, allowMissingColumns=True)
+    held = told.repartitionById(sum(each), F.col("bucket")).groupBy("bucket").agg(F.collect_list("held").alias("held"), F.max("first").alias("first"))
+    in_order = F.array_sort("held", lambda a, b: F.signum(a["number"] - b["number"]).cast("int"))
+    placed = held.select("first", F.posexplode(F.shuffle(in_order, seed)).alias("place", "held"))
+    return placed.select(F.col("first.shard").alias("shard"), (F.col("first.slot") + F.col("place")).alias("slot"), F.col("held.record").alias("record"))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
