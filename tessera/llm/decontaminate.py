@@ -12,10 +12,12 @@ that is rarest in the corpus. The steps:
    place where the window would begin; the length and positional bounds drop what
    does not fit into the document; the window's words are then compared one by one.
 
-The windows go to all tasks only in parts of at most ``part_bytes`` of item text. A
-larger benchmark is worked through part by part over the same rows, the words hit
-so far carried along as intervals, so that no table of pairs is shuffled. A
-benchmark item longer than a part is a part of its own.
+A benchmark of at most ``most_bytes`` of text goes to all tasks as tables of windows. A larger one
+is joined by shuffle on the prefix shingles (``mark_large``): documents are read twice, once to count
+shingles in a fixed number of buckets (any order of shingles gives the same result, rarity makes it
+cheap), once to send each word whose shingle may be a prefix, with the words around it, to the windows
+with that prefix. What goes to all tasks there is a bitmap of the prefixes of 32 MB at most, whatever the
+benchmark. Verified windows are gathered by document row.
 
 Defined cases: a null text, or one without words, has no words and is not
 contaminated; such items have no windows. Items with a null id hit words but are
@@ -35,11 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.staging import staged
+from tessera.llm.staging import free, staged
 from tessera.llm.words import U64, roll, texts, words_of
 
 WINDOW, SHINGLE = 13, 5
-PART_BYTES = 32 << 20
+MOST_BYTES = 2 << 20
+#: Of the large join: buckets of shingle counts, bits of the prefixes' bitmap, words before and from a shingle on
+COUNT_BUCKETS, MOST_BITS = 1 << 18, 28
+BEFORE, AFTER = WINDOW - SHINGLE, WINDOW
 CANDIDATES_AT_ONCE = 200_000
 _MARKS = T.StructType(
     [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
@@ -216,52 +221,191 @@ def _mark(prefixes: Prefixes):
     return run
 
 
-def _merge(first: pa.Array, second: pa.Array) -> pa.Array:
-    """The marks of two parts of the benchmark as one."""
-    hits, items = [], []
-    for a, b in zip(first.to_pylist(), second.to_pylist(), strict=True):
-        flat = a["hits"] + b["hits"]
-        spans = sorted(zip(flat[::2], flat[1::2], strict=True))
-        out: list[int] = []
-        for x, y in spans:
-            if out and x <= out[-1]:
-                out[-1] = max(out[-1], y)
-            else:
-                out += [x, y]
-        hits.append(out)
-        items.append(sorted({*a["items"], *b["items"]}))
-    return pa.StructArray.from_arrays([first.field("n_words"), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["n_words", "hits", "items"])
-
-
-def _parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of about ``part_bytes`` at most, by a hash of the rows."""
-    items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = -(-2 * total // part_bytes) if total > part_bytes else 1
-    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
-
-
 def prefixes(docs: DataFrame, items: DataFrame) -> Prefixes:
-    """Windows of one bounded part of the benchmark with their rarest shingles in all documents."""
+    """Windows of a bounded benchmark with their rarest shingles in all documents."""
     windows = Windows([tuple(r) for r in items.select("item_id", "text").collect()])
     counts = docs.select("text").mapInArrow(counted(windows.vocabulary()), "shingle bigint, n bigint")
-    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()  # at most the part's shingles
+    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).collect()  # at most the benchmark's shingles
     return Prefixes(windows, {r["shingle"]: r["n"] for r in rows})
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, into: str = "marks", part_bytes: int = PART_BYTES) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, into: str = "marks", most_bytes: int = MOST_BYTES) -> DataFrame:
     """Every document with a struct ``into``: n_words, hits (flat word intervals), items (as strings, sorted)."""
-    parts = _parts(benchmark, part_bytes)
-    out = None
-    for part in parts:
-        made = F.arrow_udf(_mark(prefixes(docs, part)), _MARKS)(F.col("text"))
-        if out is None:
-            out = docs.withColumn(into, made)
-        else:
-            out = staged(out.withColumn(into, F.arrow_udf(_merge, _MARKS)(F.col(into), made)), "marked")
+    size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size > most_bytes:
+        return mark_large(docs, benchmark, into)
+    return docs.withColumn(into, F.arrow_udf(_mark(prefixes(docs, benchmark)), _MARKS)(F.col("text")))
+
+
+# The join by shuffle
+
+
+def _windows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, text -> window (its hash), length, words (their hashes), shingles, item."""
+    for batch in batches:
+        for t in texts(batch.column(1)):
+            w = words_of(t)
+            n = np.diff(w.bounds)
+            for length in range(1, WINDOW + 1):
+                own = np.flatnonzero(n >= WINDOW if length == WINDOW else n == length)
+                if not len(own):
+                    continue
+                each = n[own] - length + 1
+                at = np.repeat(w.bounds[own], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                rows = w.hashes[at[:, None] + np.arange(length)]
+                k = min(SHINGLE, length)
+                shingles = np.stack([roll(w.hashes, at + j, k) for j in range(length - k + 1)], 1)
+                stride = (np.arange(len(at) + 1) * 8 * length).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(roll(w.hashes, at, length).astype(np.int64)),
+                        pa.array(np.full(len(at), length, np.int32)),
+                        pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(stride), pa.py_buffer(rows.tobytes())]),
+                        pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * shingles.shape[1]).astype(np.int32)), pa.array(shingles.ravel().astype(np.int64))),
+                        batch.column(0).take(pa.array(t.first + np.repeat(own, each))),
+                    ],
+                    ["window", "length", "words", "shingles", "item"],
+                )
+
+
+def _bucket_counts(sizes: list[int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """text -> bucket, n: the task's shingles of the given numbers of words."""
+        n = np.zeros(COUNT_BUCKETS, np.int64)
+        for batch in batches:
+            for t in texts(batch.column(0)):
+                w = words_of(t)
+                for k in sizes:
+                    n += np.bincount((w.shingles(k)[1] % U64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["bucket", "n"])
+
+    return run
+
+
+def _rarest(n: np.ndarray):
+    def run(shingles: pa.Array) -> pa.Array:
+        """Of each window the place of the shingle whose bucket is least."""
+        shingles = shingles.combine_chunks() if isinstance(shingles, pa.ChunkedArray) else shingles
+        offsets = shingles.offsets.to_numpy()
+        of = n[(shingles.flatten().to_numpy().astype(U64) % U64(COUNT_BUCKETS)).astype(np.int64)]
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+        least = np.minimum.reduceat(of, starts) if len(starts) else of
+        at = np.flatnonzero(of == np.repeat(least, sizes))
+        owner = np.searchsorted(starts, at, "right") - 1
+        _, first = np.unique(owner, return_index=True)
+        return pa.array((at[first] - starts).astype(np.int32))
+
+    return run
+
+
+def _bitmaps(bits: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """shingle -> chunk, bitmap of 8 KB."""
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().astype(U64) >> U64(64 - bits)
+            for chunk in np.unique(at >> U64(16)).tolist():
+                mine = made.setdefault(chunk, np.zeros(1 << 16, bool))
+                mine[(at[at >> U64(16) == U64(chunk)] & U64(0xFFFF)).astype(np.int64)] = True
+                if len(made) > 512:
+                    yield _packed(made)
+        yield _packed(made)
+
+    return run
+
+
+def _packed(made: dict[int, np.ndarray]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in made.values()], pa.binary())], ["chunk", "bitmap"])
+    made.clear()
     return out
 
 
+def _asked(bitmap: np.ndarray, bits: int, sizes: list[int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, text -> a row per word whose shingle the bitmap has: shingle, row, at, n_words, context (the hashes of the words around)."""
+        for batch in batches:
+            for t in texts(batch.column(1)):
+                w = words_of(t)
+                padded = np.concatenate([np.zeros(BEFORE, U64), w.hashes, np.zeros(AFTER, U64)])
+                for k in sizes:
+                    at, values = w.shingles(k)
+                    bit = values >> U64(64 - bits)
+                    on = np.flatnonzero(bitmap[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8) & 1)
+                    for low in range(0, len(on), 20_000):
+                        some = on[low : low + 20_000]
+                        place = at[some]
+                        doc = w.owner[place]
+                        context = padded[place[:, None] + np.arange(BEFORE + AFTER)]
+                        stride = (np.arange(len(some) + 1) * 8 * (BEFORE + AFTER)).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(values[some].astype(np.int64)),
+                                batch.column(0).take(pa.array(t.first + doc)),
+                                pa.array((place - w.bounds[doc]).astype(np.int64)),
+                                pa.array((w.bounds[doc + 1] - w.bounds[doc]).astype(np.int64)),
+                                pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(stride), pa.py_buffer(context.tobytes())]),
+                            ],
+                            ["shingle", "row", "at", "n_words", "context"],
+                        )
+
+    return run
+
+
+def _merged(spans: pa.Array) -> pa.Array:
+    """Sorted structs of start and end -> flat intervals that do not touch."""
+    out = []
+    for some in spans.to_pylist():
+        flat: list[int] = []
+        for s in some or ():
+            if flat and s["start"] <= flat[-1]:
+                flat[-1] = max(flat[-1], s["end"])
+            else:
+                flat += [s["start"], s["end"]]
+        out.append(flat)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _count_words(text: pa.Array) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *[np.diff(words_of(t).bounds) for t in texts(text)]]))
+
+
+def mark_large(docs: DataFrame, benchmark: DataFrame, into: str) -> DataFrame:
+    """As ``mark``, for a benchmark of any size: windows and words meet by shuffle on the windows' rarest shingles."""
+    items = benchmark.select(F.col("item_id").cast("string"), "text")
+    cut = staged(items.mapInArrow(_windows_of, "window bigint, length int, words binary, shingles array<bigint>, item string"), "windows")
+    own = cut.where("item is not null").select("window", "length", "item").distinct()
+    one = cut.groupBy("window", "length").agg(F.first("words").alias("words"), F.first("shingles").alias("shingles"))
+    sizes = sorted({min(SHINGLE, r["length"]) for r in cut.select("length").distinct().collect()})  # at most 13 rows
+    counts = docs.select("text").mapInArrow(_bucket_counts(sizes), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    n = np.zeros(COUNT_BUCKETS, np.int64)
+    for r in counts.collect():  # a row per bucket
+        n[r["bucket"]] = r["n"]
+    place = F.arrow_udf(_rarest(n), T.IntegerType())("shingles")
+    prefix = staged(one.withColumn("place", place).select("window", "length", "words", "place", F.get("shingles", F.col("place")).alias("shingle")), "prefixes")
+    bits = min(MOST_BITS, max(20, int(prefix.count()).bit_length() + 3))
+    rows = prefix.select("shingle").distinct().mapInArrow(_bitmaps(bits), "chunk int, bitmap binary")
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    for r in rows.toLocalIterator():  # pieces of the bitmap, from each task
+        part = np.frombuffer(r["bitmap"], np.uint8)
+        bitmap[r["chunk"] * len(part) : (r["chunk"] + 1) * len(part)] |= part
+    row, found_in = free(docs, "row"), free(docs, "found")
+    numbered = staged(docs.withColumns({row: F.monotonically_increasing_id(), into: F.arrow_udf(_count_words, T.LongType())("text")}), "numbered")
+    asked = numbered.select(row, "text").mapInArrow(_asked(bitmap, bits, sizes), "shingle bigint, row bigint, at bigint, n_words bigint, context binary")
+    start = F.col("at") - F.col("place")
+    said = F.substring("context", (F.lit(BEFORE) - F.col("place")) * 8 + 1, F.col("length") * 8)
+    met = asked.join(prefix, "shingle").where((start >= 0) & (start + F.col("length") <= F.col("n_words")) & (said == F.col("words")))
+    met = staged(met.select("row", start.alias("start"), (start + F.col("length")).alias("end"), "window", "length"), "met")
+    spans = met.select("row", F.struct("start", "end").alias("s")).groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+    names = met.select("row", "window", "length").distinct().join(own, ["window", "length"]).select("row", "item").distinct()
+    names = names.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = spans.join(names, "row", "left").select(F.col("row").alias(row), F.struct("spans", "items").alias(found_in))
+    seen = numbered.join(found, row, "left")
+    spans, items = F.col(found_in)["spans"], F.coalesce(F.col(found_in)["items"], F.array().cast("array<string>"))
+    marks = F.struct(F.col(into).alias("n_words"), F.arrow_udf(_merged, T.ArrayType(T.LongType()))(spans).alias("hits"), items.alias("items"))
+    return seen.withColumn(into, marks).select(*docs.columns, into)
+
+
 def n_hit(marks: Column) -> Column:
     return F.aggregate(F.transform(marks["hits"], lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
@@ -271,9 +415,9 @@ def contaminated(marks: Column) -> Column:
     return (n > 0) & (20 * n >= marks["n_words"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    seen = mark(docs.select("doc_id", "text"), benchmark, "marks", part_bytes)
+    seen = mark(docs.select("doc_id", "text"), benchmark, "marks", most_bytes)
     m = seen["marks"]
     return seen.select(
         "doc_id",
@@ -285,7 +429,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    seen = mark(docs, benchmark, "_tessera_marks", part_bytes)
-    return seen.where(~contaminated(seen["_tessera_marks"])).drop("_tessera_marks")
+    into = free(docs, "marks")
+    seen = mark(docs, benchmark, into, most_bytes)
+    return seen.where(~contaminated(seen[into])).drop(into)

@@ -34,6 +34,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``_tessera_name``, with more underscores in front where the table has such a column."""
+    name = f"_tessera_{name}"
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete every staged table of this application; results that still read them become invalid."""
     jvm = spark.sparkContext._jvm
