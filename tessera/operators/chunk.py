@@ -1,90 +1,101 @@
 """Greedy chunks of lines and their offsets, within a document's row: no shuffle.
 
-The folds carry integers only; texts are cut once, after them.
+A batch of rows is worked in Arrow UDFs, one linear pass over each text: prefix sums of the
+lines' lengths tell where a chunk ends, and a chunk is looked for from the end of the one before it.
+A chunk that is not there as it stands (its lines were stripped) costs a scan of the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.text import lines
 from tessera.schemas import CHUNK_CHARS
 
+_SPANS = "array<struct<start:int,end:int,exact:boolean>>"
+_MADE = "array<struct<page_number:int,text:string,start:int,end:int,exact:boolean>>"
+_ARROW_SPAN = [("start", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())]
+
+
+def packed(text: str, most: int) -> list[str]:
+    """The chunks of one text; ``splitlines`` and ``strip`` know Unicode's line ends and white space."""
+    rows = [s for x in text.splitlines() if (s := x.strip())]
+    sums = list(accumulate((len(x) + 1 for x in rows), initial=0))
+    out: list[str] = []
+    i = 0
+    while i < len(rows):
+        if len(rows[i]) > most:
+            out += [rows[i][k : k + most] for k in range(0, len(rows[i]), most)]
+            i += 1
+        else:
+            end = bisect_right(sums, sums[i] + most + 1) - 1
+            out.append("\n".join(rows[i:end]))
+            i = end
+    return out
+
+
+def spans(pieces: list[str], plain: str) -> list[tuple[int, int, bool]]:
+    """start, end and exact of each chunk."""
+    out, ends = [], 0
+    for piece in pieces:
+        found = plain.find(piece, ends)
+        begins = max(found, ends)
+        ends = begins + len(piece)
+        out.append((begins, ends, found >= 0))
+    return out
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _pieces(text: Column, most: int) -> Column:
-    """Structs of text and long; longer lines are cut."""
-    piece = lambda t, long: F.struct(t.alias("text"), long.alias("long"))
-    parts = lambda t: F.sequence(F.lit(0), F.floor((F.length(t) - 1) / most).cast("int"))
-    cut = lambda t: F.transform(parts(t), lambda i: piece(F.substring(t, i * most + 1, F.lit(most)), F.lit(True)))
-    whole = lambda t: F.array(piece(t, F.lit(False)))
-    return F.flatten(F.transform(lines(F.coalesce(text, F.lit(""))), lambda t: F.when(F.length(t) > most, cut(t)).otherwise(whole(t))))
 
+def chunk_texts(text: Column, most: int = CHUNK_CHARS) -> Column:
+    """Lines packed with line feeds up to ``most`` code points; a longer line is cut into chunks of its own."""
 
-def _sizes(pieces: Column, most: int) -> Column:
-    """How many pieces each chunk takes."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((packed(x.as_py() or "", most) for x in texts), pa.list_(pa.string()), size=len(texts))
 
-    def step(state: Column, p: Column) -> Column:
-        size, used = p["size"], state["used"]
-        joins = ~p["long"] & (used > 0) & (used + 1 + size <= most)
-        return F.struct(
-            F.when(p["long"], 0).when(joins, used + 1 + size).otherwise(size).alias("used"),
-            F.when(joins, state["open"] + 1).otherwise(1).alias("open"),
-            F.when(joins | (state["open"] == 0), state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"),
-        )
+    return F.arrow_udf(run, T.ArrayType(T.StringType()))(text)
 
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("open"), F.array().cast("array<int>").alias("done"))
-    lengths = F.transform(pieces, lambda p: F.struct(F.length(p["text"]).alias("size"), p["long"].alias("long")))
-    return F.aggregate(lengths, start, step, lambda s: F.when(s["open"] > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
 
+def _offsets(chunks: pa.Array, plain: pa.Array) -> pa.Array:
+    names = [n for n, _ in _ARROW_SPAN]
+    rows = ([dict(zip(names, s, strict=True)) for s in spans(c.as_py() or [], p.as_py() or "")] for c, p in zip(chunks, plain, strict=True))
+    return pa.array(rows, pa.list_(pa.struct(_ARROW_SPAN)), size=len(plain))
 
-def chunk_texts(text: Column, most: int = CHUNK_CHARS) -> Column:
-    """Lines packed with line feeds up to ``most`` code points; a longer line is cut into chunks of its own."""
 
-    def cut(pieces: Column, sizes: Column) -> Column:
-        begins = F.aggregate(sizes, F.array(F.lit(1)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-        joined = lambda at, n: F.array_join(F.transform(F.slice(pieces, at, n), lambda p: p["text"]), "\n")
-        return _let(begins, lambda b: F.transform(sizes, lambda n, i: joined(F.get(b, i), n)))
+def chunk_offsets(chunks: Column, plain: Column) -> Column:
+    """start, end and exact of each chunk: the first match from the previous end on, else that end."""
+    return F.arrow_udf(_offsets, _SPANS)(chunks, plain)
 
-    return _let(_pieces(text, most), lambda p: _let(_sizes(p, most), lambda s: cut(p, s)))
 
+def _made(most: int):
+    def run(pages: pa.Array, plain: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), *_ARROW_SPAN]))
 
-def chunk_offsets(chunks: Column, plain: Column) -> Column:
-    """start, end and exact of each chunk: the first match from the previous end on, else that end."""
+        def one(of: list[dict], text: str) -> list[dict]:
+            pieces = [(p["page_number"], c) for p in of for c in packed(p["text"] or "", most)]
+            at = spans([c for _, c in pieces], text)
+            return [{"page_number": n, "text": c, "start": s, "end": e, "exact": x} for (n, c), (s, e, x) in zip(pieces, at, strict=True)]
 
-    def step(state: Column, chunk: Column) -> Column:
-        found = F.position(chunk, plain, state["cursor"] + 1)
-        start = F.when(found > 0, found - 1).otherwise(state["cursor"])
-        end = start + F.length(chunk)
-        span = F.struct(start.alias("start"), end.alias("end"), (found > 0).alias("exact"))
-        return F.struct(end.alias("cursor"), F.concat(state["spans"], F.array(span)).alias("spans"))
+        return pa.array((one(p.as_py() or [], t.as_py() or "") for p, t in zip(pages, plain, strict=True)), kind, size=len(plain))
 
-    spans = F.array().cast("array<struct<start:int,end:int,exact:boolean>>")
-    return F.aggregate(chunks, F.struct(F.lit(0).alias("cursor"), spans.alias("spans")), step, lambda s: s["spans"])
+    return run
 
 
 def chunks(docs: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """document_id, plain_text, pages (page_number, text) -> a row per chunk, numbered over all pages."""
-    of_page = lambda p: F.transform(chunk_texts(p["text"], most), lambda c: F.struct(p["page_number"].alias("page_number"), c.alias("text")))
-    made = docs.select("document_id", "plain_text", F.flatten(F.transform("pages", of_page)).alias("made"))
-    made = made.withColumn("spans", chunk_offsets(F.col("made.text"), F.col("plain_text")))
-    rows = made.select("document_id", "spans", F.posexplode("made").alias("chunk_index", "chunk"))
-    span = F.get("spans", F.col("chunk_index"))
-    return rows.select(
+    pages = F.transform("pages", lambda p: F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text")))
+    made = docs.select("document_id", F.posexplode(F.arrow_udf(_made(most), _MADE)(pages, F.col("plain_text"))).alias("chunk_index", "chunk"))
+    return made.select(
         "document_id",
         F.col("chunk.page_number").alias("page_number"),
         "chunk_index",
         F.col("chunk.text").alias("text"),
-        span["start"].alias("start_offset"),
-        span["end"].alias("end_offset"),
-        span["exact"].alias("exact"),
+        F.col("chunk.start").alias("start_offset"),
+        F.col("chunk.end").alias("end_offset"),
+        F.col("chunk.exact").alias("exact"),
     )
 
 

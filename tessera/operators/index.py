@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ingest import history
 from tessera.operators.review import is_approved
 from tessera.schemas import UNTRUSTED
 
@@ -29,6 +30,11 @@ def mark_indexed(docs: DataFrame, as_of: str, strict: bool = False) -> DataFrame
     )
 
 
+def index_history(marked: DataFrame, as_of: str) -> DataFrame:
+    """The log rows of what ``mark_indexed`` has marked."""
+    return history(marked.where("from_status is not null"), "trusted index marker", as_of, "final_review_status", "from_status")
+
+
 def indexed_count(docs: DataFrame, strict: bool = False) -> DataFrame:
     return docs.agg(F.count_if(F.coalesce(eligible(strict), F.lit(False))).alias("indexed"))
 
@@ -47,6 +53,14 @@ def get_record(docs: DataFrame, data_type: str, record_id: int) -> DataFrame:
     return docs.where((F.col("id") == record_id) & (F.col("data_type") == data_type))
 
 
+def record_view(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """What a reader of a record gets; ``with_text`` adds the text and the metadata."""
+    kind = "map<string,string>"
+    given = lambda c: F.coalesce(c, F.create_map().cast(kind)) if c in docs.columns else F.create_map().cast(kind)
+    view = ["id", "data_type", "source_url", "source_title", "authenticity_type", "final_review_status", "knowledge_index_status", given("corrected_fields").alias("corrected_fields")]
+    return docs.select(*view, *(["raw_text", given("metadata").alias("metadata")] if with_text else []))
+
+
 def insert_absent_records(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Existing records and those new ones whose document has none."""
     return existing.unionByName(new.join(existing.select("document_id").distinct(), "document_id", "left_anti").select(*new.columns))

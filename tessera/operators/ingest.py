@@ -51,3 +51,21 @@ def transitions(events: DataFrame) -> DataFrame:
     before = F.lag("to_status").over(Window.partitionBy("record_id").orderBy("seq"))
     first = F.col("current") if "current" in events.columns else F.lit(None).cast("string")
     return events.withColumn("from_status", F.coalesce(before, first))
+
+
+def history(rows: DataFrame, reason: str, as_of: str, to_status: str = "to_status", from_status: str = "final_review_status") -> DataFrame:
+    """A log row for each document (id, data_type) with a next state, also where it is the old one; ``as_of`` is the caller's clock."""
+    moved = rows.where(F.col(to_status).isNotNull())
+    return moved.select(
+        F.col("data_type").alias("record_type"),
+        F.col("id").alias("record_id"),
+        F.col(from_status).alias("from_status"),
+        F.col(to_status).alias("to_status"),
+        F.lit(reason).alias("reason"),
+        F.lit(as_of).cast("timestamp").alias("changed_at"),
+    )
+
+
+def collection_history(created: DataFrame, as_of: str) -> DataFrame:
+    """The first log rows of new documents; their state is set before it is logged, so from and to are one."""
+    return history(created, "collection completed", as_of, "final_review_status")

@@ -31,9 +31,25 @@ def parse_pending(docs: DataFrame) -> DataFrame:
 
 
 def parsed_state(parsed: DataFrame) -> DataFrame:
-    """The document's next state; an empty text is parsed too."""
+    """The document's next state: its text, title, state and what the parser says, merged into ``metadata``; an empty text is parsed too.
+
+    ``metadata`` maps names to JSON text; other names stay. An error leaves the document as it is.
+    """
     fine = F.col("error").isNull()
-    return parsed.withColumns({"parse_status": F.when(fine, "parsed").otherwise(F.col("parse_status")), "to_status": F.when(fine, "parsed")})
+    kind = "map<string,string>"
+    old = F.coalesce("metadata", F.create_map().cast(kind)) if "metadata" in parsed.columns else F.create_map().cast(kind)
+    said = F.to_json(F.struct(F.create_map().cast(kind).alias("metadata"), F.array().cast("array<string>").alias("warnings")))
+    metadata = F.map_concat(F.map_filter(old, lambda k, v: k != "parsing"), F.create_map(F.lit("parsing"), said))
+    raw = F.col("raw_text") if "raw_text" in parsed.columns else F.lit(None).cast("string")
+    return parsed.withColumns(
+        {
+            "raw_text": F.when(fine, F.col("plain_text")).otherwise(raw),
+            "source_title": F.when(fine, F.col("title")).otherwise(F.col("source_title")),
+            "metadata": F.when(fine, metadata).otherwise(old),
+            "parse_status": F.when(fine, "parsed").otherwise(F.col("parse_status")),
+            "to_status": F.when(fine, "parsed"),
+        }
+    )
 
 
 def report(parsed: DataFrame) -> DataFrame:

@@ -109,10 +109,11 @@ def parse_decisions(decision_lines: DataFrame) -> DataFrame:
 
 
 def match_decisions(decisions: DataFrame, docs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
-    """The decisions, with an error where id and type name no document (or sample); adds current_status."""
-    known = docs.select(F.col("id").alias("_id"), F.col("data_type").alias("_type"), F.col("final_review_status").alias("current_status"))
+    """The decisions, with an error where id and type name no document (or sample); adds current_status and current_fields (earlier corrections)."""
+    fields = F.col("corrected_fields") if "corrected_fields" in docs.columns else F.lit(None)
+    known = docs.select(F.col("id").alias("_id"), F.col("data_type").alias("_type"), F.col("final_review_status").alias("current_status"), fields.cast(_MAP).alias("current_fields"))
     if samples is not None:
-        known = known.union(samples.select("id", F.lit("evaluation_sample"), "final_review_status"))
+        known = known.union(samples.select("id", F.lit("evaluation_sample"), "final_review_status", F.lit(None).cast(_MAP)))
     out = decisions.join(known, (decisions["record_id"] == known["_id"]) & (decisions["record_type"] == known["_type"]), "left")
     what = F.when(F.col("record_type") == "evaluation_sample", "an evaluation sample").otherwise("a document")
     unknown = F.when(F.col("_id").isNull(), F.concat(F.lit("record_id and record_type do not identify "), what))
@@ -128,7 +129,7 @@ def import_errors(matched: DataFrame) -> DataFrame:
 
 
 def merged(matched: DataFrame) -> DataFrame:
-    """Per decided record: corrections merged in line order (a later line wins a key), last state, number of decisions.
+    """Per decided record: corrections merged in line order over its earlier ones (a later line wins a key), last state, number of decisions.
 
     A key's last value is a ``max_by`` with partial sums, so a record with very many decisions is no large group.
     """
@@ -136,26 +137,39 @@ def merged(matched: DataFrame) -> DataFrame:
     per_key = fine.select("record_type", "record_id", "line_no", F.explode("corrections").alias("k", "v"))
     per_key = per_key.groupBy("record_type", "record_id", "k").agg(F.max_by("v", "line_no").alias("v"))
     fields = per_key.groupBy("record_type", "record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("corrected_fields"))
-    last = fine.groupBy("record_type", "record_id").agg(F.max_by("final_status", "line_no").alias("final_status"), F.count("*").alias("n_decisions"))
-    return last.join(fields, ["record_type", "record_id"], "left").withColumn("corrected_fields", F.coalesce("corrected_fields", F.create_map().cast(_MAP)))
+    last = fine.groupBy("record_type", "record_id").agg(
+        F.max_by("final_status", "line_no").alias("final_status"), F.count("*").alias("n_decisions"), F.max_by("current_fields", "line_no").alias("current_fields")
+    )
+    none = F.create_map().cast(_MAP)
+    new, old = F.coalesce("corrected_fields", none), F.coalesce("current_fields", none)
+    whole = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+    made = last.join(fields, ["record_type", "record_id"], "left").withColumns({"new_fields": new, "corrected_fields": whole})
+    return made.select("record_type", "record_id", "corrected_fields", "new_fields", "final_status", "n_decisions")
 
 
 def correct_records(records: DataFrame, decided: DataFrame, protected: tuple[str, ...] = PROTECTED) -> DataFrame:
-    """The first record of each corrected document with its new values; unknown and protected keys are ignored."""
-    first = records.groupBy("document_id").agg(F.min("id").alias("first_id"))
-    named = decided.select(F.col("record_id").alias("document_id"), "corrected_fields").join(first, "document_id")
-    out = records.join(named.select("first_id", "corrected_fields"), records["id"] == F.col("first_id"), "left")
+    """The first record of each corrected document's own type with its new values; unknown and protected keys are ignored."""
+    named = decided.where("record_type <> 'evaluation_sample'").select(F.col("record_id").alias("document_id"), F.col("record_type").alias("data_type"), "new_fields")
+    first = records.groupBy("document_id", "data_type").agg(F.min("id").alias("first_id")).join(named, ["document_id", "data_type"])
+    first = first.select(F.col("document_id").alias("_document"), F.col("data_type").alias("_type"), "first_id", "new_fields")
+    same = (records["document_id"] == first["_document"]) & (records["data_type"] == first["_type"]) & (records["id"] == first["first_id"])
+    out = records.join(first, same, "left")
     kept = {*protected, "data_type"}
-    new = lambda c, kind: F.coalesce(F.expr(f"try_cast(corrected_fields['{c}'] AS {kind})"), records[c]).alias(c)
-    return out.select(*[records[c] if c in kept else new(c, kind) for c, kind in records.dtypes])
+    return out.select(*[records[c] if c in kept else _corrected(records[c], c, kind).alias(c) for c, kind in records.dtypes])
+
+
+def _corrected(old: Column, name: str, kind: str) -> Column:
+    """The new value if it is there and of the column's type; nested values are JSON text."""
+    value = F.element_at("new_fields", name)
+    new = F.from_json(value, kind) if kind.startswith(("array", "map", "struct")) else value.try_cast(kind)
+    return F.coalesce(new, old)
 
 
 def correct_samples(samples: DataFrame, decided: DataFrame) -> DataFrame:
     """Samples with their corrections, then the decided state; from_status is read after the corrections."""
-    d = decided.where("record_type = 'evaluation_sample'").select(F.col("record_id").alias("id"), "corrected_fields", "final_status")
+    d = decided.where("record_type = 'evaluation_sample'").select(F.col("record_id").alias("id"), "new_fields", "final_status")
     out = samples.join(d, "id", "left")
-    plain = [c for c, kind in samples.dtypes if kind == "string" and c not in SAMPLE_PROTECTED]
-    out = out.withColumns({c: F.coalesce(F.element_at("corrected_fields", c), F.col(c)) for c in plain})
+    out = out.withColumns({c: _corrected(F.col(c), c, kind) for c, kind in samples.dtypes if c not in SAMPLE_PROTECTED})
     return out.withColumns({"from_status": F.when(F.col("final_status").isNotNull(), F.col("final_review_status")), "final_review_status": F.coalesce("final_status", "final_review_status")}).select(*samples.columns, "from_status")
 
 

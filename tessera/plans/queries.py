@@ -37,7 +37,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, views.RECORDS)
 
 
-V = {n: views.text(getattr(views, n)) for n in ("DOCS", "RECORDS", "CRAWL", "DECISIONS", "TRANSITIONS", "PAGES", "PARAGRAPHS", "SOURCES", "SAMPLES")}
+V = {n: views.text(getattr(views, n)) for n in ("DOCS", "RECORDS", "CRAWL", "DECISIONS", "TRANSITIONS", "PAGES", "PARAGRAPHS", "SOURCES", "SAMPLES", "BOTH_DECISIONS")}
 _DOCS = f"docs AS (SELECT *, sha256(coalesce(raw_text, '')) AS sha256 FROM ({V['DOCS']}))"
 _STRIP = rf"'\A[{SPACE}]+|[{SPACE}]+\z', '', 'g'"
 _lines = lambda x: rf"[y FOR y IN [regexp_replace(z, {_STRIP}) FOR z IN regexp_split_to_array({x}, '{LINE_END}')] IF y <> '']"
@@ -316,6 +316,7 @@ def q_batch(spark: SparkSession, d: str) -> DataFrame:
     return review.batch(review.pending(_docs(spark, d), "penalty"), 1, "penalty", "20240229000000", "out")
 
 
+_TYPE = "CASE {0} % 3 WHEN 0 THEN 'regulation' WHEN 1 THEN 'penalty' ELSE 'product_document' END"
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 _MATCHED = f"""{_DOCS}, dec AS ({V["DECISIONS"]}), k AS (SELECT line_no, line, CASE WHEN json_valid(line) THEN line END AS j FROM dec WHERE regexp_replace(line, {_STRIP}) <> ''),
 f AS (SELECT line_no, j, json_type(j) = 'OBJECT' AS obj, json_keys(CASE WHEN json_type(j) = 'OBJECT' THEN j ELSE '{{}}' END) AS ks, j ->> '$.record_id' AS rid, j ->> '$.record_type' AS record_type, j ->> '$.final_status' AS fs, j ->> '$.evidence_quality' AS eq, json_extract(j, '$.corrections') AS co FROM k),
@@ -344,11 +345,50 @@ def q_import_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_MATCHED}, u AS (SELECT record_id, line_no, unnest(json_keys(co)) AS k, co FROM c WHERE error IS NULL AND NOT none), l AS (SELECT record_id, k, max_by(co ->> ('$.' || k), line_no) AS v FROM u GROUP BY record_id, k),
 m AS (SELECT record_id, max_by(v, record_id) FILTER (k = 'article') AS article, max_by(v, record_id) FILTER (k = 'wording') AS wording FROM l GROUP BY record_id)
 SELECT r.id, r.document_id, CASE WHEN r.id = f.first THEN coalesce(m.article, r.article) ELSE r.article END AS article, CASE WHEN r.id = f.first THEN coalesce(m.wording, r.wording) ELSE r.wording END AS wording, r.source_quote
-FROM ({V["RECORDS"]}) r JOIN (SELECT document_id, min(id) AS first FROM ({V["RECORDS"]}) GROUP BY document_id) f USING (document_id) LEFT JOIN m ON m.record_id = r.document_id""")
+FROM ({V["RECORDS"]}) r JOIN (SELECT document_id, data_type, min(id) AS first FROM ({V["RECORDS"]}) GROUP BY document_id, data_type) f USING (document_id, data_type)
+LEFT JOIN m ON m.record_id = r.document_id AND r.data_type = {_TYPE.format("r.document_id")}""")
 def q_corrections(spark: SparkSession, d: str) -> DataFrame:
     return review.correct_records(_records(spark, d), review.merged(_matched(spark, d))).select("id", "document_id", "article", "wording", "source_quote")
 
 
+def _with_fields(docs: DataFrame) -> DataFrame:
+    """Documents with corrections of an earlier import."""
+    kept = F.create_map(F.lit("article"), F.lit("old"), F.lit("kept"), F.col("id").cast("string"))
+    return docs.withColumn("corrected_fields", F.when(F.col("id") % 3 < 2, kept))
+
+
+@query(f"""WITH {_MATCHED}, u AS (SELECT record_id, line_no, unnest(json_keys(co)) AS k, co FROM c WHERE error IS NULL AND NOT none), l AS (SELECT record_id, k, max_by(co ->> ('$.' || k), line_no) AS v FROM u GROUP BY record_id, k),
+decided AS (SELECT DISTINCT record_id FROM c WHERE error IS NULL),
+o AS (SELECT record_id, unnest(['article', 'kept']) AS k, unnest(['old', CAST(record_id AS VARCHAR)]) AS v FROM decided WHERE record_id % 3 < 2),
+a AS (SELECT * FROM l UNION ALL SELECT * FROM o ANTI JOIN l USING (record_id, k))
+SELECT record_id, coalesce(string_agg(k || '=' || v, ',' ORDER BY k), '') AS corrected_fields FROM decided LEFT JOIN a USING (record_id) GROUP BY record_id""")
+def q_corrected_fields(spark: SparkSession, d: str) -> DataFrame:
+    matched = review.match_decisions(review.parse_decisions(views.view(spark, d, views.DECISIONS)), _with_fields(_docs(spark, d)))
+    entries = F.transform(F.array_sort(F.map_entries("corrected_fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return review.merged(matched).select("record_id", F.array_join(entries, ",").alias("corrected_fields"))
+
+
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Samples, and decisions in which documents and samples have the same ids."""
+    samples = views.view(spark, d, views.SAMPLES)
+    lines = review.parse_decisions(views.view(spark, d, views.BOTH_DECISIONS))
+    return samples, review.merged(review.match_decisions(lines, _docs(spark, d), samples))
+
+
+@query(f"""SELECT s.id, CASE WHEN l.doc_id IS NULL THEN s.split ELSE 'test' END AS split, s.authenticity_type, CASE WHEN l.doc_id IS NULL THEN s.final_review_status ELSE 'rejected' END AS final_review_status,
+  CASE WHEN l.doc_id IS NOT NULL THEN 'indexed' END AS from_status FROM ({V["SAMPLES"]}) s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = s.id""")
+def q_sample_corrections(spark: SparkSession, d: str) -> DataFrame:
+    return review.correct_samples(*_both(spark, d)).select("id", "split", "authenticity_type", "final_review_status", "from_status")
+
+
+@query(f"""SELECT r.id, r.document_id, CASE WHEN l.doc_id IS NOT NULL AND r.id = f.first AND r.data_type = {_TYPE.format("r.document_id")} THEN 'of the document' ELSE r.article END AS article, r.source_quote
+FROM ({V["RECORDS"]}) r JOIN (SELECT document_id, data_type, min(id) AS first FROM ({V["RECORDS"]}) GROUP BY document_id, data_type) f USING (document_id, data_type)
+LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = r.document_id""")
+def q_record_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """The document's decision reaches its record, that of the sample with the same id does not."""
+    return review.correct_records(_records(spark, d), _both(spark, d)[1]).select("id", "document_id", "article", "source_quote")
+
+
 @query(f"WITH {_MATCHED} SELECT record_type, record_id, max_by(fs, line_no) AS final_status, count(*) AS n_decisions FROM c WHERE error IS NULL GROUP BY record_type, record_id")
 def q_decision_apply(spark: SparkSession, d: str) -> DataFrame:
     return review.merged(_matched(spark, d)).select("record_type", "record_id", "final_status", "n_decisions")
@@ -386,14 +426,52 @@ def q_history(spark: SparkSession, d: str) -> DataFrame:
     return ingest.transitions(rows).select("record_id", "event_id", "from_status", "to_status")
 
 
-@query(f"WITH {_DOCS} SELECT id, data_type, final_review_status, source_url FROM docs WHERE final_review_status = 'approved' AND data_type = 'penalty' ORDER BY id")
+_VIEW = "id, data_type, source_url, source_title, authenticity_type, final_review_status, knowledge_index_status"
+_FIELDS = """CASE WHEN id % 3 < 2 THEN '{{"article":"old","kept":"' || CAST(id AS VARCHAR) || '"}}' ELSE '{{}}' END AS corrected_fields"""
+
+
+@query(f"WITH {_DOCS} SELECT {_VIEW}, {_FIELDS} FROM docs WHERE final_review_status = 'approved' AND data_type = 'penalty' ORDER BY id".replace("{{", "{").replace("}}", "}"))
 def q_list(spark: SparkSession, d: str) -> DataFrame:
-    return index.list_records(_docs(spark, d), "approved", "penalty").select("id", "data_type", "final_review_status", "source_url")
+    listed = index.list_records(index.record_view(_with_fields(_docs(spark, d))), "approved", "penalty")
+    return listed.withColumn("corrected_fields", F.to_json("corrected_fields"))
 
 
-@query(f"WITH {_DOCS} SELECT id, data_type, sha256, raw_text FROM docs WHERE id = 100 AND data_type = 'penalty'")
+@query(f"WITH {_DOCS} SELECT {_VIEW}, {_FIELDS}, raw_text, '{{}}' AS metadata FROM docs WHERE id = 100 AND data_type = 'penalty'".replace("{{", "{").replace("}}", "}"))
 def q_get(spark: SparkSession, d: str) -> DataFrame:
-    return index.get_record(_docs(spark, d), "penalty", 100).select("id", "data_type", "sha256", "raw_text")
+    one = index.get_record(index.record_view(_with_fields(_docs(spark, d)), with_text=True), "penalty", 100)
+    return one.withColumns({c: F.to_json(c) for c in ("corrected_fields", "metadata")})
+
+
+@query(f"WITH {_DOCS} SELECT {_VIEW}, {_FIELDS}, raw_text, '{{}}' AS metadata FROM docs".replace("{{", "{").replace("}}", "}"))
+def q_record_view(spark: SparkSession, d: str) -> DataFrame:
+    made = index.record_view(_with_fields(_docs(spark, d)), with_text=True)
+    return made.withColumns({c: F.to_json(c) for c in ("corrected_fields", "metadata")})
+
+
+_AS_OF = "2024-02-29 00:00:00"
+
+
+@query(f"""WITH {_ONE}, {_PENDING}, v AS (SELECT id, data_type, {_ISSUES} AS issues FROM j WHERE final_review_status = 'parsed'),
+h AS (SELECT data_type, id, 'collected' AS f, 'collected' AS t, 'collection completed' AS r FROM (SELECT *, min(id) OVER (PARTITION BY sha256) AS first FROM docs) WHERE id = first
+  UNION ALL SELECT d.data_type, p.id, d.final_review_status, 'parsed', 'parsed' FROM p JOIN docs d ON d.id = p.id WHERE ending IN ('.html', '.txt')
+  UNION ALL SELECT data_type, id, 'parsed', CASE WHEN issues = '' THEN 'pending_review' ELSE 'auto_validation_failed' END, 'deterministic validation' FROM v
+  UNION ALL SELECT data_type, id, final_review_status, 'indexed', 'trusted index marker' FROM docs WHERE {_ELIGIBLE})
+SELECT data_type AS record_type, id AS record_id, f AS from_status, t AS to_status, r AS reason, TIMESTAMP '{_AS_OF}' AS changed_at FROM h""")
+def q_transition_log(spark: SparkSession, d: str) -> DataFrame:
+    """What collection, parsing, validation and indexing log."""
+    docs = _docs(spark, d)
+    collected = ingest.document_rows(ingest.insert_if_absent(docs.select("id", "sha256", "data_type")))
+    marked = index.mark_indexed(docs.withColumn("indexed_at", F.lit(None).cast("timestamp")), _AS_OF)
+    logs = [
+        ingest.collection_history(collected, _AS_OF),
+        ingest.history(parse.parsed_state(_parsed(spark, d)), "parsed", _AS_OF),
+        ingest.history(validate.validate(docs, _records(spark, d)), "deterministic validation", _AS_OF),
+        index.index_history(marked, _AS_OF),
+    ]
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return out
 
 
 @query(f"WITH r AS ({V['RECORDS']}), n AS (SELECT id + 1000000 AS id, document_id FROM r WHERE document_id % 2 = 0) SELECT id, document_id FROM r WHERE document_id % 4 = 0 UNION ALL SELECT id, document_id FROM n WHERE document_id % 4 <> 0")
@@ -403,6 +481,14 @@ def q_seed_absent(spark: SparkSession, d: str) -> DataFrame:
     return index.insert_absent_records(r.where("document_id % 4 = 0"), new)
 
 
+@query(f"SELECT id, sample_category, final_review_status, 'kept' AS came FROM ({V['SAMPLES']}) UNION ALL SELECT id, sample_category, final_review_status, 'new' FROM ({V['SAMPLES']})")
+def q_fill_if_empty(spark: SparkSession, d: str) -> DataFrame:
+    """A table with rows stays, an empty one is filled."""
+    samples = views.view(spark, d, views.SAMPLES).select("id", "sample_category", "final_review_status")
+    kept, new = samples.withColumn("came", F.lit("kept")), samples.withColumn("came", F.lit("new"))
+    return index.fill_if_empty(kept, new).unionByName(index.fill_if_empty(kept.where("id is null"), new))
+
+
 @query(f"SELECT id, sample_category, final_review_status FROM ({V['SAMPLES']})")
 def q_fill_empty(spark: SparkSession, d: str) -> DataFrame:
     samples = views.view(spark, d, views.SAMPLES).select("id", "sample_category", "final_review_status")
@@ -410,7 +496,6 @@ def q_fill_empty(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks per distinct document: hash, insert if absent, pack."""
-    first = ingest.insert_if_absent(_docs(spark, d).select("id", "sha256", "raw_text")).where("created")
-    made = first.select("id", "sha256", chunk.chunk_texts(F.col("raw_text")).alias("chunks"))
-    return made.select("id", "sha256", F.size("chunks").alias("n_chunks"))
+    """Chunks per distinct document: hash, pack, insert if absent; no text is shuffled."""
+    made = _docs(spark, d).select("id", "sha256", F.size(chunk.chunk_texts(F.col("raw_text"))).alias("n_chunks"))
+    return ingest.insert_if_absent(made).where("created").select("id", "sha256", "n_chunks")

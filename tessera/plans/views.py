@@ -45,6 +45,13 @@ SELECT doc_id + 1 AS line_no, CASE
     || '", "reviewer": "r", "evidence_quality": "' || CASE WHEN doc_id % 31 = 0 THEN 'E' ELSE 'B' END || '"'
     || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "corrections": {{"article": "new ' || CAST(doc_id AS STRING) || '", "id": "5"}}' WHEN 2 THEN ', "corrections": {{"wording": "w", "none": "n"}}' ELSE CASE WHEN doc_id % 8 = 3 THEN ', "corrections": ["a"]' ELSE ', "corrections": {{"article": "late"}}' END END || '}}'
   END AS line FROM {labels}"""
+#: Two lines for each labelled id: one of the document, one of the evaluation sample with the same id.
+BOTH_DECISIONS = """
+SELECT doc_id * 2 + n AS line_no, '{{"record_id": ' || CAST(doc_id AS STRING) || ', "reviewer": "r", "evidence_quality": "A", "record_type": "' || CASE n WHEN 1 THEN 'evaluation_sample' ELSE
+  CASE doc_id % 3 WHEN 0 THEN 'regulation' WHEN 1 THEN 'penalty' ELSE 'product_document' END END || CASE n
+  WHEN 1 THEN '", "final_status": "rejected", "corrections": {{"article": "of the sample", "split": "test", "authenticity_type": "x", "final_review_status": "indexed"}}}}'
+  ELSE '", "final_status": "approved", "corrections": {{"article": "of the document", "source_quote": "x"}}}}' END AS line
+FROM {labels} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two"""
 TRANSITIONS = """
 SELECT user_id AS record_id, ts, event_id, CASE event_type WHEN 'view' THEN 'parsed' WHEN 'click' THEN 'pending_review' WHEN 'signup' THEN 'approved' WHEN 'purchase' THEN 'indexed' ELSE 'rejected' END AS to_status
 FROM {events}"""

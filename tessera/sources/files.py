@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,26 +10,33 @@ from tessera.functions.text import suffix
 from tessera.schemas import CONTENT_TYPES, MAX_BYTES, OCTETS, SAMPLE, SUFFIXES, TYPE_SUFFIXES
 
 
+_GLOB = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in SUFFIXES) + "}"
+
+
 def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
-    """Files below a directory with a known suffix, in the order of their path parts."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    return found.where(suffix(found["path"]).isin(*SUFFIXES)).orderBy(F.split("path", "/"))
+    """Files below a directory with a known suffix; others are not opened. ``in_order`` has their order."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _GLOB).load(directory)
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """path and length in the order of the path's parts; no content is read."""
+    return files.select("path", "length").orderBy(F.split("path", "/"))
 
 
 def collect_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """A collection row per file; one over the limit has an error and no content, the others go on."""
-    ending = suffix(files["path"])
+    """A collection row per file; one over the limit is not read and has an error, the others go on."""
+    fits = files.where(F.col("length") <= max_bytes).select("path", "content", F.lit(None).cast("string").alias("error"))
+    over = files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"), F.lit(f"File exceeds {max_bytes} bytes").alias("error"))
     kinds = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
-    fits = files["length"] <= max_bytes
-    return files.select(
+    return fits.union(over).select(
         F.col("path").alias("source_url"),
         F.col("path").alias("final_url"),
-        F.coalesce(F.element_at(kinds, ending), F.lit(OCTETS)).alias("content_type"),
+        F.coalesce(F.element_at(kinds, suffix(F.col("path"))), F.lit(OCTETS)).alias("content_type"),
         F.lit(None).cast("int").alias("http_status"),
         F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"),
         F.lit(True).alias("local_source"),
-        F.when(fits, files["content"]).alias("content"),
-        F.when(~fits, F.lit(f"File exceeds {max_bytes} bytes")).alias("error"),
+        "content",
+        "error",
     )
 
 
@@ -41,9 +49,15 @@ def storage_suffix(content_type: Column, url: Column) -> Column:
 
 
 def write_raw(rows: DataFrame, path: str) -> None:
-    """Content-addressed bytes: one row per sha256, under the hash's first two digits."""
+    """Content-addressed bytes: one row per sha256, under the hash's first two digits; what is there already is not written again."""
     once = rows.select("sha256", "suffix", "content", F.substring("sha256", 1, 2).alias("prefix"))
-    once.dropDuplicates(["sha256"]).write.mode("append").partitionBy("prefix").parquet(path)
+    try:
+        known = rows.sparkSession.read.schema("sha256 string, prefix string").parquet(path)
+        once = once.join(known, ["prefix", "sha256"], "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    once.dropDuplicates(["sha256"]).select("sha256", "suffix", "content", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:

@@ -13,16 +13,20 @@ def drain_new(spark: SparkSession, source: str, schema: str, store: str, checkpo
     """Read what has arrived (id, text) since the last run, append unseen contents to ``store``, and stop.
 
     Each batch is a folder of its own that a repeated batch overwrites, so a restart after a
-    failure adds nothing twice.
+    failure adds nothing twice. Below it the store is divided by the hash's first two digits, and of the
+    stored hashes only those folders are read that the batch has digits of.
     """
     arrived = spark.readStream.schema(schema).parquet(source)
 
     def insert(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("sha256", content_hash(F.coalesce("text", F.lit(""))))
+        prefix = F.substring("sha256", 1, 2)
         known = None
         if number:
-            known = spark.read.schema("id bigint, sha256 string, batch bigint").option("basePath", store).parquet(store).where(F.col("batch") < number).select("id", "sha256")
+            asked = [r["p"] for r in rows.select(prefix.alias("p")).distinct().collect()]  # at most 256
+            known = spark.read.schema("id bigint, sha256 string, batch bigint, prefix string").option("basePath", store).parquet(store)
+            known = known.where((F.col("batch") < number) & F.col("prefix").isin(asked)).select("id", "sha256")
         fresh = insert_if_absent(rows, known).where("created")
-        fresh.select("id", "text", "sha256").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        fresh.select("id", "text", "sha256", prefix.alias("prefix")).write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/batch={number}")
 
     return arrived.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -219,15 +219,24 @@ def test_files(spark, tmp_path):
         p = tmp_path / "in" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    rows = files.collect_files(files.scan_directory(spark, str(tmp_path / "in")), max_bytes=4).collect()
+    found = files.scan_directory(spark, str(tmp_path / "in"))
+    assert [r["path"].rpartition("/in/")[2] for r in files.in_order(found).collect()] == ["a.html", "b/c.docx", "b/z.TXT"]
+    rows = files.collect_files(found, max_bytes=4).orderBy("title").collect()
     assert [r["title"] for r in rows] == ["a", "c", "z"] and [r["content_type"] for r in rows][::2] == ["text/html", "text/plain"]
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "4")  # a file above the reader's own limit is not read either
+    try:
+        assert len(files.collect_files(found, max_bytes=4).collect()) == 3
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert rows[1]["error"] == "File exceeds 4 bytes" and rows[1]["content"] is None
     kinds = [("text/html; charset=x", None, ".html"), ("TEXT/HTML", None, ".html"), ("text/html ;x", "u", ".bin"), (None, "u/a.PDF", ".pdf"), ("application/octet-stream", "a.pdf?x=1", ".bin")]
     df = spark.createDataFrame([k[:2] for k in kinds], "c string, u string")
     assert [r[0] for r in values(df, files.storage_suffix(F.col("c"), F.col("u")))] == [k[2] for k in kinds]
     raw = spark.createDataFrame([("ab1", ".txt", b"1"), ("ab1", ".txt", b"1")], "sha256 string, suffix string, content binary")
     files.write_raw(raw, str(tmp_path / "raw"))
-    assert spark.read.parquet(str(tmp_path / "raw")).where("prefix = 'ab'").count() == 1
+    files.write_raw(raw.union(spark.createDataFrame([("ab2", ".txt", b"2")], raw.schema)), str(tmp_path / "raw"))
+    assert sorted(r["sha256"] for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == ["ab1", "ab2"]
+    assert spark.read.parquet(str(tmp_path / "raw")).where("prefix = 'ab'").count() == 2
     (tmp_path / "s.jsonl").write_text('{"id": 1, "sample_text": "t", "risk_labels": ["demo"]}\n', encoding="utf-8")
     samples = files.read_samples(spark, str(tmp_path / "s.jsonl"))
     assert samples.first()["expected_evidence"] == {}
@@ -260,7 +269,7 @@ def test_closed_chain(spark):
     rows = [(1, "a.txt", "监管规则\n第一条".encode(), "regulation", "demo_only"), (2, "b.txt", "条款".encode(), "product_document", "verified_public")]
     docs = spark.createDataFrame(rows, "id bigint, raw_file_path string, content binary, data_type string, authenticity_type string")
     docs = docs.withColumns({"source_title": F.lit(None).cast("string"), "parse_status": F.lit("pending"), "sha256": ingest.content_hash(F.col("content")), "source_url": F.lit(None).cast("string"), "local_source": F.lit(True)})
-    parsed = parse.parsed_state(parse.parse_pending(docs)).withColumns({"raw_text": F.col("plain_text"), "final_review_status": F.col("to_status")})
+    parsed = parse.parsed_state(parse.parse_pending(docs)).withColumn("final_review_status", F.col("to_status"))
     records = spark.createDataFrame([(1, 1, "regulation", "第一条", None, ""), (2, 2, "product_document", "条款", None, "")], RECORD)
     checked = validate.validate(parsed, records)
     assert [r["to_status"] for r in checked.collect()] == ["pending_review"] * 2
@@ -272,3 +281,22 @@ def test_closed_chain(spark):
 def test_raw_dates(spark, bad):
     df = spark.createDataFrame([(bad,), ("2024-02-29",), (None,)], "d string")
     assert [r[0] is None for r in values(df, validate.bad_date("d"))] == [False, True, True]
+
+
+def test_parsed_state_merges_what_it_knows(spark):
+    rows = [(1, "a.txt", "t", b"new", "pending", "old", {"local_source": "true", "parsing": "x"}), (2, "a.pdf", "t", b"", "pending", "old", None)]
+    docs = spark.createDataFrame(rows, "id bigint, raw_file_path string, source_title string, content binary, parse_status string, raw_text string, metadata map<string,string>")
+    out = {r["id"]: r for r in parse.parsed_state(parse.parse_pending(docs)).collect()}
+    assert out[1]["raw_text"] == "new" and out[1]["metadata"] == {"local_source": "true", "parsing": '{"metadata":{},"warnings":[]}'}
+    assert out[2]["raw_text"] == "old" and out[2]["metadata"] == {} and out[2]["parse_status"] == "pending"
+
+
+def test_long_documents_are_chunked_in_linear_time():
+    import time
+
+    text = "\n".join("word " * (1 + i % 40) + "x" for i in range(200_000))
+    began = time.time()
+    made = chunk.packed(text, 1200)
+    at = chunk.spans(made, text)
+    assert time.time() - began < 5 and len(text) > 20_000_000 and all(text[s:e] == c and x for c, (s, e, x) in zip(made, at, strict=True))
+    assert chunk.packed("x" * 5_000_001, 1200)[-1] == "x" * (5_000_001 % 1200)
