@@ -14,8 +14,7 @@ cell. ``cell_rows`` bounds a cell by its share of the largest (source, size).
 Defined cases: a null text has size 0. Null sources are one source, last in order. A
 source without words has target 0 and is not taken. Repeated rows are documents of
 their own; which of them gets a copy makes no difference. Null doc_ids are allowed.
-Empty tables give an empty result. Extra columns are carried by ``mixed``; columns that
-it adds on the way start with ``_tessera_``.
+Empty tables give an empty result. Extra columns are carried by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -104,8 +103,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
-    taken = with_copies(sized(docs)).where(F.col(_P + "copies") > 0)
-    return taken.withColumn(_P + "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(_P + "copies")))).select(*docs.columns)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    seen = staged(sized(docs.select("doc_id", "text", "source", row)).drop("text", "source"), "sized")
+    taken = with_copies(seen).where(F.col(_P + "copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(_P + "copies")))).select("row.*")
 
 
 #: DuckDB, over documents

@@ -8,8 +8,8 @@ at least 0.8. The steps:
    in 20 bands of 4. Documents with equal keys are one class, counted, not paired.
 2. Classes that share a band's bucket are candidates: a similarity of 0.8 is
    missed with a chance of (1 - 0.8**4)**20 = 3e-5. A large bucket is dealt into
-   blocks, and each pair of blocks is one group, so that no group exceeds about two
-   blocks and the work on a hot bucket spreads over tasks.
+   blocks of about 256 texts or 16 MB, and each pair of blocks is one group, so that no
+   group exceeds about two blocks and the work on a hot bucket spreads over tasks.
 3. In a group, a pair is looked at only in the first band it shares. Its MinHash
    values are compared twenty at a time, and it is dropped as soon as the posterior
    chance of reaching the threshold, under a uniform prior, is below 1e-6.
@@ -31,13 +31,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.batches import whole_groups
-from tessera.llm.staging import staged
+from tessera.llm.staging import free, staged
 from tessera.llm.words import _BASE, U64, _power, mix, roll, texts, words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -45,7 +46,11 @@ BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 STEP = 20
 BLOCK = 256
+#: A text counts once more for each so many bytes of it when blocks are cut
+WEIGHT_BYTES = 1 << 16
+BYTES_AT_ONCE = 4 << 20
 PAIRS_AT_ONCE = 50_000
+_WORDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _rng = np.random.default_rng(77)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=U64) * U64(2) + U64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=U64)
@@ -66,8 +71,8 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray], list[bytes | None]]]:
-    """By slices: the index of the first text, each text's sorted shingle hashes, its key or None."""
+def shingle_sets(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """By slices: the index of the first text, each text's sorted shingle hashes."""
     for t in texts(column):
         w, at, hashes = _shingled(t)
         owner = w.owner[at]
@@ -77,7 +82,7 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray], list
         new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
         owner, hashes = owner[new], hashes[new]
         bounds = np.searchsorted(owner, np.arange(len(t) + 1))
-        yield t.first, [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], _keys(w)
+        yield t.first, [hashes[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _shingled(t):
@@ -102,12 +107,13 @@ def _keys(w) -> list[bytes | None]:
 
 
 def fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, key, and the bands of its signature as 64-bit values."""
+    """doc_id, text -> doc_id, key, weight by length, and the bands of its signature as 64-bit values."""
     for batch in batches:
-        keys, bands = [], []
+        keys, bands, weights = [], [], [np.zeros(0, np.int64)]
         for t in texts(batch.column(1)):
             w, at, hashes = _shingled(t)
             keys += _keys(w)
+            weights.append(1 + np.diff(t.bounds) // WEIGHT_BYTES)
             order = np.argsort(w.owner[at], kind="stable")
             owner, hashes = w.owner[at][order], hashes[order]
             full, first = np.unique(owner, return_index=True)
@@ -119,7 +125,21 @@ def fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(least.view(np.int64).ravel())
         flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists], ["doc_id", "key", "bands"])
+        columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(np.concatenate(weights)), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "weight", "bands"])
+
+
+def first_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> key, text of the first row of each key in the task; texts without words are left out."""
+    seen: set[bytes | None] = {None}
+    for batch in batches:
+        keys = _keys_of(batch.column(0)).to_pylist()
+        new = []
+        for i, key in enumerate(keys):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()), batch.column(0).take(pa.array(new, pa.int64()))], ["key", "text"])
 
 
 def _pairs(borders: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,41 +227,61 @@ def _jaccard(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return common / np.maximum(sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - common, 1)
 
 
+def _links_of(table: pa.Table, borders: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Of whole groups: per key its links to other keys (copies counted) and a key of its part of the component."""
+    keys, copies = table["key"].combine_chunks(), table["copies"].to_numpy()
+    lists = table["partners"].combine_chunks()
+    n = len(keys)
+    group = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    # a key and its group as one number
+    rows = _halves(keys) + mix(group.astype(U64))
+    partners = _halves(lists.flatten()) + mix(np.repeat(group, np.diff(lists.offsets.to_numpy())).astype(U64))
+    left = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(rows, kind="stable")
+    at = np.minimum(np.searchsorted(rows[order], partners), n - 1)
+    known = rows[order][at] == partners
+    pairs = np.stack([left[known], order[at[known]]], 1)
+    near = [np.zeros((0, 2), np.int64)]
+    cut = np.searchsorted(pairs[:, 0], borders)
+    weigh = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy())])
+    g = 0
+    while g < len(borders) - 1:  # whole groups of so many bytes
+        to = max(g + 1, int(np.searchsorted(weigh[borders], weigh[borders[g]] + BYTES_AT_ONCE, "right")) - 1)
+        sets: list[np.ndarray] = []
+        for _, some in shingle_sets(table["text"].slice(borders[g], borders[to] - borders[g])):
+            sets += some
+        for k in range(g, to):
+            mine = pairs[cut[k] : cut[k + 1]] - borders[k]
+            if len(mine):
+                own = sets[borders[k] - borders[g] : borders[k + 1] - borders[g]]
+                near.append(mine[_jaccard(own, mine) >= threshold - 1e-12] + borders[k])
+        g = to
+    a, b = np.concatenate(near).T
+    label = np.arange(n)
+    while True:  # no pair leaves its group
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        if (label == before).all():
+            break
+    links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+    some = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(links[some].astype(np.int64)), keys.take(pa.array(label[some]))], ["key", "links", "root"])
+
+
+def _halves(keys: pa.Array) -> np.ndarray:
+    """64 of the 128 bits of each key."""
+    if not len(keys):
+        return np.zeros(0, U64)
+    start = int(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset])
+    return np.frombuffer(keys.buffers()[2], U64, len(keys) * 2, start)[::2]
+
+
 def verified(threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by task -> per key its links to other keys (copies counted) and a key of its part of the component."""
+        """Sorted by task -> the links of each task's members and their parts of components."""
         for table, borders in whole_groups(batches, "task"):
-            sets: list[np.ndarray] = []
-            found: list[bytes | None] = []
-            for _, some, keys in shingle_sets(table["text"]):
-                sets += some
-                found += keys
-            keys, copies = table["key"].to_pylist(), table["copies"].to_numpy()
-            partners = table["partners"].to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for start, end in zip(borders, borders[1:], strict=False):
-                rows = {keys[r]: r for r in range(start, end) if found[r] == keys[r]}
-                at = {k: n for n, k in enumerate(rows)}
-                pairs = np.array(sorted({(at[keys[r]], at[p]) for r in rows.values() for p in partners[r] if p in at}), np.int64).reshape(-1, 2)
-                if not len(pairs):
-                    continue
-                mine = list(rows.values())
-                pairs = pairs[_jaccard([sets[r] for r in mine], pairs) >= threshold - 1e-12]
-                a, b = pairs.T
-                label = np.arange(len(mine))
-                while True:
-                    before = label.copy()
-                    np.minimum.at(label, a, label[b])
-                    np.minimum.at(label, b, label[a])
-                    if (label == before).all():
-                        break
-                links = np.bincount(a, copies[mine][b], len(mine)) + np.bincount(b, copies[mine][a], len(mine))
-                names = list(rows)
-                for r in np.flatnonzero(links):
-                    out[0].append(names[r])
-                    out[1].append(int(links[r]))
-                    out[2].append(names[label[r]])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["key", "links", "root"])
+            yield _links_of(table, borders, threshold)
 
     return run
 
@@ -279,8 +319,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, tolerance: f
     the class, which tells classes apart even where doc_ids repeat.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    prints = staged(docs.mapInArrow(fingerprints, "doc_id bigint, key binary, bands array<bigint>"), "prints")
-    classes = prints.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    prints = staged(docs.mapInArrow(fingerprints, "doc_id bigint, key binary, weight bigint, bands array<bigint>"), "prints")
+    classes = prints.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     links = staged(_links(docs, classes, threshold, tolerance), "links")
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
@@ -304,13 +344,14 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """
     known = near_duplicates(docs, threshold)
     best = known.where("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("_tessera_id"), F.col("best.key").alias("_tessera_key"))
-    own = F.arrow_udf(_keys_of, T.BinaryType())("text")
-    keyed = docs.withColumn("_tessera_own", own)
-    same = keyed["doc_id"].eqNullSafe(best["_tessera_id"]) & (keyed["_tessera_own"] == best["_tessera_key"])
-    order = Window.partitionBy("doc_id", "_tessera_own").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    stay = keyed.join(best, same, "left_semi").withColumn("_tessera_n", F.row_number().over(order)).where("_tessera_n = 1")
-    return stay.select(*docs.columns).unionByName(keyed.where("_tessera_own is null").select(*docs.columns))
+    own, number, best_id, best_key = (free(docs, n) for n in ("own", "number", "id", "key"))
+    best = best.select(F.col("best.doc_id").alias(best_id), F.col("best.key").alias(best_key))
+    keyed = docs.withColumn(own, F.arrow_udf(_keys_of, T.BinaryType())("text"))
+    same = keyed["doc_id"].eqNullSafe(best[best_id]) & (keyed[own] == best[best_key])
+    order = Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*docs.columns))
+    stay = keyed.join(best, same, "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    worded = F.coalesce(F.col("text").rlike(_WORDED), F.lit(False))
+    return stay.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def _keys_of(text: pa.Array) -> pa.Array:
@@ -318,8 +359,8 @@ def _keys_of(text: pa.Array) -> pa.Array:
 
 
 def _links(docs: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    spots = classes.select("key", F.posexplode("bands").alias("band", "value")).select("key", "band", F.xxhash64("band", "value").alias("bucket"))
-    shared = spots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("bucket").alias("same"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    spots = classes.select("key", "weight", F.posexplode("bands").alias("band", "value")).select("key", "weight", "band", F.xxhash64("band", "value").alias("bucket"))
+    shared = spots.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).where("n > 1").select(F.col("bucket").alias("same"), F.ceil(F.col("weight") / BLOCK).alias("blocks"))
     spots = spots.join(shared, spots["bucket"] == shared["same"]).withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
     spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -327,7 +368,11 @@ def _links(docs: DataFrame, classes: DataFrame, threshold: float, tolerance: flo
     members = spots.join(classes, "key").select("task", "band", "side", "key", "copies", "bands")
     left = members.repartition("task").sortWithinPartitions("task")
     kept = left.mapInArrow(pruned(least_matches(threshold, tolerance)), "task bigint, key binary, copies bigint, partners array<binary>")
-    # one text per key, as doc_ids may be null or repeat; copies are merged before the exchange
-    told = docs.select(F.arrow_udf(_keys_of, T.BinaryType())("text").alias("key"), "text").where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
+    kept = staged(kept, "candidates")
+    # one text per key, as doc_ids may be null or repeat; only keys with a candidate go on, found by hashing, as sorting
+    # would sort whole texts; a hash table holds a partition's keys, which are a small part of its texts
+    asked = kept.select("key").distinct().hint("shuffle_hash")
+    told = docs.select("text").mapInArrow(first_texts, "key binary, text string").join(asked, "key", "left_semi")
+    told = told.groupBy("key").agg(F.first("text").alias("text"))
     kept = kept.join(told, "key").select("task", "key", "copies", "partners", "text")
     return kept.repartition("task").sortWithinPartitions("task").mapInArrow(verified(threshold), "key binary, links bigint, root binary")

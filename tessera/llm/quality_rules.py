@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.staging import staged
+from tessera.llm.staging import free, staged
 from tessera.llm.words import POINT, SPACE, Texts, _table, mix, texts, word_hash, words_of
 
 #: Frequent function words of English, German, French and Spanish.
@@ -184,16 +184,17 @@ def _posterior(model: VoteModel, pattern: Column) -> Column:
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, into: str = "quality") -> DataFrame:
-    """Every document with a struct ``into``: the counts, votes, posterior, base_failed and kept."""
-    model = fit(docs.select(measure("text").alias("f")).select("f.pattern"))
-    seen = docs.withColumn(into, measure("text"))
+    """Every document with a struct ``into``: the counts, posterior, base_failed and kept; the measured rows are staged."""
+    seen = staged(docs.withColumn(into, measure("text")), "measured")
+    model = fit(seen.select(F.col(into)["pattern"].alias("pattern")))
     return seen.withColumn(into, _with(seen[into], verdict(model, seen[into], threshold)))
 
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose verdict is to keep them, with the columns they came with."""
-    seen = judge(docs, threshold, "_tessera_quality")
-    return seen.where(seen["_tessera_quality"]["kept"]).drop("_tessera_quality")
+    into = free(docs, "quality")
+    seen = judge(docs, threshold, into)
+    return seen.where(seen[into]["kept"]).drop(into)
 
 
 def _with(features: Column, made: Column) -> Column:

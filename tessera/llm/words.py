@@ -2,13 +2,14 @@
 
 A batch is cut into slices of whole texts of about ``SLICE`` bytes (a longer
 text is a slice of its own), so that memory is bounded by the slice and the
-longest text, whatever the batch. Hashes have 64 bits: a polynomial over random
+longest text, whatever the batch, and is given back after each batch. Hashes have 64 bits: a polynomial over random
 byte values modulo 2**64 from prefix sums, then a finaliser. Two given
 different words or shingles collide with a chance of about 2**-60.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,15 +88,44 @@ class Texts:
         return sums[self.bounds[1:]] - sums[self.bounds[:-1]]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        n = len(self.data)
-        if not n:
-            return np.zeros(len(starts), U64)
-        up, down = _power(n)
-        values = (_BYTE[_LOWER] if lower else _BYTE)[self.data]
-        values *= up[:n]
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(values, out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts])
+        """Of the byte ranges, in stretches of about a slice, so that a very long text takes no more memory."""
+        table = _BYTE[_LOWER] if lower else _BYTE
+        if len(self.data) <= 2 * SLICE:
+            return mix(_sums(table[self.data], starts, ends))
+        order = np.argsort(starts, kind="stable")
+        begin, out, i = starts[order], np.zeros(len(starts), U64), 0
+        while i < len(order):
+            base = begin[i]
+            some = order[i : int(np.searchsorted(begin, base + SLICE, "right"))]
+            long = ends[some] - base > 2 * SLICE
+            for k in some[long]:
+                out[k] = _long(table, self.data[starts[k] : ends[k]])
+            short = some[~long]
+            if len(short):
+                out[short] = _sums(table[self.data[base : ends[short].max()]], starts[short] - base, ends[short] - base)
+            i += len(some)
+        return mix(out)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial sums of ranges of values."""
+    n = len(values)
+    if not n:
+        return np.zeros(len(starts), U64)
+    up, down = _power(n)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(values * up[:n], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def _long(table: np.ndarray, data: np.ndarray) -> np.uint64:
+    """The polynomial sum of one long range, piece by piece."""
+    up, _ = _power(SLICE)
+    total = 0
+    for at in range(0, len(data), SLICE):
+        part = table[data[at : at + SLICE]]
+        total += int((part * up[: len(part)]).sum(dtype=U64)) * pow(_BASE, at, 1 << 64)
+    return U64(total % (1 << 64))
 
 
 @dataclass
@@ -138,6 +169,15 @@ def texts(column: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[Te
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
         yield Texts(whole[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], i)
         i = j
+    del column, data, whole, bounds
+    release()
+
+
+def release() -> None:
+    """Give memory that a batch has freed back to the system: a worker is kept for later tasks, and several are."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def words_of(t: Texts, lower: bool = True) -> Words:
