@@ -346,7 +346,8 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     best = known.where("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
     own, number, best_id, best_key = (free(docs, n) for n in ("own", "number", "id", "key"))
     best = best.select(F.col("best.doc_id").alias(best_id), F.col("best.key").alias(best_key))
-    keyed = docs.withColumn(own, F.arrow_udf(_keys_of, T.BinaryType())("text"))
+    # said to be nondeterministic, else the join's null filter evaluates it a second time, in workers of its own
+    keyed = docs.withColumn(own, F.arrow_udf(_keys_of, T.BinaryType()).asNondeterministic()("text"))
     same = keyed["doc_id"].eqNullSafe(best[best_id]) & (keyed[own] == best[best_key])
     order = Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*docs.columns))
     stay = keyed.join(best, same, "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
