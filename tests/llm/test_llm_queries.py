@@ -1,5 +1,6 @@
 """The training-data queries with SQL against DuckDB, and the pipeline's order."""
 
+import random
 from pathlib import Path
 
 import duckdb
@@ -42,3 +43,28 @@ def test_pipeline(spark):
     assert sorted(r["slot"] for r in made) == list(range(len(made)))
     assert {i for r in made for i in r["doc_ids"]} == set(ids(mixed))
     assert token_shards.LENGTH * 2 == len(made[0]["tokens"])
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, key string, record string, _tessera_quality string, marks string, slot string"
+
+
+def test_pipeline_on_awkward_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, a benchmark with nulls; and an empty table."""
+    rnd = random.Random(2)
+    said = ["the", "of", "and", "is", "town", "people", "harbour", "story", "letters", *(f"place{i}" for i in range(90))]
+    prose = ["\n".join(" ".join(rnd.choice(said) for _ in range(40)) for _ in range(4)) for _ in range(12)]
+    texts = [*prose, prose[0], prose[0].upper(), "", None, " \n ", "x" * 50_000, " " * 1_000_000, " ".join(rnd.choice(said) for _ in range(30_000))]
+    rest = ("s", "k", "r", "q", "m", "t")
+    rows = [(i, t, "en", ["a", None, "b"][i % 3], 1, *rest) for i, t in enumerate(texts)] + [(None, prose[1], None, None, None, *rest), (None, None, None, None, None, *[None] * 6)]
+    docs = spark.createDataFrame(rows + rows[:2], SCHEMA).repartition(3)
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == docs.columns, name
+        made = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+        assert sorted(r["slot"] for r in made) == list(range(len(made)))
+        assert bool(made) == bool(table.count())
+    good = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    single = corpus_pipeline.STAGES[1][1](spark, good, SF)
+    assert single.count() == len({r["text"].lower() for r in good.collect()})
