@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.batches import whole_groups
 from tessera.llm.staging import free, staged
 from tessera.llm.words import U64, roll, texts, words_of
 
@@ -301,26 +302,19 @@ def _rarest(n: np.ndarray):
 
 def _bitmaps(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """shingle -> chunk, bitmap of 8 KB."""
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column(0).to_numpy().astype(U64) >> U64(64 - bits)
-            for chunk in np.unique(at >> U64(16)).tolist():
-                mine = made.setdefault(chunk, np.zeros(1 << 16, bool))
-                mine[(at[at >> U64(16) == U64(chunk)] & U64(0xFFFF)).astype(np.int64)] = True
-                if len(made) > 512:
-                    yield _packed(made)
-        yield _packed(made)
+        """Sorted by chunk: chunk, shingle -> chunk, its bitmap of 8 KB."""
+        for table, borders in whole_groups(batches, "chunk"):
+            at = (table["shingle"].to_numpy().astype(U64) >> U64(64 - bits)) & U64(0xFFFF)
+            chunks, maps = table["chunk"].to_numpy()[borders[:-1]], []
+            for low, high in zip(borders, borders[1:], strict=False):
+                on = np.zeros(1 << 16, bool)
+                on[at[low:high].astype(np.int64)] = True
+                maps.append(np.packbits(on, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(maps, pa.binary())], ["chunk", "bitmap"])
 
     return run
 
 
-def _packed(made: dict[int, np.ndarray]) -> pa.RecordBatch:
-    out = pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in made.values()], pa.binary())], ["chunk", "bitmap"])
-    made.clear()
-    return out
-
-
 def _asked(bitmap: np.ndarray, bits: int, sizes: list[int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """row, text -> a row per word whose shingle the bitmap has: shingle, row, at, n_words, context (the hashes of the words around)."""
@@ -384,11 +378,12 @@ def mark_large(docs: DataFrame, benchmark: DataFrame, into: str) -> DataFrame:
     place = F.arrow_udf(_rarest(n), T.IntegerType())("shingles")
     prefix = staged(one.withColumn("place", place).select("window", "length", "words", "place", F.get("shingles", F.col("place")).alias("shingle")), "prefixes")
     bits = min(MOST_BITS, max(20, int(prefix.count()).bit_length() + 3))
-    rows = prefix.select("shingle").distinct().mapInArrow(_bitmaps(bits), "chunk int, bitmap binary")
+    chunk = F.shiftrightunsigned("shingle", 64 - bits + 16).cast("int").alias("chunk")
+    rows = prefix.select(chunk, "shingle").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_bitmaps(bits), "chunk int, bitmap binary")
     bitmap = np.zeros(1 << bits - 3, np.uint8)
-    for r in rows.toLocalIterator():  # pieces of the bitmap, from each task
+    for r in rows.collect():  # each piece of the bitmap once: 32 MB at most
         part = np.frombuffer(r["bitmap"], np.uint8)
-        bitmap[r["chunk"] * len(part) : (r["chunk"] + 1) * len(part)] |= part
+        bitmap[r["chunk"] * len(part) : (r["chunk"] + 1) * len(part)] = part
     row, found_in = free(docs, "row"), free(docs, "found")
     numbered = staged(docs.withColumns({row: F.monotonically_increasing_id(), into: F.arrow_udf(_count_words, T.LongType())("text")}), "numbered")
     asked = numbered.select(row, "text").mapInArrow(_asked(bitmap, bits, sizes), "shingle bigint, row bigint, at bigint, n_words bigint, context binary")
