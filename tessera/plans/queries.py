@@ -456,7 +456,7 @@ h AS (SELECT data_type, id, 'collected' AS f, 'collected' AS t, 'collection comp
   UNION ALL SELECT d.data_type, p.id, d.final_review_status, 'parsed', 'parsed' FROM p JOIN docs d ON d.id = p.id WHERE ending IN ('.html', '.txt')
   UNION ALL SELECT data_type, id, 'parsed', CASE WHEN issues = '' THEN 'pending_review' ELSE 'auto_validation_failed' END, 'deterministic validation' FROM v
   UNION ALL SELECT data_type, id, final_review_status, 'indexed', 'trusted index marker' FROM docs WHERE {_ELIGIBLE})
-SELECT data_type AS record_type, id AS record_id, f AS from_status, t AS to_status, r AS reason, TIMESTAMP '{_AS_OF}' AS changed_at FROM h""")
+SELECT data_type AS record_type, id AS record_id, f AS from_status, t AS to_status, r AS reason, '{_AS_OF}' AS changed_at FROM h""")
 def q_transition_log(spark: SparkSession, d: str) -> DataFrame:
     """What collection, parsing, validation and indexing log."""
     docs = _docs(spark, d)
@@ -471,7 +471,7 @@ def q_transition_log(spark: SparkSession, d: str) -> DataFrame:
     out = logs[0]
     for log in logs[1:]:
         out = out.unionByName(log)
-    return out
+    return out.withColumn("changed_at", F.col("changed_at").cast("string"))
 
 
 @query(f"WITH r AS ({V['RECORDS']}), n AS (SELECT id + 1000000 AS id, document_id FROM r WHERE document_id % 2 = 0) SELECT id, document_id FROM r WHERE document_id % 4 = 0 UNION ALL SELECT id, document_id FROM n WHERE document_id % 4 <> 0")
