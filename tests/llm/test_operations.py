@@ -310,6 +310,26 @@ def test_chat_windows_fill_the_budget(spark):
     assert len(wide) >= 40 * 50 * 1.5 // 512
 
 
+def test_a_long_conversation_in_many_blocks(spark):
+    """A third of all turns in one conversation: the windows are the same however many tasks share it."""
+    c = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
+    role = F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "user").otherwise("assistant")
+    said = F.repeat(F.lit("word "), F.when(F.col("id") % 50 == 0, 600).otherwise(F.pmod(F.xxhash64("id"), F.lit(40))).cast("int"))
+    turns = spark.range(1500).select(c.alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    made = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert chat._ordered(turns).select("part").distinct().count() >= parts // 2
+            made.append(sorted(map(repr, chat.windows(turns, 512, 96).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert made[0] == made[1] and len(made[0]) > 1000
+
+
 def test_html():
     page = """<html><body class="page has-sidebar"><header><h1>Site</h1></header><nav>x</nav><div id="cookie-notice">We use cookies on the site and we think that it is the best for you and for all of us.</div>
 <main><article><header><h1>Title &amp; more</h1></header><p>Short.</p><p>It is the first of the paragraphs and it has <a href=q>a link</a> in it, with many words.<br>next line<br><br>Third bit<ul><li>One<li>Two</ul>
