@@ -15,10 +15,12 @@ turn. In roles and texts a backslash goes before every backslash, after ``<`` of
 backslash off before any character undoes it. No control string of this template or of
 those others remains inside a text.
 
-No task holds a conversation. The turns are sorted once by range over all tasks, and each
-range of a conversation is a block. Sums run inside blocks, then over the few rows that stand
-for a conversation's blocks, and the history that reaches over a block's start is handed on to it. Only a single window's turns are
-ever gathered in a row.
+Conversations of up to ``long_bytes`` are sorted each in one task, by one exchange. Longer ones, of
+which there are at most as many as the table has multiples of that, are
+sorted by range over all tasks, and each range of a conversation is a block. Sums run inside blocks,
+then over the few rows that stand for a conversation's blocks, and the history that reaches over
+a block's start is handed on to it. Both ways give the same windows. Only a single window's turns
+are ever gathered in a row.
 
 Defined cases: null and empty texts and roles count as empty. Turns are in order of
 ``turn``, nulls first, ties by role and text. A null conv_id is a conversation. Repeated
@@ -34,7 +36,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from tessera.llm.staging import staged
 
-BUDGET, HISTORY = 2048, 256
+BUDGET, HISTORY, LONG_BYTES = 2048, 256, 256 << 20
 TURN, PAST, TEXT, END = "<|turn|>", "<|past|>", "<|text|>", "<|end|>\n"
 _CONTROL = r"\\|(?<=<)(?=\||/?s>)|(?<=\[)(?=/?INST\])"
 
@@ -53,6 +55,51 @@ def tokens(named: Column, said: Column) -> Column:
     return (F.ceil((3 * octets - 2 * chars) / 4) + 4).cast("bigint")
 
 
+def _in_one_sort(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """conv_id, window, new turns, turns before them and the system turn: each conversation in one task."""
+    empty = F.lit("")
+    t = turns.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    whole = Window.partitionBy("conv_id")
+    t = t.select("conv_id", "role", F.row_number().over(order).cast("bigint").alias("n"), escape(t["role"]).alias("named"), escape(t["text"]).alias("said"))
+    t = t.withColumns({"tokens": tokens(t["named"], t["said"]), "lead": (F.col("n") == 1) & (F.col("role") == "system")})
+    by_n = Window.partitionBy("conv_id").orderBy("n")
+    earlier = by_n.rowsBetween(Window.unboundedPreceding, -1)
+    cost = F.when(F.col("lead"), 0).otherwise(F.col("tokens"))
+    t = t.withColumns(
+        {
+            "at": F.coalesce(F.sum(cost).over(earlier), F.lit(0)),
+            "fixed": F.max(F.when(F.col("lead"), F.col("tokens")).otherwise(0)).over(whole),
+            "system": F.max(F.when(F.col("lead"), F.struct("named", "said"))).over(whole),
+        }
+    )
+    t = t.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.col("fixed")))
+    long = 2 * cost > F.col("room")
+    t = t.withColumns(
+        {
+            "long": long,
+            "others": F.max(F.when(~long, cost).otherwise(0)).over(whole),
+            "run": F.count_if(long).over(earlier),
+            "since": F.coalesce(F.max(F.when(long, F.col("at") + cost)).over(earlier), F.lit(0)),  # where the run of other turns begins
+        }
+    )
+    stretch = F.greatest(F.lit(1), F.col("room") - F.col("others"))
+    place = F.when(F.col("long"), F.lit(1 << 62)).otherwise(F.floor((F.col("at") - F.col("since")) / stretch))
+    t = t.withColumn("place", place)
+    place = F.when(F.col("lead"), F.coalesce(F.lead("place").over(by_n), "place")).otherwise(F.col("place"))  # the system turn goes with the turn after it
+    t = t.withColumn("span", F.struct("run", place.alias("place")))
+    # the system turn has the place of the first turn after it, at 0, and is no history
+    back = Window.partitionBy("conv_id").orderBy("at").rangeBetween(-history, -1)
+    told = F.when(~F.col("lead"), F.struct("at", "named", "said"))
+    t = t.withColumn("before", F.collect_list(told).over(back))
+    first = F.col("n") == F.min("n").over(Window.partitionBy("conv_id", "span"))
+    t = t.withColumn("before", F.when(first, F.col("before")))
+    new = F.struct("n", "role", "named", "said")
+    spans = t.groupBy("conv_id", "span").agg(F.array_sort(F.collect_list(new)).alias("new"), F.first("before", True).alias("before"), F.first("system").alias("system"))
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("span")) - 1
+    return spans.select("conv_id", number.cast("bigint").alias("window"), "new", "before", "system")
+
+
 def _ordered(turns: DataFrame) -> DataFrame:
     """conv (conv_id as a struct, so that null equals null), part, n (order over all), role, named, said (escaped), tokens.
 
@@ -141,8 +188,8 @@ def _numbered(t: DataFrame, blocks: DataFrame, history: int) -> DataFrame:
     return staged(blocks.join(own, _BLOCK), "numbers")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window (from 0), formatted, loss (array of start, from 0, and length in code points)."""
+def _in_blocks(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """The same of conversations of any length, over many tasks."""
     t = _ordered(turns)
     blocks = _numbered(t, _summed(t, _led(t, budget, history)), history)
     t = _spans(t, blocks)
@@ -160,10 +207,25 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     first = F.array(F.struct(F.col("lead").alias("n"), F.lit("system").alias("role"), "system.named", "system.said"))
     led = (F.col("window") == 0) & F.col("lead").isNotNull()  # the system turn is new in the first window
     spans = spans.withColumn("new", F.when(led, F.concat(first, F.col("new"))).otherwise(F.col("new")))
+    return spans.select("conv.conv_id", "window", "new", "before", "system")
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, long_bytes: int = LONG_BYTES) -> DataFrame:
+    """conv_id, window (from 0), formatted, loss (array of start, from 0, and length in code points)."""
+    turns = turns.select("conv_id", "turn", "role", "text")
+    conv = F.struct("conv_id").alias("conv")  # null equals null
+    octets = 64 + F.coalesce(F.octet_length("role"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
+    sizes = turns.select(conv, octets.cast("bigint").alias("size")).groupBy("conv").agg(F.sum("size").alias("size"))
+    long = staged(sizes.where(F.col("size") > long_bytes).select("conv"), "long")
+    if long.isEmpty():
+        spans = _in_one_sort(turns, budget, history)
+    else:
+        of = lambda how: turns.withColumn("conv", conv).join(long, "conv", how).drop("conv")
+        spans = _in_one_sort(of("left_anti"), budget, history).unionByName(_in_blocks(of("left_semi"), budget, history))
     shown = lambda mark, x: F.concat(F.lit(mark), x["named"], F.lit(TEXT), x["said"], F.lit(END))
     again = F.when((F.col("window") > 0) & F.col("system").isNotNull(), shown(PAST, F.col("system"))).otherwise("")
     head = F.concat(again, F.array_join(F.transform(F.array_sort("before"), lambda x: shown(PAST, x)), ""))
-    spans = spans.select("conv.conv_id", "window", "new", head.alias("head"), F.transform("new", lambda x: shown(TURN, x)).alias("turns"))
+    spans = spans.select("conv_id", "window", "new", head.alias("head"), F.transform("new", lambda x: shown(TURN, x)).alias("turns"))
     start = lambda x: F.length(F.lit(TURN)) + F.length(x["named"]) + F.length(F.lit(TEXT))
     ends = F.aggregate(
         "turns", F.array(F.length("head")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x)))

@@ -281,8 +281,8 @@ def test_chat_round_trip(spark):
     groups = {}
     for c, t, r, x in rows:
         groups.setdefault(c, []).append(((t is not None, t or 0), r or "", x or ""))
-    for budget, history in ((2048, 256), (120, 40), (5, 300)):
-        made = chat.windows(df, budget, history)
+    for budget, history, long_bytes in ((2048, 256, 1 << 28), (120, 40, 2000), (5, 300, 0)):
+        made = chat.windows(df, budget, history, long_bytes)
         got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(made).collect()}
         for c, turns in groups.items():
             turns.sort(key=lambda x: (x[0], x[1].encode(), x[2].encode()))
@@ -323,11 +323,12 @@ def test_a_long_conversation_in_many_blocks(spark):
         for parts in (1, 16):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
             assert chat._ordered(turns).select("part").distinct().count() >= parts // 2
-            made.append(sorted(map(repr, chat.windows(turns, 512, 96).collect())))
+            made.append(sorted(map(repr, chat.windows(turns, 512, 96, 0).collect())))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert made[0] == made[1] and len(made[0]) > 1000
+    mixed, whole = (sorted(map(repr, chat.windows(turns, 512, 96, most).collect())) for most in (10_000, 1 << 28))
+    assert made[0] == made[1] == mixed == whole and len(whole) > 1000
 
 
 def test_html():
