@@ -9,7 +9,10 @@ size, the words taken differ from the target by about the largest document.
 
 The running sums need no task that holds a source: ranks come from the numbers of
 documents per (source, size) and per hash cell inside it, and a row number within a
-cell. ``cell_rows`` bounds a cell by its share of the largest (source, size).
+cell. Cells are made small enough that the largest (source, size) has about ``cell_rows`` in each; a
+cell that is larger all the same, since doc_ids repeat or are null, is parted by whole hash and
+record number. Nor does one task hold the sources: their order comes from ranges of
+their keys, and what full ones leave to others from sums over all, repeated until no other is full.
 
 Defined cases: a null text has size 0. Null sources are one source, last in order. A
 source without words has target 0 and is not taken. Repeated rows are documents of
@@ -39,54 +42,77 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
+def _weighed(sources: DataFrame) -> DataFrame:
+    """source key, size -> the same with its weight, by its place in the order of keys."""
+    part, place = _P + "part", _P + "place"
+    s = staged(sources.repartitionByRange(_P + "key").withColumn(part, F.spark_partition_id()), "ranges")
+    ahead = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    before = s.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(ahead, F.lit(0)).alias("before"))
+    s = s.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(_P + "key")) - 1).join(before, part)
+    weight = F.get(F.array(*map(F.lit, WEIGHTS)), ((F.col(place) + F.col("before")) % len(WEIGHTS)).cast("int"))
+    return staged(s.select(_P + "key", _P + "total", weight.alias("w")), "weighed")
+
+
+def _level(weighed: DataFrame) -> float:
+    """Words per weight of the sources that are not full; it rises as full ones leave words to the others."""
+    cap = MOST * F.col(_P + "total")
+    every = weighed.agg(F.sum(_P + "total")).first()[0] or 0
+    level, full, weight = 0.0, 0, weighed.agg(F.sum("w")).first()[0]
+    while weight and (every - full) / weight > level:
+        level = (every - full) / weight
+        is_full = cap <= F.col("w") * F.lit(level)
+        full, weight = weighed.agg(F.coalesce(F.sum(F.when(is_full, cap)), F.lit(0)), F.sum(F.when(~is_full, F.col("w")))).first()
+    return level
+
+
 def targets(sources: DataFrame) -> DataFrame:
-    """source key, size -> the same with target, rate and offset; as many rows as there are sources.
-
-    Water-filling in closed form: by cap per weight, a source is full as long as its
-    share of what the full ones before it leave exceeds its cap.
-    """
-    every, by_key = Window.partitionBy(), Window.orderBy(_P + "key")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(by_key) - 1) % len(WEIGHTS) + 1).cast("int"))
-    s = sources.select(_P + "key", _P + "total", weight.alias("w"), (MOST * F.col(_P + "total")).alias("cap"), F.sum(_P + "total").over(every).alias("all"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), _P + "key")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("level", (F.col("all") - before) / rest)
-    s = s.withColumn("open", F.col("cap") > F.col("w") * F.col("level")).withColumn("k", F.row_number().over(order))
-    level = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.col("k"))).over(every)
-    target = F.when(F.col("open"), F.col("w") * level).otherwise(F.col("cap").cast("double"))
+    """source key, size -> the same with target, rate and offset; as many rows as there are sources."""
+    s = _weighed(sources)
+    cap, share = (MOST * F.col(_P + "total")).cast("double"), F.col("w") * F.lit(_level(s))
+    target = F.least(cap, share)
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), _P + "key")), 1, 5), 16, 10).cast("double") + 0.5) / (1 << 20)
     return s.select(_P + "key", _P + "total", target.alias(_P + "target"), F.when(F.col(_P + "total") > 0, target / F.col(_P + "total")).otherwise(0.0).alias(_P + "rate"), offset.alias(_P + "offset"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """With the size, the source's sort key (null last) and the doc_id's hash."""
+    """With the size, the source's sort key (null last), the doc_id's hash and a record number."""
     return docs.withColumns(
         {
             _P + "size": size_of(docs["text"]),
             _P + "key": F.coalesce(F.concat(F.lit("0"), docs["source"].cast("string")), F.lit("1")),
             _P + "hash": F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))),
+            _P + "number": F.monotonically_increasing_id(),
         }
     )
 
 
+def _celled(docs: DataFrame, digits: int, cell_rows: int) -> DataFrame:
+    """With the cell in (source, size): the hash's first digits; in a cell of over two cells' rows, the hash and one of several parts."""
+    keys, cell, hot = [_P + "key", _P + "size"], _P + "cell", _P + "hot"
+    docs = docs.withColumn(cell, F.substring(_P + "hash", 1, digits))
+    large = docs.groupBy(*keys, cell).agg(F.count("*").alias("n")).where(F.col("n") > 2 * cell_rows)
+    large = large.select(*keys, cell, F.ceil(F.col("n") / cell_rows).alias(hot))  # at most a row for each 2 * cell_rows documents
+    parted = F.concat_ws("-", _P + "hash", F.lpad(F.pmod(F.xxhash64(_P + "number"), hot).cast("string"), 12, "0"))
+    return docs.join(large, [*keys, cell], "left").withColumn(cell, F.when(F.col(hot).isNull(), F.col(cell)).otherwise(parted)).drop(hot)
+
+
 def with_copies(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``sized`` rows with _tessera_copies, _tessera_total and _tessera_target."""
+    """Written ``sized`` rows with _tessera_copies, _tessera_total and _tessera_target."""
     keys = [_P + "key", _P + "size"]
     sizes = staged(docs.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
     most = sizes.agg(F.max("n").alias("n")).first()["n"] or 1
     digits = max(2, math.ceil(math.log(most / cell_rows, 16))) if most > cell_rows else 2
-    cell = F.substring(_P + "hash", 1, digits)
+    docs = _celled(docs, digits, cell_rows)
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     of_source = targets(sizes.groupBy(_P + "key").agg(F.sum(F.col(_P + "size") * F.col("n")).alias(_P + "total")))
     base = F.coalesce(F.sum("n").over(earlier(Window.partitionBy(_P + "key").orderBy(_P + "size"))), F.lit(0))
     bases = sizes.select(*keys, base.alias("base")).join(of_source, _P + "key")
-    cells = docs.groupBy(*keys, cell.alias(_P + "cell")).agg(F.count("*").alias("n"))
+    cells = docs.groupBy(*keys, _P + "cell").agg(F.count("*").alias("n"))
     inner = F.coalesce(F.sum("n").over(earlier(Window.partitionBy(*keys).orderBy(_P + "cell"))), F.lit(0))
     cells = cells.select(*keys, _P + "cell", inner.alias("inner")).join(bases, keys)
     cells = cells.select(*keys, _P + "cell", (F.col("base") + F.col("inner")).alias(_P + "first"), _P + "total", _P + "target", _P + "rate", _P + "offset")
     place = Window.partitionBy(*keys, _P + "cell").orderBy(_P + "hash", "doc_id")
-    ranked = docs.withColumn(_P + "cell", cell).withColumn(_P + "place", F.row_number().over(place)).join(cells, [*keys, _P + "cell"])
+    ranked = docs.withColumn(_P + "place", F.row_number().over(place)).join(cells, [*keys, _P + "cell"])
     until = F.col(_P + "first") + F.col(_P + "place")
     crossed = F.floor(F.col(_P + "offset") + F.col(_P + "rate") * until) - F.floor(F.col(_P + "offset") + F.col(_P + "rate") * (until - 1))
     return ranked.withColumn(_P + "copies", F.least(crossed, F.lit(MOST)))

@@ -273,6 +273,35 @@ def test_mixing(spark, awkward, empty):
     assert mixing.report(empty).count() == 0
 
 
+def test_mix_of_many_sources_and_repeated_ids(spark):
+    """Sources over several ranges, a third of the rows with one id and others without any: the same mix whatever the cells."""
+    rnd = random.Random(8)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "w " * (1 + i % 2 * (i % 5)), "hot" if i % 3 < 2 else f"s{rnd.randrange(400)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    key, total, target = (f"_tessera_{c}" for c in ("key", "total", "target"))
+    size = {}
+    for _, text, source in rows:
+        size["0" + source] = size.get("0" + source, 0) + len(text.split())
+    weight, full, level = {s: i % 3 + 1 for i, s in enumerate(sorted(size))}, set(), 0
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in full)) / sum(w for s, w in weight.items() if s not in full)
+        more = {s for s in size if 3 * size[s] <= weight[s] * level}
+        if more == full:
+            break
+        full = more
+    want = {s: 3 * size[s] if s in full else weight[s] * level for s in size}
+    seen = mixing.staged(mixing.sized(docs), "sized")
+    made = {r[key]: r for r in mixing.targets(seen.groupBy(key).agg(F.sum("_tessera_size").alias(total))).collect()}
+    assert full and {k: r[target] for k, r in made.items()} == pytest.approx(want)
+
+    def taken(cell_rows):
+        return sorted((r.asDict()[key], r["_tessera_size"], r["doc_id"] or -1, r["_tessera_copies"]) for r in mixing.with_copies(seen, cell_rows).collect())
+
+    cells = mixing._celled(seen, 2, 20).groupBy(key, "_tessera_size", "_tessera_cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 60
+    assert taken(100_000) == taken(20) and len(taken(20)) == 3000
+
+
 def test_chat_round_trip(spark):
     nasty = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", nasty), (-1, 1, "assistant", nasty), (None, None, None, None), (None, 2, "assistant", "a\\b<|turn|>\\\\<s> <\\|end|>\n\\"), (-3, 0, "sys<|text|>\n", "x"), (-3, 0, "assistant", ""), (-3, 1, "assistant", "𝔘<|"), (-4, 0, "system", "S"), (-4, 1, "assistant", "q" * 30000)]
