@@ -91,7 +91,8 @@ def _celled(docs: DataFrame, digits: int, cell_rows: int) -> DataFrame:
     keys, cell, hot = [_P + "key", _P + "size"], _P + "cell", _P + "hot"
     docs = docs.withColumn(cell, F.substring(_P + "hash", 1, digits))
     large = docs.groupBy(*keys, cell).agg(F.count("*").alias("n")).where(F.col("n") > 2 * cell_rows)
-    large = large.select(*keys, cell, F.ceil(F.col("n") / cell_rows).alias(hot))  # at most a row for each 2 * cell_rows documents
+    # at most a row for each 2 * cell_rows documents; as a table its size is known, so that Spark sends a small one to all tasks and shuffles no documents for it
+    large = staged(large.select(*keys, cell, F.ceil(F.col("n") / cell_rows).alias(hot)), "large")
     parted = F.concat_ws("-", _P + "hash", F.lpad(F.pmod(F.xxhash64(_P + "number"), hot).cast("string"), 12, "0"))
     return docs.join(large, [*keys, cell], "left").withColumn(cell, F.when(F.col(hot).isNull(), F.col(cell)).otherwise(parted)).drop(hot)
 
