@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_text, importance, mixing, near_dup, pii, quality_rules, sharding, token_shards
+from tessera.llm import chat, conversation_repair, decontaminate, fill_middle, html_text, importance, mixing, near_dup, pii, quality_rules, secrets, sharding, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,18 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.training_order(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 _ALL = (
     op1_html_extraction,
     op2_importance_resampling,
@@ -73,6 +85,9 @@ _ALL = (
     op8_ngram_jaccard,
     op9_quality_rules,
     op10_token_shards,
+    op11_secrets,
+    op12_fill_middle,
+    op13_conversation_repair,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
@@ -139,9 +154,19 @@ link AS MATERIALIZED (SELECT a, b FROM both_of JOIN n x ON x.doc_id = a JOIN n y
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS n_links FROM reach GROUP BY a"""
 
+_DRAW = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)"
+_FILL_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {_DRAW(0)} % (len(u) + 1) AS x, {_DRAW(1)} % (len(u) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_DRAW(2)} % 100 >= {fill_middle.RATE} THEN 'plain' WHEN {_DRAW(3)} % 100 < {fill_middle.SPM} THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1 : least(x, y)], '') AS pre, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS mid, array_to_string(u[greatest(x, y) + 1 :], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 SQL: dict[str, str] = {
     "op4_chat_formatting": _CHAT_SQL,
     "op5_decontamination": _DECONTAMINATION_SQL,
     "op7_mixing": mixing.SQL,
     "op8_ngram_jaccard": _NEAR_DUP_SQL,
+    "op12_fill_middle": _FILL_SQL,
 }
