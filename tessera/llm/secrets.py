@@ -104,7 +104,7 @@ def weak_spans(text: str) -> list[tuple[int, int, int, bool]]:
     out += [(m.start(), IDENTIFIER, m.end(), True) for m in _OTHER_KEY.finditer(text)]
     if "://" in text:
         out += [(m.start(), ENDPOINT, m.end(), True) for m in _ENDPOINT.finditer(text)]
-    if out:  # a random run is reported beside other parts only
+    if out or "AKIA" in text:  # a random run is reported beside other parts only
         out += [(m.start(), SECRET, m.end(), False) for m in _RANDOM.finditer(text) if random(m[0])]
     return sorted(out)
 
@@ -149,8 +149,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     where = scopes(text, found[:, ::2])
     parts = np.concatenate([sure, found])
     role = _ROLE[parts[:, 1]]
-    told = np.concatenate([np.ones(len(sure), bool), named])  # random runs do not make others credible
-    near = np.stack([_meeting(where, parts[role[:, r] & told][:, ::2]) > 0 for r in range(3)], 1)
+    near = np.stack([_meeting(where, parts[role[:, r]][:, ::2]) > 0 for r in range(3)], 1)
     identifier, secret, endpoint = near.T
     kind = found[:, 1]
     fine = holds | (kind == SECRET) & (identifier | endpoint & named) | (kind == IDENTIFIER) & secret | (kind == ENDPOINT) & identifier & secret
