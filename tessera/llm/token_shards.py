@@ -50,8 +50,8 @@ LENGTH, PER_SHARD, KEY = 1024, 4096, 20240229
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MOST_SHARDS = 100_000
 CHARS_AT_ONCE = 1 << 20
-#: What the pattern takes for white space. It goes back over a run sign by sign, and fails on very long ones.
-_RUN = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+#: What the pattern takes for white space. It goes back over a run sign by sign, so the time grows with a run's square, and it fails on very long ones.
+_RUN = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100,}")
 
 
 @functools.cache
@@ -71,7 +71,7 @@ def encode(encoder, text: str) -> Iterator[np.ndarray]:
     text's end it is one piece. So long runs are merged by themselves and the ids stay those of the text.
     """
     at = 0
-    for run in _RUN.finditer(text) if len(text) >= 10_000 else ():
+    for run in _RUN.finditer(text):
         end = run.end() - (run.end() < len(text))
         yield encoder.encode_to_numpy(text[at : run.start()], disallowed_special=())
         yield np.array(encoder._encode_single_piece(text[run.start() : end]), np.uint32)
