@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that count as white space, and the line ends.
@@ -29,3 +29,10 @@ def or_missing(text: Column) -> Column:
 def suffix(path: Column) -> Column:
     """Lower-case ``.ext`` of a path's last part, else an empty string; a leading dot is no suffix."""
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))
+
+
+def with_entry(rows: DataFrame, name: str, value: Column) -> Column:
+    """The rows' ``metadata`` (names to JSON text; may be missing) with an entry set; other names stay."""
+    none = F.create_map().cast("map<string,string>")
+    old = F.coalesce("metadata", none) if "metadata" in rows.columns else none
+    return F.map_concat(F.map_filter(old, lambda k, v: k != name), F.create_map(F.lit(name), value))

@@ -1,8 +1,9 @@
 """Greedy chunks of lines and their offsets, within a document's row: no shuffle.
 
 A batch of rows is worked in Arrow UDFs, one linear pass over each text: prefix sums of the
-lines' lengths tell where a chunk ends, and a chunk is looked for from the end of the one before it.
-A chunk that is not there as it stands (its lines were stripped) costs a scan of the rest.
+lines' lengths tell where a chunk ends, and a chunk is looked for from the end of the one before it, not far at first.
+Where one is not near as it stands (its lines were stripped, or blank ones are between them), one more pass over the text finds the places of all
+chunks that are left.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.grams import Places
 from tessera.schemas import CHUNK_CHARS
 
 _SPANS = "array<struct<start:int,end:int,exact:boolean>>"
@@ -41,9 +43,13 @@ def packed(text: str, most: int) -> list[str]:
 
 def spans(pieces: list[str], plain: str) -> list[tuple[int, int, bool]]:
     """start, end and exact of each chunk."""
-    out, ends = [], 0
-    for piece in pieces:
-        found = plain.find(piece, ends)
+    out, ends, places = [], 0, None
+    for i, piece in enumerate(pieces):
+        near = ends + 4 * len(piece) + 64
+        found = plain.find(piece, ends, near)
+        if found < 0 and near < len(plain):
+            places = places or Places(pieces[i:], plain, ends)
+            found = places.next(piece, ends)
         begins = max(found, ends)
         ends = begins + len(piece)
         out.append((begins, ends, found >= 0))

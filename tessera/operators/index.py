@@ -55,8 +55,8 @@ def get_record(docs: DataFrame, data_type: str, record_id: int) -> DataFrame:
 
 def record_view(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """What a reader of a record gets; ``with_text`` adds the text and the metadata."""
-    kind = "map<string,string>"
-    given = lambda c: F.coalesce(c, F.create_map().cast(kind)) if c in docs.columns else F.create_map().cast(kind)
+    kinds = dict(docs.dtypes)
+    given = lambda c: F.coalesce(c, F.create_map().cast(kinds[c])) if c in kinds else F.create_map().cast("map<string,string>")
     view = ["id", "data_type", "source_url", "source_title", "authenticity_type", "final_review_status", "knowledge_index_status", given("corrected_fields").alias("corrected_fields")]
     return docs.select(*view, *(["raw_text", given("metadata").alias("metadata")] if with_text else []))
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.staging import staged
+
+MOST_ROWS = 1_000_000
+
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
@@ -43,14 +47,34 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """record_id, seq, to_status -> with from_status, the record's state before.
+def transitions(events: DataFrame, key: tuple[str, ...] = ("record_id",), most_rows: int = MOST_ROWS) -> DataFrame:
+    """Rows of a record (``key``) in order of ``seq``, to_status -> with from_status, the record's state before.
 
-    ``current`` (if there) is the state before the first row.
+    ``current`` (if there) is the state before the first row. The rows of a record with up to ``most_rows`` meet in
+    one task. Records with more, of which there are at most as many as the table has
+    multiples of that, are sorted by range over all tasks; a range looks back within itself, and its first
+    row gets the last state of the record's range before, of which there is a row each.
     """
-    before = F.lag("to_status").over(Window.partitionBy("record_id").orderBy("seq"))
-    first = F.col("current") if "current" in events.columns else F.lit(None).cast("string")
-    return events.withColumn("from_status", F.coalesce(before, first))
+    own, first = F.struct(*key).alias("_key"), F.col("current") if "current" in events.columns else F.lit(None).cast("string")
+    large = staged(events.groupBy(own).agg(F.count("*").alias("_n")).where(F.col("_n") > most_rows).select("_key"), "large-records")
+    if large.isEmpty():
+        before = F.lag("to_status").over(Window.partitionBy(*key).orderBy("seq"))
+        return events.withColumn("from_status", F.coalesce(before, first))
+    keyed = events.withColumn("_key", own)
+    few, many = keyed.join(large, "_key", "left_anti"), keyed.join(large, "_key", "left_semi")
+    before = F.lag("to_status").over(Window.partitionBy("_key").orderBy("seq"))
+    return few.withColumn("from_status", F.coalesce(before, first)).unionByName(_by_ranges(many, first)).drop("_key")
+
+
+def _by_ranges(events: DataFrame, first: Column) -> DataFrame:
+    """The same with a record's rows (_key) over many tasks: a range of the sorted rows is a part."""
+    parts = staged(events.repartitionByRange("_key", "seq").withColumn("_part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_key", "_part").orderBy("seq")
+    ends = parts.groupBy("_key", "_part").agg(F.max_by("to_status", "seq").alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy("_key").orderBy("_part")))
+    rows = parts.withColumns({"_before": F.lag("to_status").over(within), "_nth": F.row_number().over(within)}).join(ends, ["_key", "_part"], "left")
+    before = F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_before"))
+    return rows.withColumn("from_status", F.coalesce(before, first)).drop("_part", "_before", "_nth", "_end")
 
 
 def history(rows: DataFrame, reason: str, as_of: str, to_status: str = "to_status", from_status: str = "final_review_status") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import or_missing, suffix
-from tessera.operators.html import decoded_text, html_text, html_title
+from tessera.functions.text import or_missing, suffix, with_entry
+from tessera.operators.html import decoded_text, html_parsed
 
 
 def parse_pending(docs: DataFrame) -> DataFrame:
@@ -22,12 +22,13 @@ def parse_pending(docs: DataFrame) -> DataFrame:
     text = decoded_text(F.col("content"))
     is_html, is_text = ending.isin(".html", ".htm"), ending == ".txt"
     out = pending.withColumns({"_text": text, "_stem": stem})
-    plain = F.when(is_html, html_text(F.col("_text"))).when(is_text, F.col("_text"))
-    title = F.when(is_html, html_title(F.col("_text"), F.col("_stem"))).when(is_text, F.col("_stem"))
+    out = out.withColumn("_html", html_parsed(F.when(is_html, F.col("_text"))))  # other rows give the parser nothing to do
+    plain = F.when(is_html, F.col("_html.text")).when(is_text, F.col("_text"))
+    title = F.when(is_html, F.coalesce("_html.title", "_stem")).when(is_text, F.col("_stem"))
     wrong = F.when(~is_html & ~is_text, F.concat(F.lit("Unsupported document type: "), ending)).when(F.col("_text").isNull(), "content is not valid UTF-8")
     out = out.withColumns({"plain_text": plain, "title": F.coalesce(or_missing(F.col("source_title")), title), "error": wrong})
     pages = F.array(F.struct(F.lit(1).alias("page_number"), F.col("plain_text").alias("text")))
-    return out.withColumn("pages", F.when(F.col("error").isNull(), pages)).drop("_text", "_stem")
+    return out.withColumn("pages", F.when(F.col("error").isNull(), pages)).drop("_text", "_stem", "_html")
 
 
 def parsed_state(parsed: DataFrame) -> DataFrame:
@@ -36,10 +37,10 @@ def parsed_state(parsed: DataFrame) -> DataFrame:
     ``metadata`` maps names to JSON text; other names stay. An error leaves the document as it is.
     """
     fine = F.col("error").isNull()
-    kind = "map<string,string>"
-    old = F.coalesce("metadata", F.create_map().cast(kind)) if "metadata" in parsed.columns else F.create_map().cast(kind)
-    said = F.to_json(F.struct(F.create_map().cast(kind).alias("metadata"), F.array().cast("array<string>").alias("warnings")))
-    metadata = F.map_concat(F.map_filter(old, lambda k, v: k != "parsing"), F.create_map(F.lit("parsing"), said))
+    none = F.create_map().cast("map<string,string>")
+    old = F.coalesce("metadata", none) if "metadata" in parsed.columns else none
+    said = F.to_json(F.struct(none.alias("metadata"), F.array().cast("array<string>").alias("warnings")))
+    metadata = with_entry(parsed, "parsing", said)
     raw = F.col("raw_text") if "raw_text" in parsed.columns else F.lit(None).cast("string")
     return parsed.withColumns(
         {

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import or_missing
-from tessera.schemas import ISSUE
+from tessera.functions.text import or_missing, with_entry
+from tessera.schemas import AUTOMATIC, ISSUE
 
+#: Fixed values, as are the rules' names, codes and messages below
 REQUIRED = ("raw_text", "sha256", "raw_file_path")
 DATES = ("published_at", "effective_date", "expiry_date", "decision_date")
 
@@ -104,10 +105,17 @@ def with_issues(docs: DataFrame, records: DataFrame, strict: bool = False) -> Da
 
 
 def validate(docs: DataFrame, records: DataFrame, strict: bool = False) -> DataFrame:
-    """Parsed documents with issues, valid and the state that follows; approval is left to people."""
+    """Parsed documents with issues, valid and the state that follows, and the outcome as JSON in ``metadata``; approval is left to people."""
     parsed = with_issues(docs, records, strict).where("final_review_status = 'parsed'")
     valid = F.size("issues") == 0
-    return parsed.withColumns({"valid": valid, "to_status": F.when(valid, "pending_review").otherwise("auto_validation_failed")})
+    return parsed.withColumns(
+        {"valid": valid, "to_status": F.when(valid, "pending_review").otherwise("auto_validation_failed"), "metadata": with_entry(parsed, AUTOMATIC, report_json(F.col("issues")))}
+    )
+
+
+def report_json(issues: Column) -> Column:
+    """What a reviewer is told, as JSON: whether the document is valid, and its issues with all their fields."""
+    return F.to_json(F.struct((F.size(issues) == 0).alias("valid"), issues.alias("issues")), {"ignoreNullFields": "false"})
 
 
 def summary(validated: DataFrame) -> DataFrame:

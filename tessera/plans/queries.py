@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import LINE_END, REFERENCES, SPACE
-from tessera.operators import assemble, chunk, html, index, ingest, parse, review, validate
+from tessera.operators import assemble, chunk, html, index, ingest, parse, quote_scan, review, validate
 from tessera.plans import views
-from tessera.schemas import APPROVED, DECIDABLE, MAX_BYTES
+from tessera.schemas import APPROVED, AUTOMATIC, DECIDABLE, MAX_BYTES, QUOTES
 from tessera.sources import files, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,13 +83,14 @@ def q_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT page_id, coalesce(content_type, 'application/octet-stream') AS content_type, CASE
+    f"""SELECT page_id, coalesce(content_type, 'application/octet-stream') AS content_type, coalesce(final_url, url) AS final_url,
+  '{{"response_headers":"{{\\"last-modified\\":' || coalesce('\\"' || last_modified || '\\"', 'null') || '}}"}}' AS metadata, CASE
   WHEN NOT coalesce(regexp_matches(url, '\\Ahttps?://'), false) THEN 'Only public HTTP(S) URLs are supported'
   WHEN NOT coalesce(http_status BETWEEN 200 AND 299, false) THEN 'HTTP status ' || coalesce(CAST(http_status AS VARCHAR), 'missing')
   WHEN strlen(html) > {MAX_BYTES} THEN 'Download exceeds configured size limit' END AS error FROM ({V["CRAWL"]})"""
 )
 def q_crawl_gate(spark: SparkSession, d: str) -> DataFrame:
-    return registry.crawl_rows(views.view(spark, d, views.CRAWL)).select("page_id", "content_type", "error")
+    return registry.crawl_rows(views.view(spark, d, views.CRAWL)).select("page_id", "content_type", "final_url", F.to_json("metadata").alias("metadata"), "error")
 
 
 @query(
@@ -294,13 +295,55 @@ def q_validate_summary(spark: SparkSession, d: str) -> DataFrame:
     return validate.summary(validate.validate(_docs(spark, d), _records(spark, d)))
 
 
+@query("""SELECT b.item_id, d.doc_id AS document_id, CAST(strpos(d.text, b.text) - 1 AS INTEGER) AS start, CAST(len(string_split(d.text, b.text)) - 1 AS BIGINT) AS n_places
+FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''""")
+def q_quote_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark passage in every document."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text"))
+    return quote_scan.quote_scan(docs, spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text"))
+
+
 # Review
 
 
-@query(f"WITH {_DOCS} SELECT id AS record_id, source_url, source_title, substring(coalesce(raw_text, ''), 1, 500) AS raw_text_summary, '{{}}' AS parsed_fields, '' AS quotes, final_review_status AS current_status FROM docs WHERE final_review_status = 'pending_review' AND data_type = 'penalty'")
+def _issue_json(code: str, message: str, validator: str, field: str | None) -> str:
+    return f'{{"validator":"{validator}","code":"{code}","message":"{message}","field":{"null" if field is None else f'"{field}"'}}}'
+
+
+#: An issue's code as _CODES lists it -> its JSON
+_AS_JSON = {
+    "required:raw_text": _issue_json("required", "raw_text is required", "RequiredFieldValidator", "raw_text"),
+    "required:raw_file_path": _issue_json("required", "raw_file_path is required", "RequiredFieldValidator", "raw_file_path"),
+    "invalid_source:source_url": _issue_json("invalid_source", "Public data requires a valid HTTP(S) URL or explicit local source", "SourceUrlValidator", "source_url"),
+    "duplicate_hash:sha256": _issue_json("duplicate_hash", "Duplicate SHA-256 detected", "HashDuplicateValidator", "sha256"),
+    "missing_quote": _issue_json("missing_quote", "Key extraction requires source_quote", "SourceQuoteValidator", None),
+    "quote_not_found": _issue_json("quote_not_found", "source_quote is not present in immutable raw text", "SourceQuoteValidator", None),
+    "constructed_wrong_type:authenticity_type": _issue_json("constructed_wrong_type", "constructed_for_evaluation is restricted to evaluation_sample", "AuthenticityValidator", "authenticity_type"),
+    "fabricated_wording:original_sales_wording": _issue_json("fabricated_wording", "original_sales_wording must be empty when the source did not disclose it", "OriginalWordingValidator", "original_sales_wording"),
+}
+_ISSUE_OF = "CASE i " + " ".join(f"WHEN '{code}' THEN '{text}'" for code, text in _AS_JSON.items()) + " END"
+_OUTCOME = f"""'{{"valid":' || CASE WHEN issues = '' THEN 'true' ELSE 'false' END || ',"issues":[' || CASE WHEN issues = '' THEN '' ELSE array_to_string([{_ISSUE_OF} FOR i IN string_split(issues, ',')], ',') END || ']}}'"""
+
+
+@query(f"WITH {_ONE}, v AS (SELECT id, {_ISSUES} AS issues FROM j WHERE final_review_status = 'parsed') SELECT id, {_OUTCOME} AS automatic_validation FROM v")
+def q_automatic_validation(spark: SparkSession, d: str) -> DataFrame:
+    """What validation leaves in the documents' metadata."""
+    checked = validate.validate(_docs(spark, d), _records(spark, d))
+    return checked.select("id", F.element_at("metadata", F.lit(AUTOMATIC)).alias("automatic_validation"))
+
+
+@query(f"""WITH {_ONE}, v AS (SELECT *, {_ISSUES} AS issues FROM j WHERE final_review_status IN ('parsed', 'pending_review') AND data_type = 'penalty')
+SELECT id AS record_id, source_url, source_title, substring(coalesce(raw_text, ''), 1, 500) AS raw_text_summary, '{{}}' AS parsed_fields, coalesce(substring(raw_text, 1, 20), '') AS quotes,
+  CASE WHEN final_review_status = 'parsed' THEN {_OUTCOME} ELSE '{{}}' END AS automatic_validation, 'pending_review' AS current_status
+FROM v WHERE issues = '' OR final_review_status = 'pending_review'""")
 def q_review_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = review.document_rows(review.pending(_docs(spark, d), "penalty"))
-    return rows.select("record_id", "source_url", "source_title", "raw_text_summary", "parsed_fields", F.array_join("source_quotes", ",").alias("quotes"), "current_status")
+    """Documents that validation has just sent to review, and those that wait there already; their quotes are in the metadata."""
+    docs = _docs(spark, d)
+    quotes = F.to_json(F.array(F.coalesce(F.substring("raw_text", 1, 20), F.lit(""))))
+    docs = docs.withColumn("metadata", F.create_map(F.lit(QUOTES), quotes))
+    checked = validate.validate(docs, _records(spark, d)).withColumn("final_review_status", F.col("to_status")).select(*docs.columns)
+    rows = review.document_rows(review.pending(checked.unionByName(docs.where("final_review_status = 'pending_review'")), "penalty"))
+    return rows.select("record_id", "source_url", "source_title", "raw_text_summary", "parsed_fields", F.array_join("source_quotes", ",").alias("quotes"), "automatic_validation", "current_status")
 
 
 @query(f"""SELECT id AS record_id, 'evaluation_sample' AS record_type, substring(sample_text, 1, 500) AS raw_text_summary, '[]' AS source_quotes,
@@ -334,7 +377,7 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_MATCHED} SELECT line_no, 'line ' || CAST(line_no AS VARCHAR) || ': ' || error AS message FROM c WHERE error IS NOT NULL")
 def q_decision_errors(spark: SparkSession, d: str) -> DataFrame:
-    return review.import_errors(_matched(spark, d))
+    return review.import_errors(_matched(spark, d)).select("line_no", "message")
 
 
 @query(f"WITH {_MATCHED} SELECT count(*) FILTER (error IS NULL) AS imported, count(*) FILTER (error IS NOT NULL) AS failed FROM c")
@@ -342,51 +385,65 @@ def q_import_summary(spark: SparkSession, d: str) -> DataFrame:
     return review.import_summary(_matched(spark, d))
 
 
-@query(f"""WITH {_MATCHED}, u AS (SELECT record_id, line_no, unnest(json_keys(co)) AS k, co FROM c WHERE error IS NULL AND NOT none), l AS (SELECT record_id, k, max_by(co ->> ('$.' || k), line_no) AS v FROM u GROUP BY record_id, k),
-m AS (SELECT record_id, max_by(v, record_id) FILTER (k = 'article') AS article, max_by(v, record_id) FILTER (k = 'wording') AS wording FROM l GROUP BY record_id)
-SELECT r.id, r.document_id, CASE WHEN r.id = f.first THEN coalesce(m.article, r.article) ELSE r.article END AS article, CASE WHEN r.id = f.first THEN coalesce(m.wording, r.wording) ELSE r.wording END AS wording, r.source_quote
+_LATEST = """u AS (SELECT record_id, line_no, unnest(json_keys(co)) AS k, co FROM c WHERE error IS NULL AND NOT none),
+l AS (SELECT record_id, k, max_by(CAST(json_extract(co, '$.' || k) AS VARCHAR), line_no) AS v FROM u GROUP BY record_id, k)"""
+_NEW = lambda c: f"CASE WHEN r.id <> f.first OR m.{c} IS NULL THEN r.{c} ELSE m.{c} ->> '$' END AS {c}"
+
+
+@query(f"""WITH {_MATCHED}, {_LATEST},
+m AS (SELECT record_id, {", ".join(f"max(v) FILTER (k = '{c}') AS {c}" for c in ("article", "wording", "disclosed"))} FROM l GROUP BY record_id)
+SELECT r.id, r.document_id, {_NEW("article")}, {_NEW("wording")}, CASE WHEN r.id <> f.first OR m.disclosed IS NULL THEN r.disclosed WHEN m.disclosed = 'null' THEN NULL WHEN m.disclosed = 'true' THEN true ELSE false END AS disclosed, r.source_quote
 FROM ({V["RECORDS"]}) r JOIN (SELECT document_id, data_type, min(id) AS first FROM ({V["RECORDS"]}) GROUP BY document_id, data_type) f USING (document_id, data_type)
 LEFT JOIN m ON m.record_id = r.document_id AND r.data_type = {_TYPE.format("r.document_id")}""")
 def q_corrections(spark: SparkSession, d: str) -> DataFrame:
-    return review.correct_records(_records(spark, d), review.merged(_matched(spark, d))).select("id", "document_id", "article", "wording", "source_quote")
+    return review.correct_records(_records(spark, d), review.merged(_matched(spark, d))).select("id", "document_id", "article", "wording", "disclosed", "source_quote")
 
 
 def _with_fields(docs: DataFrame) -> DataFrame:
     """Documents with corrections of an earlier import."""
-    kept = F.create_map(F.lit("article"), F.lit("old"), F.lit("kept"), F.col("id").cast("string"))
+    kept = F.create_map(F.lit("article"), F.parse_json(F.lit('"old"')), F.lit("kept"), F.col("id").cast("variant"))
     return docs.withColumn("corrected_fields", F.when(F.col("id") % 3 < 2, kept))
 
 
-@query(f"""WITH {_MATCHED}, u AS (SELECT record_id, line_no, unnest(json_keys(co)) AS k, co FROM c WHERE error IS NULL AND NOT none), l AS (SELECT record_id, k, max_by(co ->> ('$.' || k), line_no) AS v FROM u GROUP BY record_id, k),
-decided AS (SELECT DISTINCT record_id FROM c WHERE error IS NULL),
-o AS (SELECT record_id, unnest(['article', 'kept']) AS k, unnest(['old', CAST(record_id AS VARCHAR)]) AS v FROM decided WHERE record_id % 3 < 2),
+@query(f"""WITH {_MATCHED}, {_LATEST}, decided AS (SELECT DISTINCT record_id FROM c WHERE error IS NULL),
+o AS (SELECT record_id, unnest(['article', 'kept']) AS k, unnest(['"old"', CAST(record_id AS VARCHAR)]) AS v FROM decided WHERE record_id % 3 < 2),
 a AS (SELECT * FROM l UNION ALL SELECT * FROM o ANTI JOIN l USING (record_id, k))
 SELECT record_id, coalesce(string_agg(k || '=' || v, ',' ORDER BY k), '') AS corrected_fields FROM decided LEFT JOIN a USING (record_id) GROUP BY record_id""")
 def q_corrected_fields(spark: SparkSession, d: str) -> DataFrame:
     matched = review.match_decisions(review.parse_decisions(views.view(spark, d, views.DECISIONS)), _with_fields(_docs(spark, d)))
-    entries = F.transform(F.array_sort(F.map_entries("corrected_fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    entries = F.transform(F.array_sort(F.map_entries(F.transform_values("corrected_fields", lambda k, v: F.to_json(v)))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return review.merged(matched).select("record_id", F.array_join(entries, ",").alias("corrected_fields"))
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Samples, and decisions in which documents and samples have the same ids."""
-    samples = views.view(spark, d, views.SAMPLES)
+    samples = views.view(spark, d, views.SAMPLES).withColumn("risk_labels", F.array(F.lit("demo")))
     lines = review.parse_decisions(views.view(spark, d, views.BOTH_DECISIONS))
-    return samples, review.merged(review.match_decisions(lines, _docs(spark, d), samples))
+    return samples, review.match_decisions(lines, _docs(spark, d), samples)
 
 
 @query(f"""SELECT s.id, CASE WHEN l.doc_id IS NULL THEN s.split ELSE 'test' END AS split, s.authenticity_type, CASE WHEN l.doc_id IS NULL THEN s.final_review_status ELSE 'rejected' END AS final_review_status,
-  CASE WHEN l.doc_id IS NOT NULL THEN 'indexed' END AS from_status FROM ({V["SAMPLES"]}) s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = s.id""")
+  CASE WHEN l.doc_id IS NULL THEN s.sample_category END AS sample_category, CASE WHEN l.doc_id IS NULL THEN 'demo' ELSE 'x,y' END AS risk_labels, CASE WHEN l.doc_id IS NOT NULL THEN 'indexed' END AS from_status FROM ({V["SAMPLES"]}) s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = s.id""")
 def q_sample_corrections(spark: SparkSession, d: str) -> DataFrame:
-    return review.correct_samples(*_both(spark, d)).select("id", "split", "authenticity_type", "final_review_status", "from_status")
+    samples, matched = _both(spark, d)
+    made = review.correct_samples(samples, review.merged(matched)).withColumn("risk_labels", F.array_join("risk_labels", ","))
+    return made.select("id", "split", "authenticity_type", "final_review_status", "sample_category", "risk_labels", "from_status")
+
+
+@query(f"""SELECT l.n AS line_no, CASE WHEN l.n % 2 = 1 THEN 'evaluation_sample' ELSE d.data_type END AS record_type, l.doc_id AS record_id, CASE WHEN l.n % 2 = 1 THEN 'indexed' ELSE d.final_review_status END AS from_status,
+  CASE WHEN l.n % 2 = 1 THEN 'rejected' ELSE 'approved' END AS to_status FROM (SELECT doc_id, doc_id * 2 + unnest([0, 1]) AS n FROM labels) l JOIN ({V["DOCS"]}) d ON d.id = l.doc_id""")
+def q_sample_history(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds' transitions; a sample's corrections have set its state before the decision does."""
+    return review.decision_history(_both(spark, d)[1]).select("line_no", "record_type", "record_id", "from_status", "to_status")
 
 
-@query(f"""SELECT r.id, r.document_id, CASE WHEN l.doc_id IS NOT NULL AND r.id = f.first AND r.data_type = {_TYPE.format("r.document_id")} THEN 'of the document' ELSE r.article END AS article, r.source_quote
+@query(f"""SELECT r.id, r.document_id, CASE WHEN l.doc_id IS NOT NULL AND r.id = f.first AND r.data_type = {_TYPE.format("r.document_id")} THEN 'of the document' ELSE r.article END AS article, CASE WHEN l.doc_id IS NOT NULL AND r.id = f.first AND r.data_type = {_TYPE.format("r.document_id")} THEN '7' ELSE r.wording END AS wording,
+  CASE WHEN l.doc_id IS NOT NULL AND r.id = f.first AND r.data_type = {_TYPE.format("r.document_id")} THEN NULL ELSE r.disclosed END AS disclosed, r.source_quote
 FROM ({V["RECORDS"]}) r JOIN (SELECT document_id, data_type, min(id) AS first FROM ({V["RECORDS"]}) GROUP BY document_id, data_type) f USING (document_id, data_type)
 LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = r.document_id""")
 def q_record_corrections(spark: SparkSession, d: str) -> DataFrame:
     """The document's decision reaches its record, that of the sample with the same id does not."""
-    return review.correct_records(_records(spark, d), _both(spark, d)[1]).select("id", "document_id", "article", "source_quote")
+    return review.correct_records(_records(spark, d), review.merged(_both(spark, d)[1])).select("id", "document_id", "article", "wording", "disclosed", "source_quote")
 
 
 @query(f"WITH {_MATCHED} SELECT record_type, record_id, max_by(fs, line_no) AS final_status, count(*) AS n_decisions FROM c WHERE error IS NULL GROUP BY record_type, record_id")
@@ -427,7 +484,7 @@ def q_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 _VIEW = "id, data_type, source_url, source_title, authenticity_type, final_review_status, knowledge_index_status"
-_FIELDS = """CASE WHEN id % 3 < 2 THEN '{{"article":"old","kept":"' || CAST(id AS VARCHAR) || '"}}' ELSE '{{}}' END AS corrected_fields"""
+_FIELDS = """CASE WHEN id % 3 < 2 THEN '{{"article":"old","kept":' || CAST(id AS VARCHAR) || '}}' ELSE '{{}}' END AS corrected_fields"""
 
 
 @query(f"WITH {_DOCS} SELECT {_VIEW}, {_FIELDS} FROM docs WHERE final_review_status = 'approved' AND data_type = 'penalty' ORDER BY id".replace("{{", "{").replace("}}", "}"))

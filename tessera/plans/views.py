@@ -30,6 +30,7 @@ FROM {documents} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two
 WHERE n = 0 OR doc_id % 6 = 0"""
 CRAWL = """
 SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'ftp://x/a.pdf' WHEN 1 THEN url || '/a.PDF' WHEN 2 THEN url || '/a.pdf?x=1' WHEN 3 THEN NULL ELSE url END AS url, html,
+  CASE page_id % 4 WHEN 0 THEN NULL ELSE url || '/to' END AS final_url, CASE page_id % 3 WHEN 0 THEN NULL ELSE 'Thu, 29 Feb 2024 00:00:00 GMT' END AS last_modified,
   CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN NULL WHEN 2 THEN 204 ELSE 200 END AS http_status,
   CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'TEXT/HTML; charset=x' WHEN 2 THEN 'text/html ;x' WHEN 3 THEN 'application/pdf' ELSE 'application/octet-stream' END AS content_type
 FROM {pages}"""
@@ -43,14 +44,15 @@ SELECT doc_id + 1 AS line_no, CASE
     || ', "record_type": "' || CASE (doc_id - doc_id % 2) % 3 WHEN 0 THEN 'regulation' WHEN 1 THEN 'penalty' ELSE 'product_document' END
     || '", "final_status": "' || CASE WHEN doc_id % 29 = 0 THEN 'made_up' WHEN quality = 1 AND toxic = 0 THEN 'approved' WHEN quality = 1 THEN 'approved_with_revision' WHEN toxic = 0 THEN 'rejected' ELSE 'requires_expert_review' END
     || '", "reviewer": "r", "evidence_quality": "' || CASE WHEN doc_id % 31 = 0 THEN 'E' ELSE 'B' END || '"'
-    || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "corrections": {{"article": "new ' || CAST(doc_id AS STRING) || '", "id": "5"}}' WHEN 2 THEN ', "corrections": {{"wording": "w", "none": "n"}}' ELSE CASE WHEN doc_id % 8 = 3 THEN ', "corrections": ["a"]' ELSE ', "corrections": {{"article": "late"}}' END END || '}}'
+    || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "corrections": {{"article": "new ' || CAST(doc_id AS STRING) || '", "id": "5", "disclosed": true, "tags": ["a",1]}}'
+      WHEN 2 THEN ', "corrections": {{"wording": null, "none": "n", "disclosed": "no"}}' ELSE CASE WHEN doc_id % 8 = 3 THEN ', "corrections": ["a"]' ELSE ', "corrections": {{"article": ' || CAST(doc_id AS STRING) || ', "disclosed": null}}' END END || '}}'
   END AS line FROM {labels}"""
 #: Two lines for each labelled id: one of the document, one of the evaluation sample with the same id.
 BOTH_DECISIONS = """
 SELECT doc_id * 2 + n AS line_no, '{{"record_id": ' || CAST(doc_id AS STRING) || ', "reviewer": "r", "evidence_quality": "A", "record_type": "' || CASE n WHEN 1 THEN 'evaluation_sample' ELSE
   CASE doc_id % 3 WHEN 0 THEN 'regulation' WHEN 1 THEN 'penalty' ELSE 'product_document' END END || CASE n
-  WHEN 1 THEN '", "final_status": "rejected", "corrections": {{"article": "of the sample", "split": "test", "authenticity_type": "x", "final_review_status": "indexed"}}}}'
-  ELSE '", "final_status": "approved", "corrections": {{"article": "of the document", "source_quote": "x"}}}}' END AS line
+  WHEN 1 THEN '", "final_status": "rejected", "corrections": {{"article": "of the sample", "split": "test", "authenticity_type": "x", "final_review_status": "indexed", "sample_category": null, "risk_labels": ["x","y"]}}}}'
+  ELSE '", "final_status": "approved", "corrections": {{"article": "of the document", "source_quote": "x", "wording": 7, "disclosed": null}}}}' END AS line
 FROM {labels} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two"""
 TRANSITIONS = """
 SELECT user_id AS record_id, ts, event_id, CASE event_type WHEN 'view' THEN 'parsed' WHEN 'click' THEN 'pending_review' WHEN 'signup' THEN 'approved' WHEN 'purchase' THEN 'indexed' ELSE 'rejected' END AS to_status

@@ -39,6 +39,7 @@ TYPE_SUFFIXES = {
 }
 OCTETS = "application/octet-stream"
 MAX_BYTES = 50 * 1024 * 1024
+AUTOMATIC, QUOTES = "automatic_validation", "source_quotes"  # names in a document's metadata
 CHUNK_CHARS, SUMMARY_CHARS = 1200, 500
 ISSUE = "struct<validator:string,code:string,message:string,field:string>"
 SAMPLE = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.text import suffix
 from tessera.schemas import CONTENT_TYPES, MAX_BYTES, OCTETS, SAMPLE, SUFFIXES, TYPE_SUFFIXES
@@ -61,10 +62,17 @@ def write_raw(rows: DataFrame, path: str) -> None:
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1, blank lines counted) and line of review files; each file is read whole, they are written by hand."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    split = whole.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("at", "line"))
-    return split.select("file", (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
+    """file, line_no (from 1 in each file, blank lines counted) and line of review files of any size.
+
+    A file's splits are read each in its own task. A line's number is its place in its split and the lines
+    of the splits before, of which there is a row each.
+    """
+    place = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()}
+    rows = spark.read.text(path).select(F.col("value").alias("line"), *[c.alias(n) for n, c in place.items()])
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return rows.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

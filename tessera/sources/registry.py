@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import with_entry
 from tessera.schemas import DATA_TYPES, MAX_BYTES, OCTETS
 
 
 def crawl_rows(pages: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Fetched pages (url, http_status, content_type, html) with content_type filled in and an error or null."""
+    """Fetched pages (url, http_status, content_type, html; final_url and last_modified, if they came) with what is missing filled in and an error or null.
+
+    The address that was asked for stays beside the one that answered. What the server says of the last change stands as JSON in ``metadata``.
+    """
+    given = lambda c: F.col(c) if c in pages.columns else F.lit(None).cast("string")
+    headers = F.to_json(F.struct(given("last_modified").alias("last-modified")), {"ignoreNullFields": "false"})
     error = F.coalesce(
         F.when(~F.coalesce(F.col("url").rlike(r"\Ahttps?://"), F.lit(False)), "Only public HTTP(S) URLs are supported"),
         F.when(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), F.concat(F.lit("HTTP status "), F.coalesce(F.col("http_status").cast("string"), F.lit("missing")))),
         F.when(F.octet_length("html") > max_bytes, "Download exceeds configured size limit"),
     )
-    return pages.withColumns({"content_type": F.coalesce("content_type", F.lit(OCTETS)), "error": error})
+    filled = {"content_type": F.coalesce("content_type", F.lit(OCTETS)), "final_url": F.coalesce(given("final_url"), "url"), "metadata": with_entry(pages, "response_headers", headers)}
+    return pages.withColumns(filled | {"error": error})
 
 
 def source_error(strict: bool = True) -> Column:

@@ -193,7 +193,7 @@ def test_review_loop(spark, tmp_path):
     assert tuple(review.import_summary(matched).first()) == (3, 9)
     decided = review.merged(matched)
     one = {r["record_id"]: r for r in decided.collect()}
-    assert one[1]["final_status"] == "approved_with_revision" and one[1]["corrected_fields"] == {"wording": "late", "id": "9"} and one[1]["n_decisions"] == 2
+    assert one[1]["final_status"] == "approved_with_revision" and {k: v.toPython() for k, v in one[1]["corrected_fields"].items()} == {"wording": "late", "id": 9} and one[1]["n_decisions"] == 2
     records = spark.createDataFrame([(1, 1, "penalty", "q", None, "old"), (2, 1, "penalty", "q", None, "old")], RECORD)
     assert [(r["id"], r["wording"]) for r in review.correct_records(records, decided).orderBy("id").collect()] == [(1, "late"), (2, "old")]
     assert tuple(review.correct_samples(samples, decided).first()) == (7, "test", "constructed_for_evaluation", "rejected", "pending_review")
@@ -251,6 +251,10 @@ def test_registry(spark):
     out = registry.register(df).orderBy("id").collect()
     assert [r["error"] is None for r in out] == [True, False, False] and out[0]["enabled"] is True
     loose = registry.register(df, strict=False).orderBy("id").collect()
+    fetched = spark.createDataFrame([("http://a", 200, None, "x", "http://b", "then"), ("ftp://a", 200, "t", "x", None, None)], "url string, http_status int, content_type string, html string, final_url string, last_modified string")
+    pages = registry.crawl_rows(fetched).collect()
+    assert [(r["final_url"], json.loads(r["metadata"]["response_headers"])["last-modified"], r["error"] is None) for r in pages] == [("http://b", "then", True), ("ftp://a", None, False)]
+    assert registry.crawl_rows(fetched.drop("final_url", "last_modified")).first()["final_url"] == "http://a"
     assert [r["error"] for r in loose] == ["base_url is required", "rate_limit_seconds must not be negative", None]
 
 
@@ -273,6 +277,9 @@ def test_closed_chain(spark):
     records = spark.createDataFrame([(1, 1, "regulation", "第一条", None, ""), (2, 2, "product_document", "条款", None, "")], RECORD)
     checked = validate.validate(parsed, records)
     assert [r["to_status"] for r in checked.collect()] == ["pending_review"] * 2
+    rows = review.document_rows(checked.withColumn("final_review_status", F.col("to_status"))).collect()
+    assert [json.loads(r["automatic_validation"]) for r in rows] == [{"valid": True, "issues": []}] * 2
+    assert all(set(r["metadata"]) == {"parsing", "automatic_validation"} for r in checked.collect())
     approved = checked.withColumns({"final_review_status": F.lit("approved"), "knowledge_index_status": F.lit("not_indexed"), "indexed_at": F.lit(None).cast("timestamp")})
     assert [r["id"] for r in index.mark_indexed(approved, "2024-02-29").where("knowledge_index_status = 'indexed'").collect()] == [2]
 
