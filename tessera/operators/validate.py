@@ -93,20 +93,26 @@ def with_record(docs: DataFrame, records: DataFrame) -> DataFrame:
     return docs.join(one, (docs["id"] == one["document_id"]) & (docs["data_type"] == one["data_type"]), "left").select(*[docs[c] for c in docs.columns], "record")
 
 
-def with_hash_count(docs: DataFrame) -> DataFrame:
-    """How many of all documents have the same hash: partial sums, then a join, so that no hash is one large group."""
-    return docs.join(docs.groupBy("sha256").agg(F.count("*").alias("hash_count")), "sha256", "left")
+def with_hash_count(docs: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """How many of all documents have the same hash: partial sums, then a join, so that no hash is one large group.
 
+    ``counts`` (sha256, hash_count) are those that ``tables.add_counts`` has kept from run to run, these documents among
+    them; then no document but these is read.
+    """
+    if counts is None:
+        counts = docs.groupBy("sha256").agg(F.count("*").alias("hash_count"))
+    return docs.join(counts, "sha256", "left")
 
-def with_issues(docs: DataFrame, records: DataFrame, strict: bool = False) -> DataFrame:
+
+def with_issues(docs: DataFrame, records: DataFrame, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Every document with its ordered issues."""
     rules = [x for rule in RULES.values() for x in rule(strict)]
-    return with_record(with_hash_count(docs), records).withColumn("issues", F.filter(F.array(*rules), lambda x: x.isNotNull()))
+    return with_record(with_hash_count(docs, counts), records).withColumn("issues", F.filter(F.array(*rules), lambda x: x.isNotNull()))
 
 
-def validate(docs: DataFrame, records: DataFrame, strict: bool = False) -> DataFrame:
+def validate(docs: DataFrame, records: DataFrame, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Parsed documents with issues, valid and the state that follows, and the outcome as JSON in ``metadata``; approval is left to people."""
-    parsed = with_issues(docs, records, strict).where("final_review_status = 'parsed'")
+    parsed = with_issues(docs, records, strict, counts).where("final_review_status = 'parsed'")
     valid = F.size("issues") == 0
     return parsed.withColumns(
         {"valid": valid, "to_status": F.when(valid, "pending_review").otherwise("auto_validation_failed"), "metadata": with_entry(parsed, AUTOMATIC, report_json(F.col("issues")))}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import shared_dir
 from tessera.functions.text import LINE_END, REFERENCES, SPACE
 from tessera.operators import assemble, chunk, html, index, ingest, parse, quote_scan, review, validate
 from tessera.plans import views
 from tessera.schemas import APPROVED, AUTOMATIC, DECIDABLE, MAX_BYTES, QUOTES
-from tessera.sources import files, registry
+from tessera.sources import files, registry, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +53,24 @@ def q_dedup_exact(spark: SparkSession, d: str) -> DataFrame:
     return ingest.insert_if_absent(_docs(spark, d).select("id", "sha256")).select("id", "document_id", "created")
 
 
+@query("""WITH d AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h FROM documents), s AS (SELECT h, min(id) AS known FROM d WHERE id % 3 = 0 GROUP BY h), f AS (SELECT *, min(id) OVER (PARTITION BY h) AS first FROM d)
+SELECT f.id, coalesce(s.known, f.first) AS document_id, s.known IS NULL AND f.id = f.first AS created FROM f LEFT JOIN s ON s.h = f.h""")
+def q_dedup_store(spark: SparkSession, d: str) -> DataFrame:
+    """All documents against a bucketed store that has a third of them."""
+    rows, name = _docs(spark, d).select("id", "sha256"), f"tessera_store_{uuid.uuid4().hex}"
+    tables.append_store(rows.where("id % 3 = 0"), name, 16, f"{shared_dir(spark)}/tessera-staged/{name}")
+    return ingest.insert_if_absent(rows, spark.table(name), 16).select("id", "document_id", "created")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS hash_count FROM documents GROUP BY ALL")
+def q_hash_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of three runs, each over its own documents, the second one repeated."""
+    rows, path = _docs(spark, d).select("id", "sha256"), f"{shared_dir(spark)}/tessera-staged/{uuid.uuid4().hex}"
+    for run in (0, 1, 1, 2):
+        tables.add_counts(rows.where(F.col("id") % 3 == run), path, run)
+    return tables.hash_counts(spark, path)
+
+
 @query(
     "WITH x AS (SELECT doc_id = min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS c, doc_id % 50 = 7 AS bad FROM documents) "
     "SELECT count(*) FILTER (NOT bad AND c) AS created, count(*) FILTER (NOT bad AND NOT c) AS duplicates, count(*) FILTER (bad) AS failed FROM x"
@@ -216,6 +236,17 @@ def q_chunk_replace(spark: SparkSession, d: str) -> DataFrame:
     return chunk.replace_chunks(old, parsed, new).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
 
 
+@query(f"""{_CHUNKS}, old AS (SELECT doc_id, i FROM documents, range(0, 3) AS r(i))
+SELECT document_id, count(*) AS n_chunks FROM (SELECT d AS document_id FROM chunks WHERE d % 4 = 1 UNION ALL SELECT doc_id FROM old WHERE doc_id % 4 <> 1) GROUP BY document_id""")
+def q_chunk_write_back(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table of chunks; those of the documents that were parsed again are replaced in their folders."""
+    docs, path = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id")), f"{shared_dir(spark)}/tessera-staged/{uuid.uuid4().hex}"
+    tables.write_table(docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chunk_index"), F.lit("old").alias("text")), path, "document_id", 16)
+    new = _chunks(spark, d).where("document_id % 4 = 1").select("document_id", "chunk_index", "text")
+    tables.replace_rows(docs.where("document_id % 4 = 1"), new, path, "document_id", 16)
+    return tables.read_table(spark, path).groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_pending(_docs(spark, d).withColumn("content", F.coalesce("raw_text", F.lit("")).cast("binary")))
 

@@ -10,13 +10,15 @@ from pyspark.sql.window import Window
 from tessera.functions.text import suffix
 from tessera.schemas import CONTENT_TYPES, MAX_BYTES, OCTETS, SAMPLE, SUFFIXES, TYPE_SUFFIXES
 
+#: Files by the endings that are known, in any case
+GLOB = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in SUFFIXES) + "}"
 
-_GLOB = "*{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in SUFFIXES) + "}"
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
     """Files below a directory with a known suffix; others are not opened. ``in_order`` has their order."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _GLOB).load(directory)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(directory)
 
 
 def in_order(files: DataFrame) -> DataFrame:
