@@ -5,7 +5,7 @@ boilerplate (navigation, header, footer, aside, form and the like, by tag, role
 words of its class and id), outside the page's ``main`` or ``article`` where there is
 one (an article whose class names a comment, a related piece and the like counts only
 where there is no other), or if most of it is links or it claims copyright; it is good if it is long enough
-and dense in function words. Second pass: what is left, short or poor in function
+and dense in function words, or in another script or language if its punctuation is that of sentences. Second pass: what is left, short or poor in function
 words, takes the label of the nearest decided block. Inside a main or article only
 blocks of the same one are asked, and without any there the block is good; elsewhere the page's
 ends count as bad; of two at one distance a heading follows the later, others that of
@@ -14,9 +14,13 @@ page has no good block, its undecided ones are good.
 
 A class, an id or a form around most of a page may be its layout. It does not condemn a
 main inside, nor an article with more long dense text than all good blocks outside such
-wrappers have; and if nothing of a page would stay, such wrappers are undecided and the
+wrappers have; nor does a form, or a name that is not of comments and does not begin with the hint (``content-sidebar-wrap``), condemn
+an element with more of it. If nothing of a page would stay, such wrappers are undecided and the
 block rules decide, where they find a good block. Inside a main or article a name with a subject of its own
-(``search-algorithms``) condemns only blocks that are not long and dense. Tags, roles and hidden parts condemn always.
+(``search-algorithms``) condemns an element only if no block in it is long and dense. Tags, roles and hidden parts condemn always.
+
+A link is an ``a`` with an address, up to its end; one that another ``a`` comes before the end of goes no
+further than its block.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed in page order. Two ``br`` in a row end a block, one is a space;
@@ -42,6 +46,7 @@ from pyspark.sql import types as T
 from tessera.llm.quality_rules import FUNCTION_WORDS
 
 LONG, DENSE, LINKED = 70, 0.1, 0.5
+MOST_WRAPPERS = 16  # a block counts for so many of the elements around it that may be spared, from the innermost out
 # outside quotes a tag stops at the next <, else many tags that nothing closes would each be read to the end
 _TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -66,17 +71,27 @@ STRUCTURE = frozenset(
     "inline inner input item items js layout left link links list main media message meta mobile module name news outer page panel policy post posts primary row right "
     "secondary section site slot small sticky tabs text thread title toggle top ui unit view wp wrap wrapper zone".split()
 )
-QUALIFIERS = frozenset("has have no not with without free".split())
+QUALIFIERS = frozenset("has have no not with without free enabled disabled open opened closed on off allowed".split())
+#: Hints at what readers say, which may be longer than the page's own text.
+SAID = frozenset("comment comments disqus reply replies respond".split())
+#: Marks that end or part sentences, in several scripts.
+MARKS = frozenset(".,;:!?…،؛؟۔।。，、；：！？")
+_FULL = frozenset(".!?…؟۔।。！？")
+_CLOSING = "\"'”’»)]」』"
+_HREF = re.compile(r"\bhref\s*=", re.I)
+_ANCHOR = re.compile(r"<a[\s/>]", re.I)
+_ANCHOR_END = re.compile(r"</a(?![A-Za-z0-9:-])", re.I)
 _FUNCTION = frozenset(FUNCTION_WORDS)
 
 
-def _hinted(attributes: str) -> tuple[bool, bool, bool, bool, bool]:
-    """Does a start tag's class or id mark boilerplate; only by a name with a subject of its own (``search-algorithms``); does one begin so; does it say header; does role or visibility mark boilerplate.
+def _hinted(attributes: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """Does a start tag's class or id mark boilerplate; only by a name with a subject of its own (``search-algorithms``); does one begin so; does it say header; does role or visibility mark boilerplate; may the names be those of a layout.
 
     A name that says with or without something (``has-sidebar``, ``no-comments``) says
     nothing of the element itself.
     """
     bad = plain = leads = header = sure = False
+    layout = True
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
@@ -87,6 +102,7 @@ def _hinted(attributes: str) -> tuple[bool, bool, bool, bool, bool]:
                     bad |= hints
                     plain |= hints and (HINTS | STRUCTURE).issuperset(words)
                     leads |= not i and bool(words) and words[0] in HINTS
+                    layout &= not hints or words[0] not in HINTS and SAID.isdisjoint(words)
                     header |= "header" in words
         elif name == "role":
             sure |= value.lower() in ROLES
@@ -94,41 +110,66 @@ def _hinted(attributes: str) -> tuple[bool, bool, bool, bool, bool]:
             sure |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             sure |= value.lower() != "false" and (name == "hidden" or value.lower() == "true")
-    return bad, bad and not plain, leads, header, sure
+    return bad, bad and not plain, leads, header, sure, layout
 
 
 #: text, characters in links, in boilerplate, number of its content root (negative: an article named as boilerplate), heading, element
 Block = tuple[str, int, bool, int, bool, str]
-_OUTSIDE = ("", False, False, 0, False, 0, False)
+_OUTSIDE = ("", False, False, 0, False, ())
 
 
 def _long_and_dense(text: str) -> bool:
+    if len(text) < LONG // 3:
+        return False
     words = _WORD.findall(text.lower())
-    return len(text) >= LONG and sum(w in _FUNCTION for w in words) >= DENSE * max(1, len(words))
+    if len(text) >= LONG and sum(w in _FUNCTION for w in words) >= DENSE * max(1, len(words)):
+        return True
+    return _sentences(text, words)
+
+
+def _sentences(text: str, words: list[str]) -> bool:
+    """Is a text without listed function words prose: it ends as a sentence does and has enough marks for its length.
+
+    A script without spaces says more in a character. In the Latin script most words must be in small letters, which those of titles and
+    lists of names are not, and the text twice as long, since most languages of this script are listed.
+    """
+    bare = text.rstrip(_CLOSING)
+    if not bare or bare[-1] not in _FULL:
+        return False
+    letters, marks = sum(map(len, words)), sum(c in MARKS for c in text)
+    latin = sum(len(w) for w in words if w[0] < "\u0250")
+    if 2 * latin > letters:
+        small = sum(map(str.islower, (w[0] for w in _WORD.findall(text))))
+        return len(text) >= 2 * LONG and marks >= 2 and marks * 100 >= len(text) and 10 * small >= 7 * len(words)
+    dense = letters >= 8 * max(1, len(words))  # long runs of letters: no spaces between words
+    return len(text) >= (LONG // 3 if dense else LONG) and marks * (40 if dense else 100) >= len(text)
 
 
 class _Page:
     """Blocks of one page.
 
-    spared are the numbers of articles that a wrapper's name does not condemn; lenient, no
+    spared are the numbers of elements (of their start tags) that no name condemns; lenient, no
     element is condemned by its name or as a form.
     """
 
     def __init__(self, page: str, spared: frozenset[int] = frozenset(), lenient: bool = False):
         self.blocks: list[Block] = []
         self.spared, self.lenient = spared, lenient
-        # name, boilerplate, in a header, content root, surely boilerplate, article in a wrapper, perhaps boilerplate
-        self.open: list[tuple[str, bool, bool, int, bool, int, bool]] = []
+        # name, boilerplate, in a header, content root, surely boilerplate, numbers of the elements around that may be spared
+        self.open: list[tuple[str, bool, bool, int, bool, tuple[int, ...]]] = []
         self.names: Counter[str] = Counter()  # of the open elements
         self.unseen = 0  # how many of them are not shown
-        self.wrapped: dict[int, int] = {}  # long dense text of articles in wrappers
+        self.wrapped: dict[int, int] = {}  # long dense text of elements that may be spared
+        self.sections: set[int] = set()  # those of them inside a main or article
         self.pieces: list[str] = []
-        self.linked = self.in_link = self.breaks = self.roots = 0
+        self.linked = self.in_link = self.breaks = self.roots = self.tags = 0
+        self.anchor = self.anchor_end = -1  # where the next ones are
+        self.page = page
         self.heading = False
         at, low, last = 0, None, page.rfind(">") + 1  # every tag ends there at the latest
         while m := _TAG.search(page, at, last):
             self.text(page[at : m.start()])
-            at = m.end()
+            at = self.at = m.end()
             if m[0] == "<!--":
                 at = page.find("-->", at - 2) + 3
                 if at < 3:
@@ -164,10 +205,11 @@ class _Page:
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            _, bad, in_header, root, sure, article, weak = self.open[-1] if self.open else _OUTSIDE
-            if article and not sure and self.linked <= LINKED * (len(text) - text.count(" ")) and _long_and_dense(text):
-                self.wrapped[article] += len(text)
-            boilerplate = bad or in_header and not (root and self.heading) or weak and not _long_and_dense(text)
+            _, bad, in_header, root, sure, inside = self.open[-1] if self.open else _OUTSIDE
+            if inside and not sure and self.linked <= LINKED * (len(text) - text.count(" ")) and _long_and_dense(text):
+                for k in inside:
+                    self.wrapped[k] += len(text)
+            boilerplate = bad or in_header and not (root and self.heading)
             self.blocks.append((text, self.linked, boilerplate, root, self.heading, self.open[-1][0] if self.open else ""))
         self.pieces.clear()
         self.linked = self.breaks = 0
@@ -181,25 +223,27 @@ class _Page:
             return
         if name in ("td", "th"):
             self.pieces.append(" ")
-        named, subject, leads, says_header, surely = _hinted(attributes) if attributes and not attributes.isspace() else (False,) * 5
+        self.tags += 1
+        named, subject, leads, says_header, surely, layout = _hinted(attributes) if attributes and not attributes.isspace() else (False,) * 6
         hinted = named or surely
         if name == "a":
-            self.in_link = 1
+            self.in_link = self.link() if _HREF.search(attributes) else 0
         if name in INLINE and not hinted:
             return
         if name not in ("td", "th"):
             self.flush()
+        if name not in INLINE and self.in_link == 2:
+            self.in_link = 0
         if name in VOID or attributes.endswith("/"):
             return
         if name not in INLINE:
             self.close_implied(name)
-        _, bad, in_header, root, sure, article, weak = self.open[-1] if self.open else _OUTSIDE
+        _, bad, in_header, root, sure, inside = self.open[-1] if self.open else _OUTSIDE
         aside = name == "article" and leads  # a comment, a related piece and the like
         if (bad or in_header) and not sure and (name == "main" or name == "article" and not aside):
-            if name == "article" and not article:
-                article = len(self.wrapped) + 1
-                self.wrapped[article] = 0
-            if name == "main" or article in self.spared:
+            if name == "article":
+                inside = self.measured(inside)
+            if name == "main" or self.tags in self.spared:
                 bad = in_header = False
         bad = bad or aside and root != 0
         if name in ("main", "article") and not bad and not root:
@@ -211,13 +255,31 @@ class _Page:
         sure = sure or name == "header" or name in BOILERPLATE and name != "form" or surely and own or aside and root != 0
         if self.lenient:
             named = says_header = False
-        if named and subject and root:  # a section of the text may be about what the word says
-            named, weak = False, True
-        bad = bad or name in BOILERPLATE and not (self.lenient and name == "form") or (named or surely) and own
-        self.open.append((name, bad, in_header or name == "header" or says_header and not root, root, sure, article, weak))
+        if not bad and own and not surely and (named and subject and root or not root and (named and layout or name == "form" and (layout or not named))):
+            inside = self.measured(inside)  # a section of the text may be about what the word says, a wrapper be the page's layout
+            if root:
+                self.sections.add(self.tags)
+        if self.tags in self.spared:
+            named = False
+        bad = bad or name in BOILERPLATE and not (name == "form" and (self.lenient or self.tags in self.spared)) or (named or surely) and own
+        self.open.append((name, bad, in_header or name == "header" or says_header and not root, root, sure, inside))
         self.names[name] += 1
         self.unseen += name in UNSEEN
 
+    def measured(self, inside: tuple[int, ...]) -> tuple[int, ...]:
+        self.wrapped[self.tags] = 0
+        return (*inside[-MOST_WRAPPERS:], self.tags)
+
+    def link(self) -> int:
+        """1 for a link that ends before another begins, else 2."""
+        if self.anchor_end < self.at:
+            found = _ANCHOR_END.search(self.page, self.at)
+            self.anchor_end = found.start() if found else len(self.page)
+        if self.anchor < self.at:
+            found = _ANCHOR.search(self.page, self.at)
+            self.anchor = found.start() if found else len(self.page)
+        return 1 if self.anchor_end < min(self.anchor, len(self.page)) else 2
+
     def close_implied(self, name: str) -> None:
         """A new block ends an open paragraph; a list item, cell or row ends the one before."""
         same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
@@ -239,6 +301,8 @@ class _Page:
             self.pieces.append(" ")
         else:
             self.flush()
+            if self.in_link == 2 and name not in INLINE:
+                self.in_link = 0
         if self.names[name]:
             while self.pop() != name:
                 pass
@@ -294,7 +358,7 @@ def main_text(page: str | None) -> str:
     made = _Page(page)
     first = _first_pass(made.blocks)
     good = sum(len(b[0]) for b, label in zip(made.blocks, first, strict=True) if label > 0)
-    spared = frozenset(k for k, n in made.wrapped.items() if n > good)
+    spared = frozenset(k for k, n in made.wrapped.items() if n > (0 if k in made.sections else good))
     if spared:
         made = _Page(page, spared)
         first = _first_pass(made.blocks)

@@ -418,10 +418,43 @@ def test_a_wrapper_does_not_condemn_the_page():
     assert html_text.main_text(f"<body><div hidden class='sidebar'><main>{side}</main></div></body>") == ""
 
 
+def test_html_anchors_that_never_close():
+    said = "It is one of the texts that are in the page and it is of some length for this."
+    for anchor in ('<a name="top">', '<a id=x>', '<a href="#top">'):
+        for body in (f"{anchor}<h1>Head</h1><p>{said}</p><p>{said} Too.</p>", f"<p>{anchor}</p><h1>Head</h1><p>{said}</p><p>{said} Too.</p>"):
+            want = f"Head\n{said}\n{said} Too."
+            assert html_text.main_text(f"<body><article>{body}</article></body>") == want
+            assert html_text.main_text(f"<body><div>{body}</div></body>") == want
+    assert html_text.main_text(f"<body><p>{said}</p><a href=x><div>{said} Of another page.</div></a></body>") == said
+    assert html_text.main_text(f"<body><ul><li><a href=a>{said}<li><a href=b>{said}</ul><p>{said} This.</p></body>") == f"{said} This."
+
+
+def test_html_wrappers_by_what_they_hold():
+    said = "It is one of the texts that are in the page and it is of some length for this."
+    other = f"<div><p>{said} Elsewhere.</p></div>"
+    long = f"<p>{said}</p><p>Short.</p><p>{said} Too.</p><p>{said} And so on.</p>"
+    for wrapper in ("div class='post comments-enabled'", "div class='content-sidebar-wrap'", "section class='layout-menu-left'", "form id='aspnetForm'"):
+        text = html_text.main_text(f"<body><{wrapper}>{long}</{wrapper.split()[0]}>{other}</body>").split("\n")
+        assert text[:4] == [said, "Short.", f"{said} Too.", f"{said} And so on."], wrapper
+    for section in ("div class='comments'", "div id='post-comments'", "section class='user-replies'", "div class='sidebar'"):
+        assert html_text.main_text(f"<body>{other}<{section}>{long}</{section.split()[0]}></body>") == f"{said} Elsewhere.", section
+
+
+def test_html_of_languages_without_listed_words():
+    zh = ["这是第一段正文，讲的是港口的历史，还有那里的人们。", "第二段也是正文；它说明了当时的情况，并且给出了几个例子。"]
+    ru = ["Город стоит на берегу реки, и в нём живут рыбаки; летом сюда приезжают гости из других мест.", "Зимой здесь тихо, но в порту всё равно работают люди, которые чинят лодки и сети."]
+    pl = ["Miasto leży nad rzeką, a jego mieszkańcy od wieków zajmują się rybołówstwem; latem przyjeżdżają tutaj goście z innych stron, którzy podziwiają stary port, wieże i mury.", "Zimą jest tutaj cicho, lecz w porcie nadal pracują ludzie, którzy naprawiają łodzie oraz sieci, gotują, śpiewają, opowiadają dawne historie i czekają na wiosnę."]
+    english = "It is one of the texts that are in the page and it is of some length for this."
+    for paragraphs in (zh, ru, pl):
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        assert html_text.main_text(f"<body><div class=menu>菜单</div><div>{body}</div><p>{english}</p></body>") == "\n".join([*paragraphs, english])
+    assert html_text.main_text(f"<body><p>{english}</p><div><a href=a>首页</a> <a href=b>新闻</a></div><div>版权</div></body>").split("\n")[0] == english
+
+
 def test_html_takes_linear_time():
     import time
 
-    for unit in ("a <b ", '<a x="', "<!x", "<div>", "<div>x", '<a ">"', "</div", "<!--", "<td>", "<ul><li>x", "<title>", "<svg>x", "</b></i>", "<div class='"):
+    for unit in ("a <b ", '<a x="', "<!x", "<div>", "<div>x", '<a ">"', "</div", "<!--", "<td>", "<ul><li>x", "<title>", "<svg>x", "</b></i>", "<div class='", "<a href=x>y", "<a href=x>", "<div class=content-menu>x", "<a "):
         for end in ("", ">", "\">'>"):
             began = time.time()
             html_text.main_text(unit * (1_000_000 // len(unit)) + end)
@@ -430,10 +463,11 @@ def test_html_takes_linear_time():
 
 
 def test_html_ids_with_a_subject():
-    """Inside an article a name that only contains a hint drops no text of length; a plain hint does."""
+    """Inside an article a name that only contains a hint drops nothing of a section with text of length; a plain hint does."""
     said = "It is one of the texts that are in the page and it is of some length for this."
     for name in ("search-algorithms", "social-security-history", "form-of-government", "menu-planning"):
-        assert html_text.main_text(f"<article><p>{said}</p><div id='{name}'><p>{said} Too.</p><p>Share</p></div></article>") == f"{said}\n{said} Too."
+        assert html_text.main_text(f"<article><p>{said}</p><div id='{name}'><p>{said} Too.</p><h3>Share</h3><p>Short.</p><pre>code(x)</pre></div></article>") == f"{said}\n{said} Too.\nShare\nShort.\ncode(x)"
+        assert html_text.main_text(f"<article><p>{said}</p><div id='{name}'><p>Share</p></div></article>") == said
     for name in ("ad", "ad-slot", "related-posts", "cookie-notice", "newsletter_box", "shareButtons", "comments"):
         assert html_text.main_text(f"<article><p>{said}</p><div class='{name}'><p>{said} Too.</p></div></article>") == said
 
