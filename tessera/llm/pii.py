@@ -4,7 +4,7 @@ Candidates are spans of a text. Base candidates fit a kind's pattern and check:
 ip (parts at most 255), card (16 to 19 digits that pass Luhn), phone (+ and 8 to 15
 digits); they are what they are. Loose candidates look like one: digits in groups
 without the plus, addresses with the at or the dots spelt out, ip parts apart by other
-signs, card digits in groups of other signs. The field labels loose candidates with a
+signs, card digits in groups of other signs, and a run of digits without any sign that ends as a base number's digits do. The field labels loose candidates with a
 kind or none:
 
 - node potentials are log probabilities of a multinomial logistic model of a candidate's
@@ -30,6 +30,7 @@ rows. Extra columns are not read; ``redact`` carries them, whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,7 @@ _LOOSE_PHONE = re.compile(r"(?<![\w+.(-])(?:[0-9](?:[.-]\(?|\()[0-9]{2,5}\)?|\(?
 _LOOSE_EMAIL = re.compile(r"(?<![\w.@%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+){0,4} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]+(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot |\.)[A-Za-z0-9-]+){1,4}", re.I)
 _LOOSE_IP = re.compile(r"(?<![\w.-])(?=([0-9]{1,3}(?:(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\(\.\)|\[\.\]|\{\.\}) ?| dot | ?\. ?|[ -])[0-9]{1,3}){3}(?![\w-]|\.[0-9])))", re.I)  # at every start, as a number may stand before
 _LOOSE_CARD = re.compile(r"(?<![\w./,-])[0-9]{2,7}( {2,3}| ?[./_,-] ?)[0-9]{2,7}(?:\1[0-9]{2,7}){1,7}(?!\w)")
+_PLAIN = re.compile(r"(?<![\w.,+-])[0-9]{7,17}(?![\w-]|[.,][0-9])")
 _DIGIT = re.compile(r"[0-9]")
 _CANDIDATE = T.StructType([T.StructField(n, t) for n, t in (("kind", T.IntegerType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("shape", T.IntegerType()), ("same", T.StringType()))])
 
@@ -119,6 +121,8 @@ def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
     if _DIGIT.search(text):
         loose += [(3, *m.span()) for m in _LOOSE_PHONE.finditer(text) if 7 <= len(_DIGIT.findall(m[0])) <= 15]
         kinds = {kind for kind, _, _ in base}
+        if 3 in kinds:
+            loose += _plain_numbers(text, {"".join(_DIGIT.findall(text[s:e])) for kind, s, e in base if kind == 3}, [x[1:] for x in loose])
         for m in _LOOSE_IP.finditer(text) if 1 in kinds else ():
             spelt = "." in m[1] or "dot" in m[1].lower()
             if all(int(p) <= 255 for p in re.findall("[0-9]+", m[1])) and (spelt or len(_DIGIT.findall(m[1])) >= 7):
@@ -140,6 +144,19 @@ def candidates(text: str) -> list[tuple[int, int, int, int, str]]:
     return sorted(out, key=lambda c: (c[1], c[2], c[0]))
 
 
+def _plain_numbers(text: str, numbers: set[str], taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of digits, of seven or more, that end as one of the numbers or that one ends as, outside the spans taken (in order)."""
+    tails, lengths, starts = {t for n in numbers for t in _tails(n)}, set(map(len, numbers)), [s for s, _ in taken]
+    out = []
+    for m in _PLAIN.finditer(text):
+        before = bisect_right(starts, m.start()) - 1
+        if before >= 0 and taken[before][1] > m.start():
+            continue
+        if m[0] in tails or any(m[0][-n:] in numbers for n in lengths if n < len(m[0])):
+            out.append((3, *m.span()))
+    return out
+
+
 def _candidates(text: pa.Array) -> pa.Array:
     names = [f.name for f in _CANDIDATE.fields]
     rows = [[dict(zip(names, c, strict=True)) for c in candidates(x)] if (x := v.as_py()) else [] for v in text]

@@ -555,6 +555,8 @@ def test_pii_redaction(spark, awkward, empty):
 
 
 LOOSE = [
+    ("call +47 22 12 34 56 or just 22123456 or 004722123456", ["22123456", "004722123456"]),
+    ("call +1 (743) 555-3824 then 7435553824, order 22123456 and 1234567", ["7435553824"]),
     ("mail john@example.com or john at example.com", ["john at example.com"]),
     ("mail john@example.com or call jane at example.com", []),
     ("call +1 743 555 3824 or 555-3824 or 1-743-555-3824", ["555-3824", "1-743-555-3824"]),
