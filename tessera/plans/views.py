@@ -26,7 +26,7 @@ SELECT doc_id * 2 + n AS id, doc_id AS document_id,
   CASE WHEN doc_id % 4 <> 0 THEN substring(text, 1, 60) WHEN doc_id % 8 = 0 THEN '' ELSE substring(text, 1, 30) || '~' END AS source_quote,
   CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS disclosed,
   CASE WHEN doc_id % 9 IN (0, 1) THEN 'said' ELSE '' END AS wording, 'article ' || CAST(doc_id % 17 AS STRING) AS article
-FROM {documents} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two
+FROM {documents} {twice}
 WHERE n = 0 OR doc_id % 6 = 0"""
 CRAWL = """
 SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'ftp://x/a.pdf' WHEN 1 THEN url || '/a.PDF' WHEN 2 THEN url || '/a.pdf?x=1' WHEN 3 THEN NULL ELSE url END AS url, html,
@@ -53,7 +53,7 @@ SELECT doc_id * 2 + n AS line_no, '{{"record_id": ' || CAST(doc_id AS STRING) ||
   CASE doc_id % 3 WHEN 0 THEN 'regulation' WHEN 1 THEN 'penalty' ELSE 'product_document' END END || CASE n
   WHEN 1 THEN '", "final_status": "rejected", "corrections": {{"article": "of the sample", "split": "test", "authenticity_type": "x", "final_review_status": "indexed", "sample_category": null, "risk_labels": ["x","y"]}}}}'
   ELSE '", "final_status": "approved", "corrections": {{"article": "of the document", "source_quote": "x", "wording": 7, "disclosed": null}}}}' END AS line
-FROM {labels} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two"""
+FROM {labels} {twice}"""
 TRANSITIONS = """
 SELECT user_id AS record_id, ts, event_id, CASE event_type WHEN 'view' THEN 'parsed' WHEN 'click' THEN 'pending_review' WHEN 'signup' THEN 'approved' WHEN 'purchase' THEN 'indexed' ELSE 'rejected' END AS to_status
 FROM {events}"""
@@ -71,11 +71,16 @@ SELECT doc_id AS id, coalesce(text, '') AS sample_text, CASE doc_id % 2 WHEN 0 T
 _TABLES = ("documents", "pages", "labels", "events", "conversations", "benchmark")
 
 
+#: Each row with n = 0 and with n = 1
+_TWICE = "LATERAL VIEW explode(array(0, 1)) AS n"
+_TWICE_IN_DUCKDB = "CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1) AS two"
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql.replace("{twice}", _TWICE), **used)
 
 
 def text(sql: str) -> str:
     """The same view for DuckDB."""
-    return sql.format(**{t: t for t in _TABLES})
+    return sql.format(twice=_TWICE_IN_DUCKDB, **{t: t for t in _TABLES})

@@ -42,6 +42,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "lang" not in scan and "n_chars" not in scan
 
 
+@pytest.mark.parametrize("name", ["q_validate", "q_quote_scan", "q_record_corrections", "q_decision_history"])
+def test_no_rows_meet_without_a_key(spark, name):
+    plan = core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_views_keep_all_rows_and_whole_texts(spark):
     view = lambda sql: views.view(spark, SF, sql)
     turns, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("conversations", "documents"))
