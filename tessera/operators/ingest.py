@@ -57,10 +57,11 @@ def transitions(events: DataFrame, key: tuple[str, ...] = ("record_id",), most_r
     row gets the last state of the record's range before, of which there is a row each.
     """
     own, first = F.struct(*key).alias("_key"), F.col("current") if "current" in events.columns else F.lit(None).cast("string")
-    large = staged(events.groupBy(own).agg(F.count("*").alias("_n")).where(F.col("_n") > most_rows).select("_key"), "large-records")
-    if large.isEmpty():
+    counts = events.groupBy(own).agg(F.count("*").alias("_n"))
+    if (counts.agg(F.max("_n")).first()[0] or 0) <= most_rows:
         before = F.lag("to_status").over(Window.partitionBy(*key).orderBy("seq"))
         return events.withColumn("from_status", F.coalesce(before, first))
+    large = staged(counts.where(F.col("_n") > most_rows).select("_key"), "large-records")
     keyed = events.withColumn("_key", own)
     few, many = keyed.join(large, "_key", "left_anti"), keyed.join(large, "_key", "left_semi")
     before = F.lag("to_status").over(Window.partitionBy("_key").orderBy("seq"))

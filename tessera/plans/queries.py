@@ -263,6 +263,16 @@ def q_parse_state(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", "title", "parse_status", "to_status", F.when(F.col("raw_file_path").endswith(".TXT"), F.length("plain_text")).otherwise(0).cast("bigint").alias("n_text_chars"))
 
 
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'content is not valid UTF-8' END AS error, CASE WHEN doc_id % 7 <> 0 THEN sha256(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS sha256 FROM documents""")
+def q_text_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes with a byte order mark, with line ends of two other kinds, and with an invalid byte at the end."""
+    docs, text = _docs(spark, d), F.coalesce("raw_text", F.lit(""))
+    ends = F.when(F.col("id") % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(F.replace(text, F.lit("\n"), F.lit("\r")))
+    content = F.concat(F.when(F.col("id") % 3 == 0, "\ufeff").otherwise("").cast("binary"), ends.cast("binary"), F.when(F.col("id") % 7 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    made = parse.parse_pending(docs.withColumns({"content": content, "raw_file_path": F.lit("x.txt"), "parse_status": F.lit("pending")}))
+    return made.select("id", "error", F.sha2("plain_text", 256).alias("sha256"))
+
+
 @query(f"WITH {_DOCS}, {_PENDING} SELECT id, CAST(id AS VARCHAR) || ': Unsupported document type: ' || ending AS message FROM p WHERE ending NOT IN ('.html', '.txt')")
 def q_parse_errors(spark: SparkSession, d: str) -> DataFrame:
     return parse.errors(_parsed(spark, d))
