@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.grams import U64, codes, levels, mixed, selected
+from tessera.functions.staging import staged
 
 #: least length of a quote -> characters of a gram, grams of a stretch
 LEVELS = ((47, 16, 32), (15, 8, 8), (8, 8, 1), (4, 4, 1), (2, 2, 1), (1, 1, 1))
@@ -128,11 +129,13 @@ def quote_scan(docs: DataFrame, quotes: DataFrame) -> DataFrame:
         return quotes.where(F.lit(False)).select("item_id", none.alias("document_id"), F.lit(0).alias("start"), F.lit(0).cast("bigint").alias("n_places"))
     texts = docs.where("raw_text is not null")
     own = texts.select(F.col("id"), F.explode(_grams(wanted, _bitmap(grams))("raw_text")).alias("g")).select("id", "g.hash", F.col("g.at").alias("place"))
+    own = staged(own, "quote-grams")
     counts = own.groupBy("hash").agg(F.count("*").alias("n"))
     rarity = grams.join(counts, "hash", "left").groupBy("sha256", "length")
     keys = rarity.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "at")).alias("key")).where("key.n > 0").select("sha256", "length", "key.hash", "key.at")
     places = own.join(keys, "hash").select("id", "sha256", "length", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
-    asked = places.groupBy("id").agg(F.collect_list(F.struct("sha256", "start", "length")).alias("asked"))
+    # a written table, so that Spark knows its size: where it is small the texts are not shuffled for it
+    asked = staged(places.groupBy("id").agg(F.collect_list(F.struct("sha256", "start", "length")).alias("asked")), "quote-places")
     found = texts.select("id", "raw_text").join(asked, "id").select("id", F.explode(F.arrow_udf(_verified, _FOUND)("raw_text", "asked")).alias("f"))
     # an occurrence is one further on if it begins behind the end of the one that counted last
     at = F.array_sort(F.collect_list("f.start"))
