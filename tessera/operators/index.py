@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import staged
 from tessera.operators.ingest import history
 from tessera.operators.review import is_approved
 from tessera.schemas import UNTRUSTED
+from tessera.sources.tables import PARTS, read_table, replace_rows
 
 
 def eligible(strict: bool = False) -> Column:
@@ -30,6 +32,17 @@ def mark_indexed(docs: DataFrame, as_of: str, strict: bool = False) -> DataFrame
     )
 
 
+def write_indexed(spark: SparkSession, path: str, as_of: str, strict: bool = False, parts: int = PARTS) -> DataFrame:
+    """Mark the eligible documents of a stored table (``tables.write_table`` by id) in their folders; the log rows of the marked ones.
+
+    A run that is repeated marks none and logs none.
+    """
+    docs = read_table(spark, path)
+    marked = staged(mark_indexed(docs, as_of, strict).where("from_status is not null"), "indexed")
+    replace_rows(marked, marked.select(*docs.columns), path, "id", parts)
+    return index_history(marked, as_of)
+
+
 def index_history(marked: DataFrame, as_of: str) -> DataFrame:
     """The log rows of what ``mark_indexed`` has marked."""
     return history(marked.where("from_status is not null"), "trusted index marker", as_of, "final_review_status", "from_status")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.staging import staged
 from tessera.functions.text import or_missing, suffix, with_entry
 from tessera.operators.html import decoded_text, html_parsed
+from tessera.operators.ingest import history
+from tessera.sources.tables import PARTS, read_table, replace_rows
 
 
 def parse_pending(docs: DataFrame) -> DataFrame:
@@ -53,6 +56,18 @@ def parsed_state(parsed: DataFrame) -> DataFrame:
     )
 
 
+def write_parsed(parsed: DataFrame, path: str, as_of: str, parts: int = PARTS) -> DataFrame:
+    """Put the next state of what ``parse_pending`` has parsed into the stored table of documents that it read (``tables.write_table`` by id); the log rows, at ``as_of``.
+
+    Documents with an error stay as they are; only folders with a parsed one are written.
+    """
+    spark = parsed.sparkSession
+    columns = read_table(spark, path).columns
+    moved = staged(parsed_state(parsed).where("to_status is not null"), "parsed")
+    replace_rows(moved, moved.withColumn("final_review_status", F.col("to_status")).select(*columns), path, "id", parts)
+    return history(moved, "parsed", as_of)
+
+
 def report(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 

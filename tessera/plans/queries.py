@@ -16,6 +16,7 @@ from tessera.schemas import APPROVED, AUTOMATIC, DECIDABLE, MAX_BYTES, QUOTES
 from tessera.sources import files, registry, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
+_AS_OF = "2024-02-29 00:00:00"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -35,6 +36,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumn("sha256", ingest.content_hash(F.coalesce("raw_text", F.lit(""))))
 
 
+def _fresh(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tessera-staged/{uuid.uuid4().hex}"
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return views.view(spark, d, views.RECORDS)
 
@@ -58,14 +64,14 @@ SELECT f.id, coalesce(s.known, f.first) AS document_id, s.known IS NULL AND f.id
 def q_dedup_store(spark: SparkSession, d: str) -> DataFrame:
     """All documents against a bucketed store that has a third of them."""
     rows, name = _docs(spark, d).select("id", "sha256"), f"tessera_store_{uuid.uuid4().hex}"
-    tables.append_store(rows.where("id % 3 = 0"), name, 16, f"{shared_dir(spark)}/tessera-staged/{name}")
+    tables.append_store(rows.where("id % 3 = 0"), name, 16, _fresh(spark))
     return ingest.insert_if_absent(rows, spark.table(name), 16).select("id", "document_id", "created")
 
 
 @query("SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS hash_count FROM documents GROUP BY ALL")
 def q_hash_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts of three runs, each over its own documents, the second one repeated."""
-    rows, path = _docs(spark, d).select("id", "sha256"), f"{shared_dir(spark)}/tessera-staged/{uuid.uuid4().hex}"
+    rows, path = _docs(spark, d).select("id", "sha256"), _fresh(spark)
     for run in (0, 1, 1, 2):
         tables.add_counts(rows.where(F.col("id") % 3 == run), path, run)
     return tables.hash_counts(spark, path)
@@ -240,7 +246,7 @@ def q_chunk_replace(spark: SparkSession, d: str) -> DataFrame:
 SELECT document_id, count(*) AS n_chunks FROM (SELECT d AS document_id FROM chunks WHERE d % 4 = 1 UNION ALL SELECT doc_id FROM old WHERE doc_id % 4 <> 1) GROUP BY document_id""")
 def q_chunk_write_back(spark: SparkSession, d: str) -> DataFrame:
     """A stored table of chunks; those of the documents that were parsed again are replaced in their folders."""
-    docs, path = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id")), f"{shared_dir(spark)}/tessera-staged/{uuid.uuid4().hex}"
+    docs, path = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("document_id")), _fresh(spark)
     tables.write_table(docs.select("document_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("chunk_index"), F.lit("old").alias("text")), path, "document_id", 16)
     new = _chunks(spark, d).where("document_id % 4 = 1").select("document_id", "chunk_index", "text")
     tables.replace_rows(docs.where("document_id % 4 = 1"), new, path, "document_id", 16)
@@ -524,6 +530,36 @@ def q_history(spark: SparkSession, d: str) -> DataFrame:
     return ingest.transitions(rows).select("record_id", "event_id", "from_status", "to_status")
 
 
+@query(f"""WITH t AS (SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE record_id END AS record_id, ts, event_id, to_status FROM ({V['TRANSITIONS']}))
+SELECT record_id, event_id, lag(to_status) OVER (PARTITION BY record_id ORDER BY ts, event_id) AS from_status, to_status FROM t""")
+def q_history_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A record with a third of all rows, over ranges of them."""
+    rows = views.view(spark, d, views.TRANSITIONS).withColumns({"record_id": F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("record_id")), "seq": F.struct("ts", "event_id")})
+    return ingest.transitions(rows, most_rows=300).select("record_id", "event_id", "from_status", "to_status")
+
+
+@query(f"WITH {_DOCS} SELECT id, CASE WHEN {_ELIGIBLE} THEN 'indexed' ELSE final_review_status END AS final_review_status, CASE WHEN {_ELIGIBLE} THEN 'indexed' ELSE knowledge_index_status END AS knowledge_index_status, CASE WHEN {_ELIGIBLE} THEN '{_AS_OF}' END AS indexed_at FROM docs")
+def q_index_write_back(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table of documents in which the eligible ones are marked, in their folders."""
+    docs, path = _docs(spark, d).withColumn("indexed_at", F.lit(None).cast("timestamp")), _fresh(spark)
+    tables.write_table(docs, path, "id", 16)
+    index.write_indexed(spark, path, _AS_OF, parts=16)
+    return tables.read_table(spark, path).select("id", "final_review_status", "knowledge_index_status", F.col("indexed_at").cast("string").alias("indexed_at"))
+
+
+@query(
+    f"WITH {_DOCS}, e AS (SELECT *, lower(regexp_extract(raw_file_path, '[^/.][^/]*?(\\.[^./]+)$', 1)) AS ending FROM docs) SELECT id, source_title, CASE WHEN parse_status = 'pending' AND ending IN ('.html', '.txt') THEN 'parsed' ELSE parse_status END AS parse_status, "
+    "CASE WHEN parse_status = 'pending' AND ending IN ('.html', '.txt') THEN 'parsed' ELSE final_review_status END AS final_review_status, parse_status = 'pending' AND ending IN ('.html', '.txt') AS has_report FROM e"
+)
+def q_state_write_back(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table of documents in which the parsed ones have their next state."""
+    docs = _docs(spark, d).withColumns({"content": F.coalesce("raw_text", F.lit("")).cast("binary"), "metadata": F.create_map().cast("map<string,string>")})
+    path = _fresh(spark)
+    tables.write_table(docs, path, "id", 16)
+    parse.write_parsed(parse.parse_pending(tables.read_table(spark, path)), path, _AS_OF, parts=16)
+    return tables.read_table(spark, path).select("id", "source_title", "parse_status", "final_review_status", F.map_contains_key("metadata", "parsing").alias("has_report"))
+
+
 _VIEW = "id, data_type, source_url, source_title, authenticity_type, final_review_status, knowledge_index_status"
 _FIELDS = """CASE WHEN id % 3 < 2 THEN '{{"article":"old","kept":' || CAST(id AS VARCHAR) || '}}' ELSE '{{}}' END AS corrected_fields"""
 
@@ -546,9 +582,6 @@ def q_record_view(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumns({c: F.to_json(c) for c in ("corrected_fields", "metadata")})
 
 
-_AS_OF = "2024-02-29 00:00:00"
-
-
 @query(f"""WITH {_ONE}, {_PENDING}, v AS (SELECT id, data_type, {_ISSUES} AS issues FROM j WHERE final_review_status = 'parsed'),
 h AS (SELECT data_type, id, 'collected' AS f, 'collected' AS t, 'collection completed' AS r FROM (SELECT *, min(id) OVER (PARTITION BY sha256) AS first FROM docs) WHERE id = first
   UNION ALL SELECT d.data_type, p.id, d.final_review_status, 'parsed', 'parsed' FROM p JOIN docs d ON d.id = p.id WHERE ending IN ('.html', '.txt')

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ingest, validate
+from tessera.operators import index, ingest, parse, validate
 from tessera.sources import tables
 from tessera.streaming.arrivals import drain_files
 
@@ -71,6 +71,28 @@ def test_only_touched_folders_are_written(spark, tmp_path):
     assert tables.read_table(spark, path).count() == 2 * len(left)
 
 
+def test_states_are_written_back_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [(i, f"{i}.txt" if i % 2 else "x.pdf", f"text {i}".encode(), "penalty", "pending", "collected", None, None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id bigint, raw_file_path string, content binary, data_type string, parse_status string, final_review_status string, source_title string, raw_text string")
+    docs = docs.withColumns({"metadata": F.create_map(F.lit("local_source"), F.lit("true")), "authenticity_type": F.lit("verified_public"), "knowledge_index_status": F.lit("not_indexed"), "indexed_at": F.lit(None).cast("timestamp")})
+    tables.write_table(docs, path, "id", 8)
+    run = lambda: parse.write_parsed(parse.parse_pending(tables.read_table(spark, path)), path, "2024-02-29 00:00:00", 8)
+    assert sorted(r["record_id"] for r in run().collect()) == list(range(1, 40, 2)) and run().count() == 0
+    got = {r["id"]: r for r in tables.read_table(spark, path).collect()}
+    assert len(got) == 40 and all((r["raw_text"], r["parse_status"]) == ((f"text {i}", "parsed") if i % 2 else (None, "pending")) for i, r in got.items())
+    assert set(got[1]["metadata"]) == {"local_source", "parsing"}
+    seven = tables.read_table(spark, path).where("id = 7").withColumn("final_review_status", F.lit("approved"))
+    tables.replace_rows(seven, seven, path, "id", 8)
+    files = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    log = index.write_indexed(spark, path, "2024-02-29 00:00:00", parts=8).collect()
+    assert [(r["record_id"], r["from_status"], r["to_status"]) for r in log] == [(7, "approved", "indexed")]
+    left = {p for p in files if p.exists() and p.stat().st_mtime_ns == files[p]}
+    assert {p.parent for p in files.keys() - left} == {Path(path) / f"part={seven.select(tables._part('id', 8)).first()[0]}"}
+    assert index.write_indexed(spark, path, "2025-01-01 00:00:00", parts=8).count() == 0
+    assert tables.read_table(spark, path).where("knowledge_index_status = 'indexed'").count() == 1 and tables.read_table(spark, path).count() == 40
+
+
 def test_files_are_read_once(spark, tmp_path):
     source, store = tmp_path / "in" / "deep", str(tmp_path / "store")
     source.mkdir(parents=True)
