@@ -88,7 +88,7 @@ def test_states_are_written_back_once(spark, tmp_path):
     log = index.write_indexed(spark, path, "2024-02-29 00:00:00", parts=8).collect()
     assert [(r["record_id"], r["from_status"], r["to_status"]) for r in log] == [(7, "approved", "indexed")]
     left = {p for p in files if p.exists() and p.stat().st_mtime_ns == files[p]}
-    assert {p.parent for p in files.keys() - left} == {Path(path) / f"part={seven.select(tables._part('id', 8)).first()[0]}"}
+    assert {p.parent for p in files.keys() - left} == {Path(path) / f"part={spark.range(7, 8).select(tables._part('id', 8)).first()[0]}"}
     assert index.write_indexed(spark, path, "2025-01-01 00:00:00", parts=8).count() == 0
     assert tables.read_table(spark, path).where("knowledge_index_status = 'indexed'").count() == 1 and tables.read_table(spark, path).count() == 40
 
