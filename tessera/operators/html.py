@@ -6,6 +6,7 @@ whatever is left open in it:
 
 - a quote in a tag that never closes is no quote; a tag that never ends takes the rest of the page;
 - a comment, script or style that never ends takes the rest of the page;
+- a tag that ends with ``/>`` is an element without content, unless the ``/`` belongs to a value without quotes;
 - ``<`` before anything but a letter, ``/``, ``!`` or ``?`` is text.
 
 The open elements are a stack: an end tag closes the last element of its name and all
@@ -36,6 +37,7 @@ TEXT, START, END, OTHER = range(4)
 _NAME = re.compile(r"[^\s/>]*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _STOP = re.compile(r"[>\"']")
+_VALUE = re.compile(r"=\s*[^\s\"'=]+\Z")  # without quotes, up to the tag's end
 #: a numeric reference beyond all code points, which stands for U+FFFD; Python's decoder makes a number of its digits first
 _FAR = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
 
@@ -76,7 +78,9 @@ def tokens(page: str) -> Iterator[tuple[int, str]]:
                 yield END, name
                 continue
             yield START, name
-            if name in RAW:
+            if page[at - 2] == "/" and not _VALUE.search(page, named.end(), at - 1):
+                yield END, name
+            elif name in RAW:
                 found = _RAW_END[name].search(page, at)
                 at = found.start() if found else n
 

@@ -22,7 +22,7 @@ def within(seconds, run):
 # Pages
 
 
-@pytest.mark.parametrize("piece", ["a <b ", '<a x="', '<a x=">" ', "<!--", "<!-- a --", "<script>", "</", "<", "&#" + "1" * 5000, "<a ", "<p>", "<![x", "<?", "</b ", "<a x= '"])
+@pytest.mark.parametrize("piece", ["a <b ", '<a x="', '<a x=">" ', "<!--", "<!-- a --", "<script>", "</", "<", "&#" + "1" * 5000, "<a ", "<p>", "<![x", "<?", "</b ", "<a x= '", "<a b=", "<a b=c/"])
 def test_any_markup_is_read_in_linear_time(piece):
     def run():
         made = html._Page(piece * (2_000_000 // len(piece)))
@@ -37,6 +37,7 @@ def test_what_never_ends():
     assert text("a<p>b<i never ends, c") == "a\nb"  # a tag that never ends takes the rest
     assert text("a<!-- c") == "a" and text("a<script>b<p>") == "a" and text("1 < 2 <3") == "1 < 2 <3"
     assert text("<p title=a'b>c</p>d'") == "c\nd'" and text("a<b x=\"1>2\" y='3>4'>c") == "a\nc"
+    assert text("a<nav/>b<script src='x'/>c<a href=x/>d</a><script src=y />e") == "a\nb\nc\nd\ne" and text("a<nav class=x/>b") == "a"
     assert text("&#99999999999; &#0065;&#x41;") == "� AA"
 
 
