@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.staging import staged
-from tessera.sources.tables import BUCKETS, known_ids
+from tessera.sources.tables import known_ids
 
 MOST_ROWS = 1_000_000
 
@@ -16,12 +16,12 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def insert_if_absent(rows: DataFrame, store: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+def insert_if_absent(rows: DataFrame, store: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """Rows (id, sha256, …) with document_id and created.
 
     The first row of a hash, by id, is created unless the store (id, sha256) has it; every
     other row gets the existing document's id. The first of a hash is a min, with partial
-    sums before the shuffle, so that a hash with many rows is no large group. A store of as many ``buckets`` is not
+    sums before the shuffle, so that a hash with many rows is no large group. A store of as many ``buckets`` (``tables.append_store``) is not
     shuffled: the rows' hashes go to its buckets.
     """
     first = rows.groupBy("sha256").agg(F.min("id").alias("first_id"))

@@ -26,9 +26,10 @@ def append_store(rows: DataFrame, table: str, buckets: int = BUCKETS, path: str
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
-def known_ids(new: DataFrame, store: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """sha256 and known_id of those new hashes that the store has: its buckets stay, the new hashes go to them."""
-    asked = new.select("sha256").distinct().repartition(buckets, "sha256")
+def known_ids(new: DataFrame, store: DataFrame, buckets: int | None = None) -> DataFrame:
+    """sha256 and known_id of those new hashes that the store has: if it has that many buckets they stay, and the new hashes go to them."""
+    asked = new.select("sha256").distinct()
+    asked = asked.repartition(buckets, "sha256") if buckets else asked
     return store.select("sha256", "id").join(asked.hint("shuffle_hash"), "sha256", "left_semi").groupBy("sha256").agg(F.min("id").alias("known_id"))
 
 
