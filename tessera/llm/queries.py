@@ -163,10 +163,42 @@ p AS (SELECT *, array_to_string(u[1 : least(x, y)], '') AS pre, array_to_string(
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
+#: Repairs as a walk over the rows that keeps the least (cost, letters) for each state; CRC-32 from its polynomial
+_REPAIR_SQL = r"""
+WITH RECURSIVE said AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(b))),
+hit AS (SELECT said.*, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(k, '')]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS what FROM said, crc),
+dam AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE what WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+num AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM dam),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+  WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 0 ELSE 3 END AS fault, lag(ini) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM num),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last FROM f GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)) AS v(q, more, r)),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS q, {'c': CAST(0 AS BIGINT), 'a': ''} AS m FROM sums
+  UNION ALL SELECT conv_id, n, q, min(m) FROM (
+    SELECT w.conv_id, f.n, CASE letter WHEN 'D' THEN r WHEN 'R' THEN CASE r WHEN 2 THEN 3 ELSE 2 END ELSE CASE WHEN r = 0 AND ini = 's' THEN 1 WHEN r <> 2 AND ini = 'u' THEN 2 WHEN r = 2 AND ini = 'a' THEN 3 END END AS q,
+      {'c': w.m.c + 3 * more + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN fault = 3 AND letter <> 'D' THEN 3 ELSE 0 END, 'a': w.m.a || repeat('I', more) || letter} AS m
+    FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.n + 1 JOIN ins ON ins.q = w.q CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS e(letter)
+    WHERE letter = 'D' OR fault IN (0, 3)) WHERE q IS NOT NULL GROUP BY conv_id, n, q),
+best AS (SELECT w.conv_id, min({'c': w.m.c + 3 * more, 'a': w.m.a || repeat('I', more)}) AS m FROM walk w JOIN sums s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.last = w.n JOIN ins ON ins.q = w.q WHERE r IN (0, 3) GROUP BY w.conv_id),
+letters AS (SELECT conv_id, l, i, count(*) FILTER (l <> 'I') OVER w AS n, count(*) FILTER (l <> 'D') OVER w AS o
+  FROM (SELECT conv_id, unnest(string_split(m.a, '')) AS l, unnest(range(length(m.a))) AS i FROM best WHERE m.a <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+led AS (SELECT g.conv_id FROM letters g JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.n = g.n WHERE g.o = 1 AND l = 'K' AND ini = 's'),
+rows AS (SELECT g.conv_id, i, CASE WHEN l = 'K' THEN f.role WHEN (o - CASE WHEN led.conv_id IS NULL THEN 0 ELSE 1 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE f.text END AS line
+  FROM letters g LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.n = g.n LEFT JOIN led ON led.conv_id IS NOT DISTINCT FROM g.conv_id WHERE l <> 'D'),
+whole AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM rows GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(b.m.c, 0) AS BIGINT) AS cost, coalesce(b.m.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
 SQL: dict[str, str] = {
     "op4_chat_formatting": _CHAT_SQL,
     "op5_decontamination": _DECONTAMINATION_SQL,
     "op7_mixing": mixing.SQL,
     "op8_ngram_jaccard": _NEAR_DUP_SQL,
     "op12_fill_middle": _FILL_SQL,
+    "op13_conversation_repair": _REPAIR_SQL,
 }
