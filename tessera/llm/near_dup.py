@@ -34,7 +34,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.batches import whole_groups
@@ -107,7 +106,7 @@ def _keys(w) -> list[bytes | None]:
 
 
 def fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, key, weight by length, and the bands of its signature as 64-bit values."""
+    """doc_id, text, other columns -> doc_id, key, weight by length, the bands of its signature as 64-bit values, and the other columns."""
     for batch in batches:
         keys, bands, weights = [], [], [np.zeros(0, np.int64)]
         for t in texts(batch.column(1)):
@@ -125,8 +124,8 @@ def fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(least.view(np.int64).ravel())
         flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-        columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(np.concatenate(weights)), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "weight", "bands"])
+        columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(np.concatenate(weights)), lists, *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "weight", "bands", *batch.schema.names[2:]])
 
 
 def first_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +317,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, tolerance: f
     copies included. key names equal word sequences (null: no words), root the least key of
     the class, which tells classes apart even where doc_ids repeat.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    prints = staged(docs.mapInArrow(fingerprints, "doc_id bigint, key binary, weight bigint, bands array<bigint>"), "prints")
-    classes = prints.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), F.first("bands").alias("bands"))
-    classes = staged(classes, "classes")
+    return _classified(docs.select(F.col("doc_id").cast("bigint"), "text"), threshold, tolerance)
+
+
+def _classified(docs: DataFrame, threshold: float, tolerance: float = 1e-6) -> DataFrame:
+    """The same of doc_id and text, with the bigint columns that follow them."""
+    more = docs.columns[2:]
+    kind = ", ".join(["doc_id bigint, key binary, weight bigint, bands array<bigint>", *[f"`{c}` bigint" for c in more]])
+    prints = staged(docs.mapInArrow(fingerprints, kind), "prints")
+    docs = docs.select("doc_id", "text")
+    # band by band, since Spark sums numbers by hashing, arrays by sorting
+    bands = [F.first(F.get("bands", F.lit(i))).alias(f"b{i}") for i in range(BANDS)]
+    classes = prints.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("weight").alias("weight"), *bands)
+    classes = staged(classes.select("key", "copies", "rep", "weight", F.array(*[f"b{i}" for i in range(BANDS)]).alias("bands")), "classes")
     links = staged(_links(docs, classes, threshold, tolerance), "links")
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("key").agg(F.sum("links").alias("links"))
@@ -330,29 +338,34 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, tolerance: f
     ids = known.groupBy("root").agg(F.min("rep").alias("class_id"))
     known = known.join(ids, "root").select("key", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (
-        prints.select("doc_id", "key")
+        prints.select("doc_id", "key", *more)
         .join(known, "key", "left")
-        .select("doc_id", "key", "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("doc_id", "key", *more, "root", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Of each class one document stays whole: the least doc_id, then the least text hash.
+    """Of each class one document stays whole: the least doc_id, then the least hash of its words and of its row.
 
-    Rows that repeat a staying document's doc_id and text go but for one. Texts without
-    words are classes of their own and stay.
+    Rows that are equal in all columns to one that stays go. Texts without words are classes of
+    their own and stay. Which rows stay is found on two hashes of the whole row, 128 bits, so that whole rows are
+    dealt once, to the table of those that stay. Only rows that are there more than once are dealt again.
     """
-    known = near_duplicates(docs, threshold)
-    best = known.where("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
-    own, number, best_id, best_key = (free(docs, n) for n in ("own", "number", "id", "key"))
-    best = best.select(F.col("best.doc_id").alias(best_id), F.col("best.key").alias(best_key))
-    # said to be nondeterministic, else the join's null filter evaluates it a second time, in workers of its own
-    keyed = docs.withColumn(own, F.arrow_udf(_keys_of, T.BinaryType()).asNondeterministic()("text"))
-    same = keyed["doc_id"].eqNullSafe(best[best_id]) & (keyed[own] == best[best_key])
-    order = Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*docs.columns))
-    stay = keyed.join(best, same, "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    one, two, number = (free(docs, n) for n in ("one", "two", "number"))
+    row = [docs[f"`{c}`"] for c in docs.columns]
+    row += [c.isNull() for c in row]  # a hash passes nulls over
+    marks = {one: F.xxhash64(*row), two: F.xxhash64(F.lit(7), *row)}
+    known = _classified(docs.select(F.col("doc_id").cast("bigint"), "text", *[c.alias(n) for n, c in marks.items()]), threshold)
+    rows = known.where("key is not null").groupBy("root", "doc_id", "key", one, two).agg(F.count("*").alias("n"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", one, two, "n")).alias("best"))
+    best = staged(best.select(*[F.col("best")[c].alias(c) for c in (one, two, "n")]), "staying")
+    marked = docs.withColumns(marks)
+    single = marked.join(best.where("n = 1").drop("n").hint("shuffle_hash"), [one, two], "left_semi")  # no sort of whole rows
+    order = Window.partitionBy(one, two).orderBy(one)
+    several = marked.join(best.where("n > 1").drop("n"), [one, two], "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
     worded = F.coalesce(F.col("text").rlike(_WORDED), F.lit(False))
-    return stay.select(*docs.columns).unionByName(docs.where(~worded))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(*kept).unionByName(several.select(*kept)).unionByName(docs.where(~worded))
 
 
 def _keys_of(text: pa.Array) -> pa.Array:
