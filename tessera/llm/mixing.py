@@ -11,7 +11,7 @@ The running sums need no task that holds a source: ranks come from the numbers o
 documents per (source, size) and per hash cell inside it, and a row number within a
 cell. Cells are made small enough that the largest (source, size) has about ``cell_rows`` in each; a
 cell that is larger all the same, since doc_ids repeat or are null, is parted by whole hash and
-record number. Nor does one task hold the sources: their order comes from ranges of
+record number. Nor does one task hold more than ``IN_ONE_TASK`` sources: the order of more comes from ranges of
 their keys, and what full ones leave to others from sums over all, repeated until no other is full.
 
 Defined cases: a null text has size 0. Null sources are one source, last in order. A
@@ -34,6 +34,7 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 SEED = "tessera-mix"
 CELL_ROWS = 100_000
+IN_ONE_TASK = 100_000  # sources
 _P = "_tessera_"
 
 
@@ -42,15 +43,18 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def _weighed(sources: DataFrame) -> DataFrame:
-    """source key, size -> the same with its weight, by its place in the order of keys."""
+def _weighed(sources: DataFrame, n: int) -> DataFrame:
+    """source key, size -> the same with its weight, by its place in the order of keys; ``n`` is how many there are."""
     part, place = _P + "part", _P + "place"
+    weight_at = lambda number: F.get(F.array(*map(F.lit, WEIGHTS)), (number % len(WEIGHTS)).cast("int"))
+    if n <= IN_ONE_TASK:
+        at = F.row_number().over(Window.orderBy(_P + "key")) - 1
+        return staged(sources.select(_P + "key", _P + "total", weight_at(at).alias("w")), "weighed")
     s = staged(sources.repartitionByRange(_P + "key").withColumn(part, F.spark_partition_id()), "ranges")
     ahead = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
     before = s.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(ahead, F.lit(0)).alias("before"))
     s = s.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(_P + "key")) - 1).join(before, part)
-    weight = F.get(F.array(*map(F.lit, WEIGHTS)), ((F.col(place) + F.col("before")) % len(WEIGHTS)).cast("int"))
-    return staged(s.select(_P + "key", _P + "total", weight.alias("w")), "weighed")
+    return staged(s.select(_P + "key", _P + "total", weight_at(F.col(place) + F.col("before")).alias("w")), "weighed")
 
 
 def _level(weighed: DataFrame) -> float:
@@ -65,9 +69,9 @@ def _level(weighed: DataFrame) -> float:
     return level
 
 
-def targets(sources: DataFrame) -> DataFrame:
-    """source key, size -> the same with target, rate and offset; as many rows as there are sources."""
-    s = _weighed(sources)
+def targets(sources: DataFrame, n: int | None = None) -> DataFrame:
+    """source key, size -> the same with target, rate and offset; as many rows as there are sources (``n``, if that is known)."""
+    s = _weighed(sources, sources.count() if n is None else n)
     cap, share = (MOST * F.col(_P + "total")).cast("double"), F.col("w") * F.lit(_level(s))
     target = F.least(cap, share)
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), _P + "key")), 1, 5), 16, 10).cast("double") + 0.5) / (1 << 20)
@@ -101,11 +105,12 @@ def with_copies(docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Written ``sized`` rows with _tessera_copies, _tessera_total and _tessera_target."""
     keys = [_P + "key", _P + "size"]
     sizes = staged(docs.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
-    most = sizes.agg(F.max("n").alias("n")).first()["n"] or 1
+    most, n_sources = sizes.agg(F.coalesce(F.max("n"), F.lit(1)), F.count_distinct(_P + "key")).first()
     digits = max(2, math.ceil(math.log(most / cell_rows, 16))) if most > cell_rows else 2
-    docs = _celled(docs, digits, cell_rows)
+    # no cell has more rows than its (source, size)
+    docs = _celled(docs, digits, cell_rows) if most > 2 * cell_rows else docs.withColumn(_P + "cell", F.substring(_P + "hash", 1, digits))
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    of_source = targets(sizes.groupBy(_P + "key").agg(F.sum(F.col(_P + "size") * F.col("n")).alias(_P + "total")))
+    of_source = targets(sizes.groupBy(_P + "key").agg(F.sum(F.col(_P + "size") * F.col("n")).alias(_P + "total")), n_sources)
     base = F.coalesce(F.sum("n").over(earlier(Window.partitionBy(_P + "key").orderBy(_P + "size"))), F.lit(0))
     bases = sizes.select(*keys, base.alias("base")).join(of_source, _P + "key")
     cells = docs.groupBy(*keys, _P + "cell").agg(F.count("*").alias("n"))
