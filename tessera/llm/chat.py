@@ -216,10 +216,10 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, long
     conv = F.struct("conv_id").alias("conv")  # null equals null
     octets = 64 + F.coalesce(F.octet_length("role"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
     sizes = turns.select(conv, octets.cast("bigint").alias("size")).groupBy("conv").agg(F.sum("size").alias("size"))
-    long = staged(sizes.where(F.col("size") > long_bytes).select("conv"), "long")
-    if long.isEmpty():
+    if (sizes.agg(F.max("size")).first()[0] or 0) <= long_bytes:
         spans = _in_one_sort(turns, budget, history)
     else:
+        long = staged(sizes.where(F.col("size") > long_bytes).select("conv"), "long")
         of = lambda how: turns.withColumn("conv", conv).join(long, "conv", how).drop("conv")
         spans = _in_one_sort(of("left_anti"), budget, history).unionByName(_in_blocks(of("left_semi"), budget, history))
     shown = lambda mark, x: F.concat(F.lit(mark), x["named"], F.lit(TEXT), x["said"], F.lit(END))
