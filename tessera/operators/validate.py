@@ -82,6 +82,10 @@ RULES: dict[str, Callable[[bool], list[Column]]] = {
 }
 
 
+#: Rules that need the hash counts
+LATE = ("duplicate_hash",)
+
+
 def first_records(records: DataFrame) -> DataFrame:
     """Of each (document_id, data_type) the record with the least id, as one struct."""
     rest = F.struct(*[c for c in records.columns if c not in ("document_id", "data_type")])
@@ -99,15 +103,24 @@ def with_hash_count(docs: DataFrame, counts: DataFrame | None = None) -> DataFra
     ``counts`` (sha256, hash_count) are those that ``tables.add_counts`` has kept from run to run, these documents among
     them; then no document but these is read.
     """
-    if counts is None:
-        counts = docs.groupBy("sha256").agg(F.count("*").alias("hash_count"))
-    return docs.join(counts, "sha256", "left")
+    return docs.join(_counts(docs) if counts is None else counts, "sha256", "left")
+
+
+def _counts(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("sha256").agg(F.count("*").alias("hash_count"))
 
 
 def with_issues(docs: DataFrame, records: DataFrame, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
-    """Every document with its ordered issues."""
-    rules = [x for rule in RULES.values() for x in rule(strict)]
-    return with_record(with_hash_count(docs, counts), records).withColumn("issues", F.filter(F.array(*rules), lambda x: x.isNotNull()))
+    """Every document with its ordered issues.
+
+    The rules that look at texts are done beside the record, so that whoever asks for no text has none shuffled for the
+    hash counts.
+    """
+    issues = [(f"_issue_{name}_{i}", name, x) for name, rule in RULES.items() for i, x in enumerate(rule(strict))]
+    early = {n: x for n, name, x in issues if name not in LATE}
+    rows = with_hash_count(with_record(docs, records).withColumns(early), _counts(docs) if counts is None else counts)
+    found = F.array(*[x if name in LATE else F.col(n) for n, name, x in issues])
+    return rows.withColumn("issues", F.filter(found, lambda x: x.isNotNull())).drop(*early)
 
 
 def validate(docs: DataFrame, records: DataFrame, strict: bool = False, counts: DataFrame | None = None) -> DataFrame:
