@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.staging import free
+from tessera.llm.words import release
 
 SEED, RATE, SPM = 7, 100, 50
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -117,7 +118,9 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SP
 
     def run(texts: pa.Array, draws: pa.Array) -> pa.Array:
         rows = (_one(t.as_py(), d.as_py(), rate, spm) for t, d in zip(texts, draws, strict=True))
-        return pa.array((dict(zip([f.name for f in _ARROW], r, strict=True)) for r in rows), _ARROW, size=len(texts))
+        out = pa.array((dict(zip([f.name for f in _ARROW], r, strict=True)) for r in rows), _ARROW, size=len(texts))
+        release()
+        return out
 
     drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     group = lambda i: F.conv(F.substring(drawn, 8 * i + 1, 8), 16, 10).cast("bigint")
@@ -129,7 +132,9 @@ def transform(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SP
 
 def _restored(output: pa.Array, form: pa.Array) -> pa.Array:
     rows = (t.as_py() if f.as_py() == "plain" else rebuilt(t.as_py().encode(), f.as_py()).decode() for t, f in zip(output, form, strict=True))
-    return pa.array(rows, pa.string(), size=len(output))
+    out = pa.array(rows, pa.string(), size=len(output))
+    release()
+    return out
 
 
 def restore(output: Column, form: Column) -> Column:
