@@ -60,8 +60,8 @@ def _part(key: str, parts: int) -> Column:
 
 
 def write_table(rows: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
-    """A new table whose rows are partitioned by their key's hash; a key's rows are in one folder."""
-    rows.withColumn(PART, _part(key, parts)).repartition(PART).write.partitionBy(PART).parquet(path)
+    """A new table whose rows are partitioned by their key's hash; a key's rows are in one folder, a large folder's in several files."""
+    rows.withColumn(PART, _part(key, parts)).hint("rebalance", PART).write.partitionBy(PART).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +83,7 @@ def replace_rows(keys: DataFrame, new: DataFrame, path: str, key: str, parts: in
     came = new.join(asked.select(key), key, "left_semi").withColumn(PART, _part(key, parts))
     rows = staged(stored.join(asked.select(key), key, "left_anti").unionByName(came.select(*stored.columns)), "written-back")
     left = {r[PART] for r in rows.select(PART).distinct().collect()}
-    rows.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    rows.hint("rebalance", PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
     _delete(spark, [f"{path}/{PART}={p}" for p in touched if p not in left])
 
 
