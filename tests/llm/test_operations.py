@@ -501,6 +501,20 @@ def test_pii_base_patterns():
         pii.candidates(long)
 
 
+def test_pii_counts_of_several_spans(spark):
+    """Counts of texts with several spans of a kind and of several kinds; zeros before an address's parts."""
+    rnd = random.Random(6)
+    pieces = ["a@b.cz", "1.2.3.4", "4111 1111 1111 1111", "+47 22 12 34 56", "x", "0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 5000]
+    texts = ["me@x.org or you@x.org", "mail a@b.cz, call +47 22 12 34 56", None, *[", ".join(rnd.choices(pieces, k=rnd.randrange(9))) for _ in range(200)]]
+    got = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert len(got) == len(texts)
+    plain = lambda t: t.replace("0" * 5000, "0")
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        assert [r[f"n_{name}"] for name in pii.KINDS] == [sum(k == x for x, _, _ in base(plain(t))) for k in range(4)], t
+        assert "0" * 5000 in t or r["base_sha256"] == sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base(t)))
+
+
 def test_pii_field_adds_repeated_entities(spark, awkward, empty):
     text = "call +1 (743) 555-3824 now. or (743) 555-3824 x 743-555-3824; 12345678 and me@x.example.com, me at x dot example dot com. ring 555-1234 Bob"
     rows = [(1, text), (2, None), (3, "555-123-4567 2020-01-02 10 000 000")]
