@@ -180,11 +180,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")  # a second parameter would be the place in the array
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and n_linked, the number of reported weak candidates."""
     seen = docs.select("doc_id", find(F.col("text")).alias("found"))
     base, added = F.col("found.base"), F.col("found.added")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS[:IDENTIFIER])]
+    counts = [_count(base, k).alias(f"n_{name}") for k, name in enumerate(KINDS[:IDENTIFIER])]
     return seen.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.array_sort(F.concat(base, added))).alias("spans"), F.size(added).cast("bigint").alias("n_linked"))
 
 
