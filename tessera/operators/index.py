@@ -9,7 +9,7 @@ from tessera.functions.staging import staged
 from tessera.operators.ingest import history
 from tessera.operators.review import is_approved
 from tessera.schemas import UNTRUSTED
-from tessera.sources.tables import PARTS, read_table, replace_rows
+from tessera.sources.tables import PART, PARTS, parts_of, stored_rows, update_rows
 
 
 def eligible(strict: bool = False) -> Column:
@@ -37,10 +37,10 @@ def write_indexed(spark: SparkSession, path: str, as_of: str, strict: bool = Fal
 
     A run that is repeated marks none and logs none.
     """
-    docs = read_table(spark, path)
-    marked = staged(mark_indexed(docs, as_of, strict).where("from_status is not null"), "indexed")
-    replace_rows(marked, marked.select(*docs.columns), path, "id", parts)
-    return index_history(marked, as_of)
+    marked = mark_indexed(stored_rows(spark, path), as_of, strict).where("from_status is not null")
+    kept = staged(marked.select("id", "data_type", "from_status", "final_review_status", PART), "indexed")  # the log, as the states before it go
+    update_rows(spark, path, lambda docs: mark_indexed(docs, as_of, strict), parts_of(kept))
+    return index_history(kept, as_of)
 
 
 def index_history(marked: DataFrame, as_of: str) -> DataFrame:

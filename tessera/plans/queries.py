@@ -556,7 +556,7 @@ def q_state_write_back(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).withColumns({"content": F.coalesce("raw_text", F.lit("")).cast("binary"), "metadata": F.create_map().cast("map<string,string>")})
     path = _fresh(spark)
     tables.write_table(docs, path, "id", 16)
-    parse.write_parsed(parse.parse_pending(tables.read_table(spark, path)), path, _AS_OF, parts=16)
+    parse.parse_stored(spark, path, _AS_OF)
     return tables.read_table(spark, path).select("id", "source_title", "parse_status", "final_review_status", F.map_contains_key("metadata", "parsing").alias("has_report"))
 
 

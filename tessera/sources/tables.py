@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,8 @@ from tessera.functions.staging import staged
 
 BUCKETS, PARTS = 256, 256
 PART = "part"
+#: of tables that hold texts and the bytes they came from, which are there twice while folders are replaced
+CODEC = "zstd"
 
 
 # Documents by hash
@@ -61,11 +63,16 @@ def _part(key: str, parts: int) -> Column:
 
 def write_table(rows: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
     """A new table whose rows are partitioned by their key's hash; a key's rows are in one folder, a large folder's in several files."""
-    rows.withColumn(PART, _part(key, parts)).hint("rebalance", PART).write.partitionBy(PART).parquet(path)
+    rows.withColumn(PART, _part(key, parts)).hint("rebalance", PART).write.option("compression", CODEC).partitionBy(PART).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(PART)
+    return stored_rows(spark, path).drop(PART)
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A table's rows with the number of their folder."""
+    return spark.read.parquet(path)
 
 
 def replace_rows(keys: DataFrame, new: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
@@ -76,17 +83,35 @@ def replace_rows(keys: DataFrame, new: DataFrame, path: str, key: str, parts: in
     """
     spark = new.sparkSession
     asked = keys.select(key).distinct().withColumn(PART, _part(key, parts))
-    touched = [r[PART] for r in asked.select(PART).distinct().collect()]  # at most as many as there are parts
+    touched = parts_of(asked)
     if not touched:
         return
-    stored = spark.read.parquet(path).where(F.col(PART).isin(touched))
+    stored = stored_rows(spark, path).where(F.col(PART).isin(touched))
     came = new.join(asked.select(key), key, "left_semi").withColumn(PART, _part(key, parts))
     rows = staged(stored.join(asked.select(key), key, "left_anti").unionByName(came.select(*stored.columns)), "written-back")
-    left = {r[PART] for r in rows.select(PART).distinct().collect()}
-    rows.hint("rebalance", PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    left = set(parts_of(rows))
+    rows.hint("rebalance", PART).write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
     _delete(spark, [f"{path}/{PART}={p}" for p in touched if p not in left])
 
 
+def update_rows(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], touched: list[int]) -> None:
+    """``change`` gives the table's rows their next values, a row for a row and with the key as it is; only the touched folders are read and written.
+
+    Rows stay in their folders, so nothing is shuffled or staged: each task writes what it has read to the same
+    folders, which are put in place at the job's commit. A run that fails before leaves the table as it was.
+    """
+    if not touched:
+        return
+    stored = stored_rows(spark, path).where(F.col(PART).isin(touched))
+    rows = change(stored).select(*stored.columns)
+    rows.write.mode("overwrite").option("compression", CODEC).option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+
+
+def parts_of(rows: DataFrame) -> list[int]:
+    """The folders of a table's rows; at most as many as there are parts."""
+    return [r[PART] for r in rows.select(PART).distinct().collect()]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path)

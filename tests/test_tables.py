@@ -93,6 +93,27 @@ def test_states_are_written_back_once(spark, tmp_path):
     assert tables.read_table(spark, path).where("knowledge_index_status = 'indexed'").count() == 1 and tables.read_table(spark, path).count() == 40
 
 
+def test_stored_documents_are_parsed_in_their_folders(spark, tmp_path):
+    """The same table and log as by ``write_parsed``, with nothing shuffled but the parts' numbers; other folders stay."""
+    kinds = [("pending", "x.txt", b"a\r\nb"), ("pending", "x.html", b"<title>t &amp; u</title><p>p</p>"), ("pending", "x.txt", b"\xff"), ("pending", "x.pdf", b"%"), ("parsed", "x.txt", b"c"), (None, "x.txt", b"d"), ("pending", "x.txt", None)]
+    rows = [(i, name, content, "penalty", state, "collected", None if i % 2 else "own", "old", None if i % 3 else {"k": "1"}) for i, (state, name, content) in enumerate(kinds * 6)]
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "id bigint, raw_file_path string, content binary, data_type string, parse_status string, final_review_status string, source_title string, raw_text string, metadata map<string,string>")
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    for path in (one, two):
+        tables.write_table(docs, path, "id", 8)
+    plain = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    log = parse.write_parsed(parse.parse_pending(tables.read_table(spark, one)), one, "2024-02-29 00:00:00", 8)
+    made = parse.parse_stored(spark, two, "2024-02-29 00:00:00")
+    assert plain(made) == plain(log) and made.count() == 14
+    assert plain(tables.stored_rows(spark, two)) == plain(tables.stored_rows(spark, one))
+    seen = {p: p.stat().st_mtime_ns for p in Path(two).rglob("*.parquet")}
+    assert parse.parse_stored(spark, two, "2024-03-01 00:00:00").count() == 0
+    assert {p: p.stat().st_mtime_ns for p in Path(two).rglob("*.parquet")} == seen
+    plan = parse._next_state(tables.stored_rows(spark, two))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_files_are_read_once(spark, tmp_path):
     source, store = tmp_path / "in" / "deep", str(tmp_path / "store")
     source.mkdir(parents=True)
