@@ -21,6 +21,7 @@ from tessera.schemas import CHUNK_CHARS
 
 _SPANS = "array<struct<start:int,end:int,exact:boolean>>"
 _MADE = "array<struct<page_number:int,text:string,start:int,end:int,exact:boolean>>"
+STRETCH = 256
 _ARROW_SPAN = [("start", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())]
 
 
@@ -77,15 +78,25 @@ def chunk_offsets(chunks: Column, plain: Column) -> Column:
 
 
 def _made(most: int):
-    def run(pages: pa.Array, plain: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), *_ARROW_SPAN]))
-
-        def one(of: list[dict], text: str) -> list[dict]:
-            pieces = [(p["page_number"], c) for p in of for c in packed(p["text"] or "", most)]
-            at = spans([c for _, c in pieces], text)
-            return [{"page_number": n, "text": c, "start": s, "end": e, "exact": x} for (n, c), (s, e, x) in zip(pieces, at, strict=True)]
-
-        return pa.array((one(p.as_py() or [], t.as_py() or "") for p, t in zip(pages, plain, strict=True)), kind, size=len(plain))
+    kind = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), *_ARROW_SPAN]))
+
+    def one(of: list[dict], text: str | None) -> list[dict]:
+        pieces = [(p["page_number"], c) for p in of for c in packed(p["text"] or "", most)]
+        at = spans([c for _, c in pieces], text or "")
+        return [{"page_number": n, "text": c, "start": s, "end": e, "exact": x} for (n, c), (s, e, x) in zip(pieces, at, strict=True)]
+
+    def some(pages: pa.Array, plain: pa.Array, same: pa.Array) -> pa.Array:
+        rows = zip((p.as_py() or [] for p in pages), plain, same, strict=True)
+        return pa.array([one(of, of[0]["text"] if s.as_py() else t.as_py()) for of, t, s in rows], kind)
+
+    def run(pages: pa.Array, plain: pa.Array, same: pa.Array) -> pa.Array:
+        """A batch in stretches of rows, so that only one stretch's texts are Python's at once; its memory goes back."""
+        cut = lambda i: (x.slice(i, STRETCH) for x in (pages, plain, same))
+        made = [some(*cut(i)) for i in range(0, len(pages), STRETCH)]
+        out = pa.concat_arrays(made) if made else pa.array([], kind)
+        del made
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
@@ -93,7 +104,10 @@ def _made(most: int):
 def chunks(docs: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """document_id, plain_text, pages (page_number, text) -> a row per chunk, numbered over all pages."""
     pages = F.transform("pages", lambda p: F.struct(p["page_number"].cast("int").alias("page_number"), p["text"].alias("text")))
-    made = docs.select("document_id", F.posexplode(F.arrow_udf(_made(most), _MADE)(pages, F.col("plain_text"))).alias("chunk_index", "chunk"))
+    # a text that is its document's only page goes to Python once
+    same = (F.size("pages") == 1) & F.get("pages", F.lit(0))["text"].eqNullSafe(F.col("plain_text"))
+    made = F.arrow_udf(_made(most), _MADE)(pages, F.when(~same, F.col("plain_text")), same)
+    made = docs.select("document_id", F.posexplode(made).alias("chunk_index", "chunk"))
     return made.select(
         "document_id",
         F.col("chunk.page_number").alias("page_number"),

@@ -55,6 +55,30 @@ def test_only_pages_are_parsed(spark):
 # Chunks
 
 
+def test_a_batch_of_texts_is_chunked_in_little_memory():
+    """Of a batch only a stretch of rows is Python's at once, and a text that is the only page comes once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "\n".join(f"line {i} of a text" for i in range(300))
+    kind = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string())]))
+    pages = pa.array([[{"page_number": 1, "text": f"{i} {text}"}] for i in range(4000)], kind)
+    tracemalloc.start()
+    made = chunk._made(1200)(pages, pa.nulls(len(pages), pa.string()), pa.array([True] * len(pages)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == len(pages) and most < 8_000_000  # the texts are 22 MB
+    assert [c["text"] for c in made[3999].as_py()] == chunk.packed(f"3999 {text}", 1200) and all(c["exact"] for c in made[3999].as_py())
+
+
+def test_chunks_where_the_page_is_and_is_not_the_text(spark):
+    rows = [(1, "a\nb", [(1, "a\nb")]), (2, None, [(1, "a")]), (3, "x a", [(1, "a")]), (4, None, [(1, None)]), (5, "a", None), (6, "a\nb", [(1, "a"), (2, "b")]), (7, "a", [(None, "a")])]
+    docs = spark.createDataFrame(rows, "document_id int, plain_text string, pages array<struct<page_number:int,text:string>>")
+    got = sorted(tuple(r) for r in chunk.chunks(docs).select("document_id", "chunk_index", "text", "start_offset", "end_offset", "exact").collect())
+    assert got == [(1, 0, "a\nb", 0, 3, True), (2, 0, "a", 0, 1, False), (3, 0, "a", 2, 3, True), (6, 0, "a", 0, 1, True), (6, 1, "b", 2, 3, True), (7, 0, "a", 0, 1, True)]
+
+
 def plain_offsets(chunks, text):
     cursor, out = 0, []
     for c in chunks:
